@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanmill.functions import constants as K
 
@@ -202,7 +203,7 @@ MATH_SPANS = [re.compile(r"\$([^$]+?)\$"), re.compile(r"\$\$([\s\S]+?)\$\$")]
 MATH_ESCAPES = ["*", "_", "[", "]", "{", "}", "\\"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _single_backslashes(texts: pd.Series) -> pd.Series:
     """Inside math spans, replace each double backslash by one."""
 
@@ -216,7 +217,7 @@ def _single_backslashes(texts: pd.Series) -> pd.Series:
     return texts.map(fix)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_math(texts: pd.Series) -> pd.Series:
     """Inside math spans, undo markdown escaping."""
 
@@ -263,7 +264,7 @@ def unescape_math(markdown: Column) -> Column:
 FENCES = ["```markdown\n", "```text\n", "```\n"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_fences(texts: pd.Series) -> pd.Series:
     """Unwrap fenced blocks of markdown or plain text until none is left."""
     closing = "\n```"

@@ -6,6 +6,7 @@ the text; only judge verdicts are joined in, on ``report_id``.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,28 +62,33 @@ def required_sections(style: Column) -> Column:
     return picked.otherwise(arrays["default"])
 
 
-def present_sections(text: Column) -> Column:
-    """Array of all section names that occur in the text, whatever the style."""
-    lowered = F.lower(text)
+def _mentions(lowered: Column, words: list[str]) -> Column:
+    """Any of the patterns; plain words are searched as bytes, a regex runs only where its first word occurs."""
 
-    def hit(name: str) -> Column:
-        if name == "title":
-            return text.rlike("(?dm)" + K.SECTION_PATTERNS[name])
-        return lowered.rlike("(?dim)" + K.SECTION_PATTERNS[name])
+    def hit(word: str) -> Column:
+        literal = re.match(r"[a-z\u4e00-\u9fff]+", word).group(0)
+        found = lowered.contains(literal)
+        return found if literal == word else found & lowered.rlike("(?d)" + word)
 
-    return F.filter(
-        F.array(*[F.when(hit(n), F.lit(n)) for n in K.SECTION_PATTERNS]), lambda n: n.isNotNull()
-    )
+    return reduce(lambda a, b: a | b, [hit(w) for w in words])
+
+
+def present_sections(text: Column, lowered: Column) -> Column:
+    """Array of all section names that occur in the text, whatever the style."""
+    hits = {"title": text.rlike("(?dm)" + K.TITLE_PATTERN)}
+    hits |= {name: _mentions(lowered, words) for name, words in K.SECTION_WORDS.items()}
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()]))
 
 
 def detect_sections(df: DataFrame, text: str = "body", style: str = "style") -> DataFrame:
     """Add ``sections_found`` and ``sections_missing``, both in the order the style lists them."""
     return (
-        df.withColumn("_present", present_sections(F.col(text)))
+        df.withColumn("_lowered", F.lower(text))
+        .withColumn("_present", present_sections(F.col(text), F.col("_lowered")))
         .withColumn("_required", required_sections(F.col(style)))
         .withColumn("sections_found", F.filter("_required", lambda n: F.array_contains(F.col("_present"), n)))
         .withColumn("sections_missing", F.array_except("_required", "_present"))
-        .drop("_present", "_required")
+        .drop("_lowered", "_present", "_required")
     )
 
 

@@ -30,9 +30,11 @@ def _sections_sql() -> str:
     )
     default = ", ".join(repr(n) for n in K.STYLE_SECTIONS["default"])
     present = ", ".join(
-        f"case when regexp_matches({'body' if n == 'title' else 'lower(body)'}, '(?m{'' if n == 'title' else 'i'}){p}')"
-        f" then '{n}' end"
-        for n, p in K.SECTION_PATTERNS.items()
+        [f"case when regexp_matches(body, '(?m){K.TITLE_PATTERN}') then 'title' end"]
+        + [
+            f"case when regexp_matches(lower(body), '{'|'.join(words)}') then '{name}' end"
+            for name, words in K.SECTION_WORDS.items()
+        ]
     )
     return (
         f"sections as (select *, case style {required} else [{default}] end as required,"
