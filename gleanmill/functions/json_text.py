@@ -193,14 +193,26 @@ def clean_tool_text(text: Column, size: int = 50_000) -> Column:
     return tx.drop_controls(F.when(F.length(body) > size, cut).otherwise(body))
 
 
-def json_repair(text: Column) -> Column:
-    """Valid JSON text out of model output; text that holds no object or array is returned unfenced."""
-    body = tx.strip(text)
-    opened = F.regexp_replace(body, r"(?im)^[ \t]*```(?:json|ts)?[ \t]*\n+", "")
-    unfenced = tx.strip(F.regexp_replace(opened, r"(?m)\n*```[ \t]*$", ""))
-    body = F.when(body.contains("```"), unfenced).otherwise(body)
-    damaged = ~(looks_structured(body) & is_json(body)) & body.rlike(r"[{\[]")
-    return F.when(damaged, _repair(F.when(damaged, body))).otherwise(body)
+def _unfenced(text: Column) -> Column:
+    """Trimmed text without markdown code fences."""
+    opened = F.regexp_replace(text, r"(?im)^[ \t]*```(?:json|ts)?[ \t]*\n+", "")
+    closed = F.regexp_replace(opened, r"(?m)\n*```[ \t]*$", "")
+    return tx.strip(F.when(text.contains("```"), closed).otherwise(text))
+
+
+def json_repair(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add ``out``: valid JSON text made of model output; text without an object or array stays, unfenced.
+
+    The steps are columns of their own, so each is worked out once per row.
+    """
+    body, damaged = F.col("_body"), F.col("_damaged")
+    return (
+        df.withColumn("_body", _unfenced(tx.strip(F.col(source))))
+        .withColumn("_damaged", ~(looks_structured(body) & is_json(body)) & body.rlike(r"[{\[]"))
+        .withColumn("_fixed", _repair(F.when(damaged, body)))
+        .withColumn(out, F.when(damaged, F.col("_fixed")).otherwise(body))
+        .drop("_body", "_damaged", "_fixed")
+    )
 
 
 def parse_streamed_args(text: Column) -> Column:
@@ -228,36 +240,42 @@ def _text_of(value: Column) -> Column:
     return F.when(variant_kind(value) == "string", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
 
 
-def content_text(raw: Column) -> Column:
-    """Text of a polymorphic content value given as JSON text; null marks a list without any text.
+def _item_text(item: Column) -> Column:
+    """Text of one list item: a non-blank string, a text block, or an object's string content."""
+    text = F.try_variant_get(item, "$", "string")
+    own = F.try_variant_get(item, "$.text", "string")
+    inner = F.try_variant_get(item, "$.content", "variant")
+    typed = F.try_variant_get(item, "$.type", "string") == "text"
+    return (
+        F.when(variant_kind(item) == "string", F.when(tx.strip(text) != "", text))
+        .when(typed & own.isNotNull(), own)
+        .when(variant_kind(inner) == "string", F.try_variant_get(inner, "$", "string"))
+    )
 
-    A string stays; an object gives its ``content`` (string, object as JSON text, or the first text in a
-    list), or itself as JSON text.
-    """
-    value = F.try_parse_json(raw)
-    content = F.try_variant_get(value, "$.content", "variant")
-    items = F.try_variant_get(content, "$", "array<variant>")
 
-    def item_text(item: Column) -> Column:
-        text = F.try_variant_get(item, "$", "string")
-        own = F.try_variant_get(item, "$.text", "string")
-        inner = F.try_variant_get(item, "$.content", "variant")
-        typed = F.try_variant_get(item, "$.type", "string") == "text"
-        return (
-            F.when(variant_kind(item) == "string", F.when(tx.strip(text) != "", text))
-            .when(typed & own.isNotNull(), own)
-            .when(variant_kind(inner) == "string", F.try_variant_get(inner, "$", "string"))
-        )
+def content_text(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Add ``out``: the text of a polymorphic content value given as JSON text.
 
-    texts = F.array_compact(F.transform(items, item_text))
-    return (
-        F.when(value.isNull(), raw)
-        .when(variant_kind(value) == "string", F.try_variant_get(value, "$", "string"))
-        .when(variant_kind(value) != "object", raw)
-        .when(content.isNull(), F.to_json(value))
-        .when(variant_kind(content) == "array", F.try_element_at(texts, F.lit(1)))
+    A string stays; an object gives its ``content`` (string, object as JSON text, or the first text in a
+    list), or itself as JSON text. Null marks a list without any text.
+    """
+    value, content, kind = F.col("_value"), F.col("_content"), F.col("_kind")
+    texts = F.array_compact(F.transform(F.try_variant_get(content, "$", "array<variant>"), _item_text))
+    text = (
+        F.when(value.isNull(), F.col(raw))
+        .when(kind == "string", F.try_variant_get(value, "$", "string"))
+        .when((kind != "object") | content.isNull(), F.col(raw))
+        .when(F.col("_inner") == "array", F.try_element_at(texts, F.lit(1)))
         .otherwise(_text_of(content))
     )
+    return (
+        df.withColumn("_value", F.try_parse_json(raw))
+        .withColumn("_kind", variant_kind(value))
+        .withColumn("_content", F.try_variant_get(value, "$.content", "variant"))
+        .withColumn("_inner", variant_kind(content))
+        .withColumn(out, text)
+        .drop("_value", "_kind", "_content", "_inner")
+    )
 
 
 def blocks_text(raw: Column) -> Column:
@@ -300,18 +318,16 @@ def parse_plans(df: DataFrame, raw: str = "raw", key: str = "plan_id") -> DataFr
 
     Columns: key, reason, locale, has_enough_context, plan_title, step_no (1-based), and the step's own.
     """
-    outer = df.select(key, json_repair(F.col(raw)).alias("_outer"))
-    inner = outer.select(
-        key,
-        F.when(~looks_structured(tx.strip(F.col("_outer"))), F.lit("not JSON")).alias("reason"),
-        content_text(F.col("_outer")).alias("_text"),
-    ).select(key, "reason", json_repair(F.col("_text")).alias("_plan"))
+    outer = json_repair(df.select(key, raw), raw, "_outer").withColumn(
+        "reason", F.when(~looks_structured(F.col("_outer")), F.lit("not JSON"))
+    )
+    inner = json_repair(content_text(outer, "_outer", "_text"), "_text", "_plan")
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("_plan").isNull(), "no text content")
-        .when(~F.coalesce(F.col("_plan").startswith("{") & is_json(F.col("_plan")), F.lit(False)), "not a plan")
+        .when(~F.col("_plan").startswith("{"), "not a plan")
     )
-    typed = inner.select(key, reason.alias("reason"), F.col("_plan")).select(
+    typed = inner.withColumn("reason", reason).select(
         key, "reason", F.when(F.col("reason").isNull(), F.from_json("_plan", PLAN)).alias("p")
     )
     return typed.select(

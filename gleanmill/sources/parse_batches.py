@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import posixpath
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanmill.functions import constants as K
 from gleanmill.functions import text as tx
@@ -68,13 +73,31 @@ def read_uploads(spark, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"), "path")
 
 
-def unique_file_ids(files: DataFrame, request: str = "request_id", name: str = "name", seq: str = "seq") -> DataFrame:
-    """Give repeated file names of a request a number before the extension, skipping names in use.
+def _number_repeats(files: pd.DataFrame) -> pd.DataFrame:
+    """File ids of one request of at most 200 files, in arrival order."""
+    taken: set[str] = set()
+    ids = []
+    for name in files.sort_values("seq")["name"]:
+        stem, ext = posixpath.splitext(name)
+        candidates = itertools.chain([name], (f"{stem or 'file'}_{n}{ext}" for n in itertools.count(2)))
+        ids.append(next(c for c in candidates if c not in taken))
+        taken.add(ids[-1])
+    return files.sort_values("seq").assign(file_id=ids)
 
-    A repeat takes the smallest free number from 2 on, in arrival order; a name that already exists as an
-    upload of its own, earlier or as a numbered repeat, is not given twice.
-    """
-    raise NotImplementedError
 
+def unique_file_ids(files: DataFrame) -> DataFrame:
+    """Add ``file_id`` to ``(request_id, seq, name)``: repeated names get the next free number, from 2.
 
-assert Window
+    Which number is free depends on all names given before, so a request is numbered as one group. A group
+    is bounded: requests of more than 200 files are refused, and keep a null id.
+    """
+    counts = files.groupBy("request_id").agg(F.count(F.lit(1)).alias("_files"))
+    counted = files.select("request_id", "seq", "name").join(counts, "request_id")
+    accepted = counted.filter(F.col("_files") <= K.UPLOAD_MAX_FILES).drop("_files")
+    schema = T.StructType([*accepted.schema.fields, T.StructField("file_id", T.StringType())])
+    refused = counted.filter(F.col("_files") > K.UPLOAD_MAX_FILES).drop("_files")
+    return (
+        accepted.groupBy("request_id")
+        .applyInPandas(_number_repeats, schema)
+        .unionByName(refused.withColumn("file_id", F.lit(None).cast("string")))
+    )

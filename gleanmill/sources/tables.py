@@ -5,43 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STORE_BATCH = 200
-CONVERSATION = "thread_id string, batch_id bigint, seq bigint, message string, ts timestamp"
+from gleanmill.operators.ordering import numbered
 
+FILE_ROWS = 100_000
 
-def store_chunks(rows: DataFrame, path: str, batch_rows: int = STORE_BATCH) -> None:
-    """Append shaped rows to the store, by collection; files are bounded in rows.
 
-    The wide vector column is stored beside the scalars, so listings read only what they select.
+def store_chunks(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Append shaped rows to the store, by collection, in files bounded in rows.
+
+    Columnar files keep the wide vectors apart from the scalars, so listings read only what they select.
     """
-    writer = rows.write.mode("append").partitionBy("collection")
-    if batch_rows:
-        writer = writer.option("maxRecordsPerFile", batch_rows)
-    writer.parquet(path)
+    rows.write.mode("append").option("maxRecordsPerFile", file_rows).partitionBy("collection").parquet(path)
 
 
 def append_conversations(existing: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Upsert by thread: new messages go behind the old ones and set ``ts``; new threads are added.
+    """Upsert by thread: new messages follow the stored ones, and new threads are added.
 
-    Both sides are long tables ``thread_id, part, messages, ts``: a conversation is a list of parts, one
-    per append, so that nothing already stored is ever rewritten and a hot thread stays many small rows.
+    A conversation is a long table ``thread_id, message_no, message, ts``. Nothing stored is rewritten: the
+    arrivals ``thread_id, seq, message, ts`` are numbered on from the thread's last message.
     """
-    last = existing.groupBy("thread_id").agg(F.max("part").alias("_last"))
-    numbered = arrived.join(last, "thread_id", "left").withColumn(
-        "part", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("part")
-    )
-    return existing.unionByName(numbered.drop("_last"))
+    last = existing.groupBy("thread_id").agg(F.max("message_no").alias("_last"))
+    placed = numbered(arrived, ["thread_id"], "seq", "message_no").join(last, "thread_id", "left")
+    added = placed.withColumn("message_no", F.col("message_no") + F.coalesce("_last", F.lit(0)))
+    return existing.unionByName(added.select(*existing.columns))
+
+
+def conversation_stats(stored: DataFrame) -> DataFrame:
+    """Messages and time of the last append per thread."""
+    return stored.groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"), F.max("ts").alias("ts"))
 
 
-def conversations(parts: DataFrame) -> DataFrame:
-    """One row per thread: all messages in order and the time of the last append."""
-    return parts.groupBy("thread_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "messages"))), lambda p: p["messages"])).alias(
-            "messages"
-        ),
-        F.max("ts").alias("ts"),
-    )
+def write_arrivals(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Sink of a stream's micro-batch: its own directory, replaced on a retry, so each batch counts once."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CONVERSATION).parquet(path)
+def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """All micro-batches written so far, with their ``batch_id``."""
+    return spark.read.parquet(path)
