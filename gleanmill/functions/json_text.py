@@ -174,7 +174,7 @@ def is_json(text: Column) -> Column:
 
 
 def looks_structured(text: Column) -> Column:
-    return text.startswith("{") | text.startswith("[")
+    return F.substring(text, 1, 1).isin("{", "[")
 
 
 def json_frame(text: Column) -> Column:

@@ -30,23 +30,23 @@ def harvest_citations(messages: DataFrame) -> DataFrame:
     Search tools give lists of results, crawl tools single pages; other tools are judged by the shape of
     their answer.
     """
-    tool, content = F.lower(F.coalesce("name", F.lit(""))), F.col("content")
-    value, kind = F.col("_value"), F.col("_kind")
+    tool, content = F.lower(F.coalesce("name", F.lit(""))), tx.strip(F.col("content"))
+    value, kind = F.col("_value"), F.substring("content", 1, 1)
     shaped = (
-        messages.filter(F.coalesce("content", F.lit("")) != "")
-        .withColumn("_value", F.when(jt.is_json(content), F.try_parse_json(content)))
-        .withColumn("_kind", jt.variant_kind(value))
-        .filter(kind.isin("array", "object"))
+        messages.select("thread_id", "seq", tool.alias("tool"), content.alias("content"))
+        .filter(jt.looks_structured(F.col("content")))
+        .withColumn("_value", F.when(jt.is_json(F.col("content")), F.try_parse_json("content")))
     )
+    tool = F.col("tool")
     has = {n: F.try_variant_get(value, f"$.{n}", "variant").isNotNull() for n in ("url", "content", "crawled_content", "error")}
     listed = F.try_variant_get(value, "$[0].url", "variant").isNotNull()
     searching = tool.isin(K.SEARCH_TOOLS)
     crawling = tool.isin(K.CRAWL_TOOLS)
-    as_list = searching | (~crawling & (kind == "array") & listed)
-    as_page = (kind == "object") & (crawling | (~searching & has["url"] & (has["content"] | has["crawled_content"])))
+    as_list = searching | (~crawling & (kind == "[") & listed)
+    as_page = (kind == "{") & (crawling | (~searching & has["url"] & (has["content"] | has["crawled_content"])))
 
-    array_text = F.when(kind == "array", content).when(
-        (kind == "object") & ~has["error"], F.to_json(F.try_variant_get(value, "$.results", "variant"))
+    array_text = F.when((kind == "[") & value.isNotNull(), F.col("content")).when(
+        ~has["error"], F.to_json(F.try_variant_get(value, "$.results", "variant"))
     )
     items = shaped.filter(as_list).select(
         "thread_id", "seq", F.posexplode(F.from_json(array_text, ITEM)).alias("pos", "x")
