@@ -154,15 +154,30 @@ def last_known(
 
 
 def joined_text(
-    df: DataFrame, group: list[str], seq: str, texts: dict[str, Column], sep: str = "", block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    group: list[str],
+    seq: str,
+    texts: dict[str, Column],
+    sep: str = "",
+    firsts: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Concatenate each text column in ``seq`` order per group: first per block, then across blocks."""
-    names = list(texts)
-    cells = with_block(df.select(*group, seq, *[c.alias(n) for n, c in texts.items()]), seq, block_rows)
+    """Concatenate each text column in ``seq`` order per group: first per block, then across blocks.
+
+    ``firsts`` and ``lasts`` are columns of which the first or last non-null value is kept alongside.
+    """
+    firsts, lasts = firsts or {}, lasts or {}
+    columns = {**texts, **firsts, **lasts}
+    cells = with_block(df.select(*group, seq, *[c.alias(n) for n, c in columns.items()]), seq, block_rows)
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
 
-    def gather(col: str, order: str) -> Column:
-        return F.expr(f"listagg(`{col}`, '{quoted}') within group (order by `{order}`)").alias(col)
+    def combine(order: str) -> list[Column]:
+        present = {n: F.when(F.col(n).isNotNull(), F.col(order)) for n in columns}
+        return [
+            *[F.expr(f"listagg(`{n}`, '{quoted}') within group (order by `{order}`)").alias(n) for n in texts],
+            *[F.min_by(n, present[n]).alias(n) for n in firsts],
+            *[F.max_by(n, present[n]).alias(n) for n in lasts],
+        ]
 
-    parts = cells.groupBy(*group, BLOCK).agg(*[gather(n, seq) for n in names])
-    return parts.groupBy(*group).agg(*[gather(n, BLOCK) for n in names])
+    return cells.groupBy(*group, BLOCK).agg(*combine(seq)).groupBy(*group).agg(*combine(BLOCK))

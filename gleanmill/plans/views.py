@@ -89,7 +89,7 @@ select thread_id, message_id, seq * 1000000 + piece as seq, piece, role, agent,
 from (select m.*, {pieces} as piece from {v_messages} m)""",
     # The pieces of assistant messages read as fragments of three interleaved tool calls.
     "v_tool_chunks": """
-select thread_id, message_id, seq, piece % 3 as idx,
+select thread_id, message_id, seq, piece, piece % 3 as idx,
        case when piece < 3 then message_id || ':' || cast(piece as string) end as call_id,
        case when piece = 0 then 'web_search' when piece = 1 then 'crawl_tool' when piece = 2 then 'local_search_tool' end
          as name,
