@@ -2,9 +2,9 @@
 
 Each job is a stateful processor per key in RocksDB. Rows of one micro-batch are put in ``seq`` order
 inside the processor; across micro-batches the stream's order counts. State lives on one row per chunk (not
-one growing value), is cleared when the conversation ends, and expires if it never does. The size of a
-micro-batch, and with it the memory of a task, is set at the source (``maxFilesPerTrigger``,
-``maxBytesPerTrigger``).
+one growing value), is cleared when the conversation ends, and expires after ``ttl_ms`` if it never does
+(WEEK_MS suits a query that runs for good). The size of a micro-batch, and with it the memory of a task,
+is set at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -41,6 +41,12 @@ def _pages(rows: list[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows[start : start + EMIT_ROWS], columns=schema.names)
 
 
+def _time_mode(ttl_ms: int | None) -> str:
+    """State that expires needs the clock. A query on the clock never runs out of batches, so a run over
+    the available input leaves the expiry off."""
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Stateful processors need the RocksDB provider, set before the query starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -54,7 +60,7 @@ FLUSHED = _fields(
 class _Buffer(StatefulProcessor):
     """Chunks of a thread wait until its stream ends; then all of them go out and the buffer is empty."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -81,7 +87,7 @@ class _Buffer(StatefulProcessor):
         pass
 
 
-def buffer_and_flush(chunks: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:
+def buffer_and_flush(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream of ``(thread_id, seq, message, finish_reason)`` to whole conversations, one row per chunk.
 
     Chunks without a thread or text are refused. A finish reason of stop or interrupt flushes the thread;
@@ -91,7 +97,7 @@ def buffer_and_flush(chunks: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:
     return (
         valid.select("thread_id", "seq", "message", "finish_reason")
         .groupBy("thread_id")
-        .transformWithStateInPandas(_Buffer(ttl_ms), FLUSHED, "Append", "ProcessingTime")
+        .transformWithStateInPandas(_Buffer(ttl_ms), FLUSHED, "Append", _time_mode(ttl_ms))
     )
 
 
@@ -104,7 +110,7 @@ ASSEMBLED = _fields(
 class _Assemble(StatefulProcessor):
     """Pieces of a message wait until its finish reason arrives."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -134,13 +140,13 @@ class _Assemble(StatefulProcessor):
         pass
 
 
-def stream_assemble(events: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:
+def stream_assemble(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream of message events to finished messages, emitted when the finish reason arrives."""
     return (
         events.filter("event = 'message_chunk'")
         .select("thread_id", "message_id", "seq", "role", "agent", "content", "reasoning_content", "finish_reason")
         .groupBy("thread_id", "message_id")
-        .transformWithStateInPandas(_Assemble(ttl_ms), ASSEMBLED, "Append", "ProcessingTime")
+        .transformWithStateInPandas(_Assemble(ttl_ms), ASSEMBLED, "Append", _time_mode(ttl_ms))
     )
 
 
@@ -154,7 +160,7 @@ COLLECTED = _fields(
 class _Collect(StatefulProcessor):
     """Citations of a thread by URL, merged as in merge_by_score, until the thread ends."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -196,13 +202,13 @@ class _Collect(StatefulProcessor):
         pass
 
 
-def stream_citations(updates: DataFrame, ttl_ms: int = WEEK_MS) -> DataFrame:
+def stream_citations(updates: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream of state updates ``(thread_id, seq, data, ended)`` to the citations of each ended thread."""
     return (
         updates.select("thread_id", "seq", jt.harvest_nested(F.col("data")).alias("citations"), "ended")
         .filter((F.size("citations") > 0) | F.col("ended"))
         .groupBy("thread_id")
-        .transformWithStateInPandas(_Collect(ttl_ms), COLLECTED, "Append", "ProcessingTime")
+        .transformWithStateInPandas(_Collect(ttl_ms), COLLECTED, "Append", _time_mode(ttl_ms))
     )
 
 
