@@ -165,6 +165,8 @@ def _markdown(node, lists=()) -> str:
         return "\n" + "  " * (len(lists) - 1) + f"{mark} {bare}"
     if tag == "blockquote":
         return "\n\n" + "\n".join(f"> {line}" for line in bare.split("\n")) + "\n\n"
+    if tag in ("ul", "ol") and lists:
+        return inner
     if tag in CLOSES_PARAGRAPH or tag in ("tr", "body"):
         return f"\n\n{inner.strip(' ')}\n\n"
     return inner

@@ -111,8 +111,8 @@ def _topk_grid(corpus: DataFrame, queries: DataFrame, k: int, unit: bool, rows:
     query_blocks = max(1, -(-queries.count() // query_rows))
     left = corpus.select("id", "vector").withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(corpus_blocks)))
     right = queries.select("query_id", "vector").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-    left = left.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint"))
-    right = right.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).cast("bigint"))
+    left = left.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
+    right = right.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(corpus_blocks - 1).cast("bigint"))))
 
     def search(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         best = _Best(len(asked), k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanmill.functions import constants as K
+from gleanmill.operators import plugins as U
 from gleanmill.operators import reports as R
 from gleanmill.plans.registry import Query
 from gleanmill.plans.views import ctes, view
@@ -182,7 +183,25 @@ def _parsed_verdicts(spark, sf):
     )
 
 
+def _length_judge(body: str) -> str:
+    """Stands in for a model: every score follows from the length of the text it was given."""
+    score = len(body) % 10 + 1
+    scores = ", ".join(f'"{c}": {score}' for c in K.CRITERIA)
+    return f'```json\n{{"scores": {{{scores}}}, "overall_score": {score}}}\n```'
+
+
+def _judged(spark, sf):
+    answers = U.judge_reports(_reports(spark, sf), _length_judge)
+    verdict = R.parse_verdicts(F.col("raw"))
+    return answers.select("report_id", R.weighted_verdict(verdict["scores"]).alias("weighted_score"))
+
+
 QUERIES = {
+    "judge_reports": Query(
+        _judged,
+        ctes("v_reports") + f" select report_id, cast(least(length(body), {K.JUDGE_TEXT_LIMIT}) % 10 + 1 as double) as weighted_score"
+        " from v_reports",
+    ),
     "evaluate_reports": Query(
         lambda spark, sf: _flat(_evaluated(spark, sf)),
         METRICS + f"select {FLAT_SQL}, metrics_score as final_score, {_grade('metrics_score')} as grade,"

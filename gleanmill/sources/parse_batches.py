@@ -6,7 +6,7 @@ import itertools
 import posixpath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,10 +67,15 @@ def validate_uploads(files: DataFrame) -> DataFrame:
     return joined.withColumn("reason", upload_reason(F.col("name"), F.col("size"), F.col("_files"))).drop("_files")
 
 
-def read_uploads(spark, path: str) -> DataFrame:
-    """File name and size of every file below ``path``, without reading the contents."""
+def read_uploads(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
+    """Add ``size`` to the uploaded files ``(request_id, name)`` stored below ``path``, contents unread.
+
+    The file source leaves empty files out, so a file of the manifest that it does not list has size 0.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"), "path")
+    sizes = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("size"))
+    found = sizes.groupBy("name").agg(F.max("size").alias("size"))
+    return manifest.join(found, "name", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
 
 
 def _number_repeats(files: pd.DataFrame) -> pd.DataFrame:
