@@ -210,31 +210,42 @@ def _pairs(section: Column, pattern: str, title: int, url: int, form: str) -> Co
     )
 
 
+def _first_per_url(found: Column) -> Column:
+    """The first entry of each URL, in order. Sorting by (url, place) puts repeats side by side."""
+    placed = F.transform(
+        found,
+        lambda r, i: F.struct(tx.strip(r["url"]).alias("url"), i.alias("place"), r["title"].alias("title"), r["form"].alias("form")),
+    )
+    by_url = F.array_sort(F.filter(placed, lambda r: r["url"] != ""))
+    before = F.concat(F.array(F.lit("")), F.transform(by_url, lambda r: r["url"]))
+    firsts = F.filter(F.zip_with(by_url, before, lambda r, b: F.when(r["url"] != b, r)), lambda r: r.isNotNull())
+    return F.array_sort(
+        F.transform(firsts, lambda r: F.struct(r["place"].alias("place"), r["title"].alias("title"), r["url"].alias("url"), r["form"].alias("form")))
+    )
+
+
 def parse_references(reports: DataFrame) -> DataFrame:
-    """References of each report, first per URL in the order of the formats, numbered from 1."""
-    sections = reports.select("report_id", F.posexplode(reference_sections(F.col("body"))).alias("section", "text"))
-    text = F.col("text")
+    """References of each report, first per URL in the order of the formats, numbered from 1.
+
+    All of a report's references come from its one text, so they are deduplicated and numbered inside the
+    row; nothing is shuffled.
+    """
 
     def on_web(pairs: Column) -> Column:
         return F.filter(pairs, lambda p: _http(p["url"]))
 
-    found = F.concat(
-        on_web(_pairs(text, K.MARKDOWN_LINK, 1, 2, "markdown")),
-        _pairs(text, K.NUMBERED_REFERENCE, 1, 2, "numbered"),
-        _pairs(text, K.FOOTNOTE_REFERENCE, 2, 3, "footnote"),
-        on_web(_pairs(text, "(?i)" + K.HTML_REFERENCE, 3, 2, "html")),
-    )
-    listed = sections.select("report_id", "section", F.posexplode(found).alias("pos", "r")).select(
-        "report_id",
-        (F.col("section").cast("bigint") * WIDTH + F.col("pos")).alias("seq"),
-        "r.title",
-        tx.strip(F.col("r.url")).alias("url"),
-        "r.form",
-    )
-    firsts = listed.filter("url <> ''").groupBy("report_id", "url").agg(
-        F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min_by("form", "seq").alias("form")
-    )
-    return numbered(firsts, ["report_id"], "seq", "number").drop("seq")
+    def listed(text: Column) -> Column:
+        return F.concat(
+            on_web(_pairs(text, K.MARKDOWN_LINK, 1, 2, "markdown")),
+            _pairs(text, K.NUMBERED_REFERENCE, 1, 2, "numbered"),
+            _pairs(text, K.FOOTNOTE_REFERENCE, 2, 3, "footnote"),
+            on_web(_pairs(text, "(?i)" + K.HTML_REFERENCE, 3, 2, "html")),
+        )
+
+    sections = reports.select("report_id", reference_sections(F.col("body")).alias("_sections")).filter(F.size("_sections") > 0)
+    found = sections.select("report_id", F.flatten(F.transform("_sections", listed)).alias("_found"))
+    firsts = found.select("report_id", F.posexplode(_first_per_url(F.col("_found"))).alias("pos", "r"))
+    return firsts.select("report_id", (F.col("pos") + 1).alias("number"), "r.title", "r.url", "r.form")
 
 
 SUPERSCRIPTS = ("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
@@ -251,16 +262,23 @@ def inline_marker(number: Column, style: str = "numbered") -> Column:
 def annotate_links(reports: DataFrame, numbers: DataFrame, style: str = "numbered") -> DataFrame:
     """Put the citation marker behind each markdown link whose URL has a number.
 
-    ``numbers(report_id, url, number)``. The text is cut at the ends of its links; the pieces are joined
-    with the numbers on (report_id, url) and put together again in order.
+    ``numbers(report_id, url, number)``. Only the distinct link targets are joined with the numbers; what
+    comes back to a report is a map no larger than its own links, and the text moves once.
     """
-    ended = F.regexp_replace(F.col("body"), K.MARKDOWN_LINK, "$0\u0000")
-    pieces = reports.select("report_id", F.posexplode(F.split(ended, "\u0000")).alias("pos", "piece"))
-    linked = pieces.withColumn("url", F.regexp_extract("piece", K.MARKDOWN_LINK + r"\z", 2))
-    marked = linked.join(numbers.select("report_id", "url", "number"), ["report_id", "url"], "left")
-    marker = F.coalesce(inline_marker(F.col("number"), style), F.lit(""))
-    seqed = marked.withColumn("seq", F.col("pos").cast("bigint"))
-    return joined_text(seqed, ["report_id"], "seq", {"body": F.concat("piece", marker)})
+    body = F.col("body")
+    targets = reports.select("report_id", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(K.MARKDOWN_LINK), F.lit(2)))).alias("url"))
+    known = targets.join(numbers.select("report_id", "url", "number"), ["report_id", "url"])
+    markers = known.groupBy("report_id").agg(
+        F.map_from_entries(F.collect_set(F.struct("url", inline_marker(F.col("number"), style)))).alias("_markers")
+    )
+    pieces = F.split(F.regexp_replace(body, K.MARKDOWN_LINK, "$0\u0000"), "\u0000")
+
+    def marked(piece: Column) -> Column:
+        marker = F.try_element_at(F.col("_markers"), F.regexp_extract(piece, K.MARKDOWN_LINK + r"\z", 2))
+        return F.concat(piece, F.coalesce(marker, F.lit("")))
+
+    text = F.when(F.col("_markers").isNull(), body).otherwise(F.array_join(F.transform(pieces, marked), ""))
+    return reports.join(markers, "report_id", "left").withColumn("body", text).drop("_markers")
 
 
 def reference_line(style: str) -> Column:

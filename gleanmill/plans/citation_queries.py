@@ -163,12 +163,13 @@ referenced as (select report_id, row_number() over (partition by report_id order
 
 
 def _references(spark, sf):
-    return C.parse_references(view(spark, sf, "v_reports"))
+    parsed = C.parse_references(view(spark, sf, "v_reports"))
+    return parsed.withColumn("number", F.col("number").cast("bigint"))
 
 
 def _annotated(spark, sf):
     reports = view(spark, sf, "v_reports")
-    return C.annotate_links(reports, C.parse_references(reports), "footnote")
+    return C.annotate_links(reports, C.parse_references(reports), "footnote").select("report_id", "body")
 
 
 def _citations(spark, sf):
@@ -240,7 +241,7 @@ def _resolved(spark, sf):
     numbers = reports.select("report_id", F.lit(900).alias("pos"), F.lit("[3]").alias("text"), F.lit("http://none.org").alias("url"))
     links = C.markdown_links(reports).unionByName(numbers)
     return C.resolve_links(links, cited).select(
-        "report_id", F.col("pos").cast("bigint").alias("pos"), "text", "url", "number", "inline"
+        "report_id", F.col("pos").cast("bigint").alias("pos"), "text", "url", F.col("number").cast("bigint").alias("number"), "inline"
     )
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanmill.sources.tables import read_table
+
 TABLES = "documents pages conversations events embeddings benchmark labels".split()
 
 VIEWS = {
@@ -120,8 +122,11 @@ SPARK_PIECES = "explode(sequence(0L, cast(greatest(ceil(length(m.content) / 50.0
 SQL_PIECES = "unnest(range(0, cast(greatest(ceil(length(m.content) / 50.0), 1) as bigint)))"
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "events": "event_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet", KEYS.get(table))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

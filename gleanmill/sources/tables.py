@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from gleanmill.operators.ordering import numbered
 
 FILE_ROWS = 100_000
+# Compressed bytes of text worth a task of their own.
+SPREAD_BYTES = 256 * 1024
+
+
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """Read a Parquet table; one that comes in fewer splits than the cluster has cores is spread by ``key``.
+
+    Only small tables can be so short of splits: as soon as the files give every core its share, nothing is
+    moved. Spreading by a key, not round robin, keeps a repeated task's rows the same.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if key is None:
+        return table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(cores, -(-size // SPREAD_BYTES))
+    if wanted <= 1 or table.rdd.getNumPartitions() >= wanted:
+        return table
+    return table.repartition(wanted, key)
 
 
 def store_chunks(rows: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
