@@ -13,6 +13,7 @@ from gleanmill.functions import constants as K
 from gleanmill.functions import json_text as jt
 from gleanmill.functions import text as tx
 from gleanmill.operators.ordering import joined_text, numbered, prior_max
+from gleanmill.session import settle
 
 KEY = ["thread_id", "url"]
 FIELDS = ["title", "description", "content_snippet", "raw_content"]
@@ -424,14 +425,15 @@ def link_credibility(links: DataFrame, results: DataFrame) -> DataFrame:
 def citation_usage(sources: DataFrame, reports: DataFrame) -> DataFrame:
     """Per thread and URL: ``used`` in the report, ``unused``, or in the report but ``uncollected``.
 
-    Used sources keep their number among the used ones as ``used_number``.
+    Used sources keep their number among the used ones as ``used_number``. The labelled URLs are few next to
+    the texts and are read three times, so they are checkpointed.
     """
     cited = (
         reports.select("thread_id", F.explode(url_list(F.col("body"))).alias("url")).distinct().withColumn("_cited", F.lit(1))
     )
     joined = sources.select(*KEY, "first_seen").join(cited, KEY, "full_outer")
     status = F.when(F.col("_cited").isNull(), "unused").when(F.col("first_seen").isNull(), "uncollected").otherwise("used")
-    labelled = joined.select(*KEY, "first_seen", status.alias("status"))
+    labelled = settle(joined.select(*KEY, "first_seen", status.alias("status")))
     used = numbered(labelled.filter("status = 'used'"), ["thread_id"], "first_seen", "used_number")
     others = labelled.filter("status <> 'used'").withColumn("used_number", F.lit(None).cast("bigint"))
     return used.unionByName(others)

@@ -16,6 +16,7 @@ from gleanmill.functions import constants as K
 from gleanmill.functions import json_text as jt
 from gleanmill.functions import text as tx
 from gleanmill.operators.ordering import joined_text, last_known, numbered, running_sum
+from gleanmill.session import settle
 
 THREAD = ["thread_id"]
 
@@ -68,12 +69,17 @@ def clarification_history(messages: DataFrame, threads: DataFrame | None = None)
     return history.unionByName(rest.select(*THREAD, (F.col("pos") + 1).alias("item_no"), "content"))
 
 
-def clarified_topic(history: DataFrame) -> DataFrame:
-    """The topic of each thread in one line: ``first - second, third``."""
+def clarified_topic(history: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """The topic of each thread in one line: ``first - second, third``.
+
+    A line comes in parts of consecutive items; the parts in order, joined by a comma and a blank, are the
+    line.
+    """
+    parted = history.withColumn("part", F.floor((F.col("item_no") - 1) / F.lit(part_rows)))
     head = F.when(F.col("item_no") == 1, F.col("content"))
     tail = F.when(F.col("item_no") > 1, F.col("content"))
-    joined = joined_text(history, THREAD, "item_no", {"tail": tail}, ", ", firsts={"head": head})
-    return joined.select(*THREAD, F.concat_ws(" - ", "head", tx.filled(F.col("tail"))).alias("topic"))
+    joined = joined_text(parted, [*THREAD, "part"], "item_no", {"tail": tail}, ", ", firsts={"head": head})
+    return joined.select(*THREAD, "part", F.concat_ws(" - ", "head", tx.filled(F.col("tail"))).alias("topic"))
 
 
 def needs_clarification(enabled: Column, rounds: Column, complete: Column, max_rounds: Column) -> Column:
@@ -170,6 +176,29 @@ def _short_raw_content(texts: pd.Series) -> pd.Series:
     return texts.map(cut, na_action="ignore")
 
 
+def _kept(sized: DataFrame, limit: int, prefix: int, mode: str) -> DataFrame:
+    """Which messages stay, and where: ``thread_id, seq, position, tokens`` from ``thread_id, seq, tokens``."""
+    placed = numbered(sized, THREAD, "seq", "_n")
+    first = F.col("_n") <= prefix
+    stats = placed.groupBy(*THREAD).agg(
+        F.sum("tokens").alias("_total"),
+        F.sum(F.when(first, F.col("tokens")).otherwise(0)).alias("_kept"),
+        F.count(F.lit(1)).alias("_count"),
+        F.max_by("tokens", "seq").alias("_newest"),
+    )
+    over = F.col("_total") > limit
+    if mode == "reference":
+        fits = F.col("_kept") + F.col("_newest") <= limit
+        behind = F.when(fits, F.lit(prefix + 1)).otherwise(F.lit(prefix) + F.col("_count") - F.col("_n") + 1)
+        position = F.when(~over | first, F.col("_n")).otherwise(behind)
+        kept = placed.join(stats, THREAD).filter(~over | first | ~fits | (F.col("_n") == F.col("_count")))
+        return kept.select(*THREAD, "seq", position.cast("bigint").alias("position"), "tokens")
+    tail = F.when(first, F.lit(0).cast("bigint")).otherwise(F.col("tokens"))
+    summed = running_sum(placed, THREAD, "seq", tail, "_sum", newest_first=True).join(stats, THREAD)
+    kept = summed.filter(~over | first | (F.col("_kept") + F.col("_sum") <= limit)).select(*THREAD, "seq", "tokens")
+    return numbered(kept, THREAD, "seq", "position").withColumn("position", F.col("position").cast("bigint"))
+
+
 def compress_context(messages: DataFrame, limit: int, prefix: int = 0, mode: str = "reference") -> DataFrame:
     """Shrink the threads above ``limit`` tokens: ``thread_id, position, seq, type, content, tokens``.
 
@@ -177,43 +206,29 @@ def compress_context(messages: DataFrame, limit: int, prefix: int = 0, mode: str
     first ``prefix`` messages and, in mode ``budget``, the longest run of newest messages that fits, in order.
     Mode ``reference`` gives the established behaviour: the newest message alone if that fits, otherwise all
     messages, newest first behind the prefix.
+
+    Token counts are taken once and checkpointed; all placing works on them. The contents are read again only
+    for the long answers, and to put out what stays.
     """
     if mode not in ("reference", "budget"):
         raise ValueError(f"unknown mode {mode!r}")
-    counted = messages.withColumn("tokens", tx.message_tokens(F.col("type"), F.col("content")))
-    over = counted.groupBy(*THREAD).agg((F.sum("tokens") > limit).alias("_over"))
-    marked = counted.join(over, THREAD)
-    long = (
-        F.col("_over") & (F.col("type") == "tool") & (F.coalesce("name", F.lit("")) == "web_search")
-        & (F.length("content") >= CHECK_SIZE)
+    tokens = tx.message_tokens(F.col("type"), F.col("content"))
+    counted = settle(messages.select(*THREAD, "seq", tokens.alias("_tokens")))
+    over = counted.groupBy(*THREAD).agg(F.sum("_tokens").alias("_sum")).filter(F.col("_sum") > limit).select(*THREAD)
+    long = messages.filter(
+        (F.col("type") == "tool") & (F.col("name") == "web_search") & (F.length("content") >= CHECK_SIZE)
+    ).join(over, THREAD, "left_semi")
+    cut = settle(
+        long.select(*THREAD, "seq", "type", _short_raw_content(F.col("content")).alias("_short")).select(
+            *THREAD, "seq", "_short", tx.message_tokens(F.col("type"), F.col("_short")).alias("_fewer")
+        )
     )
-    cut = marked.withColumn("_long", F.coalesce(long, F.lit(False))).withColumn(
-        "_short", _short_raw_content(F.when(F.col("_long"), F.col("content")))
+    sized = counted.join(cut.drop("_short"), [*THREAD, "seq"], "left").select(
+        *THREAD, "seq", F.coalesce("_fewer", "_tokens").alias("tokens")
     )
-    shrunk = cut.withColumn("content", F.coalesce("_short", "content")).withColumn(
-        "tokens",
-        F.when(F.col("_long"), tx.message_tokens(F.col("type"), F.col("content"))).otherwise(F.col("tokens")),
-    )
-    columns = [*THREAD, "seq", "type", "name", "content", "tokens"]
-    placed = numbered(shrunk.select(*columns), THREAD, "seq", "_n")
-    first = F.col("_n") <= prefix
-    stats = placed.groupBy(*THREAD).agg(
-        F.sum("tokens").alias("_total"),
-        F.sum(F.when(first, F.col("tokens")).otherwise(0)).alias("_kept"),
-        F.count(F.lit(1)).alias("_count"),
-        F.max_by("tokens", "seq").alias("_newest"),
+    kept = _kept(sized, limit, prefix, mode)
+    return (
+        messages.join(kept, [*THREAD, "seq"])
+        .join(cut.drop("_fewer"), [*THREAD, "seq"], "left")
+        .select(*THREAD, "position", "seq", "type", F.coalesce("_short", "content").alias("content"), "tokens")
     )
-    over_still = F.col("_total") > limit
-    if mode == "reference":
-        rows = placed.join(stats, THREAD)
-        fits = F.col("_kept") + F.col("_newest") <= limit
-        kept = rows.filter(~over_still | first | ~fits | (F.col("_n") == F.col("_count")))
-        behind = F.when(fits, F.lit(prefix + 1)).otherwise(F.lit(prefix) + F.col("_count") - F.col("_n") + 1)
-        position = F.when(~over_still | first, F.col("_n")).otherwise(behind)
-        return kept.select(*THREAD, position.cast("bigint").alias("position"), "seq", "type", "content", "tokens")
-    newest = running_sum(placed.filter(~first), THREAD, "seq", F.col("tokens"), "_sum", newest_first=True)
-    rows = newest.unionByName(placed.filter(first).withColumn("_sum", F.lit(0).cast("bigint"))).join(stats, THREAD)
-    kept = rows.filter(~over_still | first | (F.col("_kept") + F.col("_sum") <= limit))
-    return numbered(
-        kept.select(*THREAD, "seq", "type", "content", "tokens"), THREAD, "seq", "position"
-    ).withColumn("position", F.col("position").cast("bigint"))

@@ -43,13 +43,15 @@ def ranked_by_score(
     """Add ``out``: the 1-based rank by score descending, then ``seq``, inside each group.
 
     Rows of one exact score form cells by seq block, so ties are split; the cells are ordered inside
-    coarse score bands, so that a group of all-different scores is split too.
+    coarse score bands, so that a group of all-different scores is split too. Squashing the score bounds the
+    number of bands (8193) whatever its range.
     """
     cells = with_block(df.withColumn("_score", score), seq, block_rows)
     keys = [*group, "_score", BLOCK]
     local = cells.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
     sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_band", F.floor(F.col("_score") * F.lit(1000.0)))
+    squashed = F.col("_score") / (F.abs("_score") + F.lit(1.0))
+    sizes = sizes.withColumn("_band", F.floor(squashed * F.lit(4096.0)))
     in_band = (
         Window.partitionBy(*group, "_band")
         .orderBy(F.desc("_score"), BLOCK)

@@ -192,16 +192,29 @@ def build_ivf(corpus: DataFrame, path: str, nlist: int = 1024, seed: int = 7) ->
 def topk_ivf(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int = 10, nprobe: int = 10) -> DataFrame:
     """Approximate k best: each query looks at its ``nprobe`` nearest clusters of a built index.
 
-    Queries go out in blocks per cluster and meet the cluster's rows in a cogroup of bounded pieces: hot
-    clusters are cut by a hash of the id.
+    A cluster's rows and the queries that probe it are cut into pieces of bounded size by a hash, and every
+    pair of pieces is one group. The tables of pieces have one row per cluster, at most as many as there are
+    centroids, so they are broadcast; they also prune the index's partitions.
     """
     probes = assign_lists(queries, centers, min(nprobe, len(centers))).select(
         "query_id", "vector", F.explode("lists").alias("list")
     )
-    sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(GRID_ROWS)).alias("_pieces"))
-    asked = probes.join(sizes, "list").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1)))
-    rows = index.join(probes.select("list").distinct(), "list", "left_semi").join(sizes, "list")
-    rows = rows.withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_pieces")))
+
+    def pieces(table: DataFrame, rows: int, name: str) -> DataFrame:
+        return table.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias(name))
+
+    plan = pieces(index, GRID_ROWS, "_rows").join(F.broadcast(pieces(probes, GRID_QUERIES, "_queries")), "list")
+    every = {n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)) for n in ("_rows", "_queries")}
+    rows = (
+        index.join(F.broadcast(plan), "list")
+        .withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_rows")))
+        .withColumn("_q", every["_queries"])
+    )
+    asked = (
+        probes.join(F.broadcast(plan), "list")
+        .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_queries")))
+        .withColumn("_c", every["_rows"])
+    )
 
     def search(part: pd.DataFrame, queries_here: pd.DataFrame) -> pd.DataFrame:
         best = _Best(len(queries_here), k)
@@ -212,8 +225,8 @@ def topk_ivf(index: DataFrame, centers: np.ndarray, queries: DataFrame, k: int =
             )
         return best.frame(queries_here["query_id"].to_numpy())
 
-    left = rows.select("list", "_c", "id", "vector").groupBy("list", "_c")
-    right = asked.select("list", "_c", "query_id", "vector").groupBy("list", "_c")
+    left = rows.select("list", "_c", "_q", "id", "vector").groupBy("list", "_c", "_q")
+    right = asked.select("list", "_c", "_q", "query_id", "vector").groupBy("list", "_c", "_q")
     return _final(left.cogroup(right).applyInPandas(search, _hit_schema(index, queries)), k)
 
 

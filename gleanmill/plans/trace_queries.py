@@ -243,7 +243,7 @@ select doc_id + 1000000, 1, lang from documents where doc_id % 2 = 1""",
     ),
     "clarified_topic": Query(
         lambda spark, sf: M.clarified_topic(M.clarification_history(_messages(spark, sf))),
-        BASE + USERS + """select thread_id, arg_min(content, item_no) || coalesce(' - ' || string_agg(content, ', ' order by item_no)
+        BASE + USERS + """select thread_id, cast(0 as bigint) as part, arg_min(content, item_no) || coalesce(' - ' || string_agg(content, ', ' order by item_no)
   filter (where item_no > 1), '') as topic from history group by 1""",
     ),
     "needs_clarification": Query(

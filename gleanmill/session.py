@@ -55,8 +55,3 @@ def settle(df: DataFrame) -> DataFrame:
 def holds_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads no further than that."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast once the side is proven small; otherwise leave the join to Catalyst."""
-    return F.broadcast(df) if holds_at_most(df, rows) else df

@@ -9,8 +9,9 @@ is set at the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,11 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(frames).sort_values("seq", kind="stable") if frames else pd.DataFrame()
 
 
-def _pages(rows: list[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
-    for start in range(0, len(rows), EMIT_ROWS):
-        yield pd.DataFrame(rows[start : start + EMIT_ROWS], columns=schema.names)
+def _pages(rows: Iterable[tuple], schema: T.StructType) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size; the rows may come straight out of the state store."""
+    rows = iter(rows)
+    while page := list(itertools.islice(rows, EMIT_ROWS)):
+        yield pd.DataFrame(page, columns=schema.names)
 
 
 def _time_mode(ttl_ms: int | None) -> str:
@@ -75,8 +78,8 @@ class _Buffer(StatefulProcessor):
             if row.finish_reason in ENDS:
                 held = self.chunks.get() if self.chunks.exists() else iter(())
                 flush_no = self.flushes.get()[0] if self.flushes.exists() else 0
-                out = [(key[0], flush_no, int(seq), message) for seq, message in [*held, *waiting]]
-                yield from _pages(out, FLUSHED)
+                whole = ((key[0], flush_no, int(seq), message) for seq, message in itertools.chain(held, waiting))
+                yield from _pages(whole, FLUSHED)
                 self.chunks.clear()
                 self.flushes.update((flush_no + 1,))
                 waiting = []
@@ -193,8 +196,8 @@ class _Collect(StatefulProcessor):
                 if isinstance(item, dict):
                     self._merge(item)
             if row.ended:
-                found = sorted(((v[0], k[0], *v[1:]) for k, v in self.entries.iterator()), key=lambda e: e[0])
-                yield from _pages([(key[0], *entry) for entry in found], COLLECTED)
+                found = ((key[0], value[0], url[0], *value[1:]) for url, value in self.entries.iterator())
+                yield from _pages(found, COLLECTED)
                 self.entries.clear()
                 self.seen.clear()
 
