@@ -311,7 +311,9 @@ from docs d left join paths p using (path) group by 1""",
 from chunks join (select doc_id, lang from documents) using (doc_id)""",
     ),
     "guard_files": Query(_guarded, "with " + GUARD_SQL + "select * replace (cast(chunks as bigint) as chunks) from guarded"),
-    "embed_chunks": Query(_embedded),
+    "embed_chunks": Query(
+        _embedded, "select doc_id as id, cast(16 as bigint) as dimension, cast(1 as double) as norm from documents"
+    ),
     "check_vectors": Query(_checked, "with " + CHECKED_SQL + "select * from vectors_checked"),
     "store_rows": Query(lambda spark, sf: _stored(_store(spark, sf)), STORE_SQL),
     "store_chunks": Query(_store_round_trip, STORE_SQL),

@@ -10,6 +10,8 @@ from gleanmill.operators.ordering import numbered
 FILE_ROWS = 100_000
 # Compressed bytes of text worth a task of their own.
 SPREAD_BYTES = 256 * 1024
+# What a file scan puts into one split, unless set otherwise.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
@@ -19,12 +21,10 @@ def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFr
     moved. Spreading by a key, not round robin, keeps a repeated task's rows the same.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if key is None:
-        return table
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(cores, -(-size // SPREAD_BYTES))
-    if wanted <= 1 or table.rdd.getNumPartitions() >= wanted:
+    wanted = min(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
+    splits = -(-size // SPLIT_BYTES)
+    if key is None or splits >= wanted or len(table.inputFiles()) >= wanted:
         return table
     return table.repartition(wanted, key)
 
