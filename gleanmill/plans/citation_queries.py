@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleanmill.functions import constants as K
 from gleanmill.operators import citations as C
 from gleanmill.plans.registry import Query
-from gleanmill.plans.views import ctes, view
+from gleanmill.plans.views import SQL_PAGE_COUNT, ctes, page_count, view
 
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
@@ -245,12 +245,13 @@ def _resolved(spark, sf):
     )
 
 
-THREAD_OF = "cast(floor((report_id % (select count(*) from {pages})) / 10) as bigint) as thread_id"
+THREAD_OF = "cast(floor((report_id % {page_count}) / 10) as bigint) as thread_id"
 REPORT_THREADS = "select report_id, " + THREAD_OF + ", body from {v_reports}"
 
 
 def _report_threads(spark, sf):
-    return spark.sql(REPORT_THREADS, pages=view(spark, sf, "pages"), v_reports=view(spark, sf, "v_reports"))
+    text = REPORT_THREADS.replace("{page_count}", page_count(spark, sf))
+    return spark.sql(text, v_reports=view(spark, sf, "v_reports"))
 
 
 def _credibility(spark, sf):
@@ -353,7 +354,7 @@ left join loose o on o.report_id = l.report_id and o.k = trim(url_decode(l.url))
     "link_credibility": Query(
         _credibility,
         REPORTS_AND_RESULTS + f""",
-threads as ({REPORT_THREADS.format(pages='pages', v_reports='v_reports')}),
+threads as ({REPORT_THREADS.format(page_count=SQL_PAGE_COUNT, v_reports='v_reports')}),
 linked as (select report_id, thread_id, regexp_extract_all(body, '{LINK}', 2) as b from threads),
 links as (select report_id, thread_id, generate_subscripts(b, 1) - 1 as pos, unnest(b) as url from linked)
 select report_id, pos, url, exists (select 1 from v_search_results r where r.query_id = l.thread_id and r.url = l.url) as credible
@@ -362,7 +363,7 @@ from links l""",
     "citation_usage": Query(
         _usage,
         REPORTS_AND_RESULTS + URLS_SQL[len(ctes("v_reports")):] + f""",
-threads as ({REPORT_THREADS.format(pages='pages', v_reports='v_reports')}),
+threads as ({REPORT_THREADS.format(page_count=SQL_PAGE_COUNT, v_reports='v_reports')}),
 mentioned as (select distinct thread_id, url from urls join threads using (report_id)),
 usage as (select coalesce(c.thread_id, m.thread_id) as thread_id, coalesce(c.url, m.url) as url, first_seen,
     case when m.url is null then 'unused' when c.url is null then 'uncollected' else 'used' end as status

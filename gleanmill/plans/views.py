@@ -1,6 +1,6 @@
 """Derived tables: what the jobs read, made from the given tables.
 
-Each view is one SQL text for both engines, apart from two spellings. ``view`` runs it in Spark;
+Each view is one SQL text for both engines, apart from a few spellings. ``view`` runs it in Spark;
 ``ctes`` gives the same views as a WITH prelude for the SQL check.
 """
 
@@ -55,10 +55,10 @@ select d.doc_id as report_id,
        || '<a class="r" href="' || p4.url || '">Anchor</a>' || chr(10) || chr(10)
        || '## Notes' || chr(10) || '[Not a source](' || p4.url || '/notes)' || chr(10) as body
 from {documents} d
-join {v_pages} p1 on p1.page_id = d.doc_id % (select count(*) from {pages})
-join {v_pages} p2 on p2.page_id = (d.doc_id * 7 + 1) % (select count(*) from {pages})
-join {v_pages} p3 on p3.page_id = (d.doc_id * 3 + 2) % (select count(*) from {pages})
-join {v_pages} p4 on p4.page_id = (d.doc_id * 5 + 3) % (select count(*) from {pages})""",
+join {v_pages} p1 on p1.page_id = d.doc_id % {page_count}
+join {v_pages} p2 on p2.page_id = (d.doc_id * 7 + 1) % {page_count}
+join {v_pages} p3 on p3.page_id = (d.doc_id * 3 + 2) % {page_count}
+join {v_pages} p4 on p4.page_id = (d.doc_id * 5 + 3) % {page_count}""",
     # Judge answers for the labelled documents: plain, fenced, fenced without a language, or broken JSON.
     "v_verdicts": """
 select doc_id as report_id,
@@ -109,7 +109,7 @@ from {events}""",
 NEEDS = {
     "v_pages": ["pages"],
     "v_search_results": ["v_pages"],
-    "v_reports": ["documents", "pages", "v_pages"],
+    "v_reports": ["documents", "v_pages"],
     "v_verdicts": ["labels"],
     "v_messages": ["conversations"],
     "v_stream_chunks": ["v_messages"],
@@ -117,7 +117,9 @@ NEEDS = {
     "v_plan_steps": ["events"],
 }
 
-# The two spellings that differ between the engines.
+# The spellings that differ between the engines. In Spark the number of pages is read beforehand, from the
+# file footers, and put in as a number.
+SQL_PAGE_COUNT = "(select count(*) from pages)"
 SPARK_PIECES = "explode(sequence(0L, cast(greatest(ceil(length(m.content) / 50.0), 1) as bigint) - 1))"
 SQL_PIECES = "unnest(range(0, cast(greatest(ceil(length(m.content) / 50.0), 1) as bigint)))"
 
@@ -129,11 +131,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{table}.parquet", KEYS.get(table))
 
 
+def page_count(spark: SparkSession, sf_dir: str) -> str:
+    return str(spark.read.parquet(f"{sf_dir}/pages.parquet").count())
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table in Spark. Inputs are passed as frames; the catalog stays untouched."""
     if name in TABLES:
         return read(spark, sf_dir, name)
     text = VIEWS[name].replace(", 'g')", ")").replace("{pieces}", SPARK_PIECES)
+    if "{page_count}" in text:
+        text = text.replace("{page_count}", page_count(spark, sf_dir))
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
 
 
@@ -152,7 +160,7 @@ def ctes(*names: str) -> str:
         add(name)
     texts = []
     for name in ordered:
-        text = VIEWS[name].replace("{pieces}", SQL_PIECES)
+        text = VIEWS[name].replace("{pieces}", SQL_PIECES).replace("{page_count}", SQL_PAGE_COUNT)
         for needed in NEEDS[name]:
             text = text.replace("{" + needed + "}", needed)
         texts.append(f"{name} as ({text})")
