@@ -115,10 +115,13 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_
         "n_kept_words",
         F.aggregate("_kept", F.lit(0).cast("long"), lambda total, line: total + _n_words(line)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    # Always true, but not deterministic for the optimizer: a filter on ``kept`` is then not pushed below the arrays, where
+    # it would split the text again for every window.
+    barrier = F.spark_partition_id() >= 0
     return df.withColumns({
         "base_failed": failed,
         "clean_text": F.array_join("_kept", "\n"),
-        "kept": ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words")),
+        "kept": ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words")) & barrier,
     }).drop("_lines", "_kept")
 
 
