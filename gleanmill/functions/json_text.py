@@ -7,6 +7,9 @@ Python, in Arrow batches.
 from __future__ import annotations
 
 import json
+import re
+from itertools import accumulate
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,28 +21,19 @@ from gleanmill.functions import text as tx
 SCALARS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
 
 
+# What matters for nesting: escapes and strings are skipped, the rest are openers and closers.
+_MARKS = re.compile(r'\\.|"(?:\\.|[^"\\])*"?|[{}\[\]]', re.S)
+
+
 def balanced_end(text: str) -> int:
     """Index of the last character at which all braces, or all brackets, opened so far are closed."""
-    depth = {"{": 0, "[": 0}
-    opened = set()
-    opener = {"}": "{", "]": "["}
-    end, quoted, i = -1, False, 0
-    while i < len(text):
-        char = text[i]
-        if char == "\\":
-            i += 2
-            continue
-        if char == '"':
-            quoted = not quoted
-        elif not quoted and char in depth:
-            depth[char] += 1
-            opened.add(char)
-        elif not quoted and char in opener:
-            start = opener[char]
-            depth[start] -= 1
-            if depth[start] == 0 and start in opened:
-                end = i
-        i += 1
+    marks = [m for m in _MARKS.finditer(text) if m[0] in "{}[]"]
+    end = -1
+    for opener, closer in ("{}", "[]"):
+        own = [m for m in marks if m[0] in (opener, closer)]
+        levels = accumulate(1 if m[0] == opener else -1 for m in own)
+        opened = accumulate((m[0] == opener for m in own), or_)
+        end = max([end, *(m.start() for m, level, seen in zip(own, levels, opened, strict=True) if m[0] == closer and level == 0 and seen)])
     return end
 
 

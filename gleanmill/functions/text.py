@@ -187,54 +187,19 @@ def close_trailing_link(markdown: Column) -> Column:
     return F.regexp_replace(text, r"\[([^\]]*)\z", r"[$1]")
 
 
-MATH_DISPLAY = [
-    (r"\\\\\[([^\]]*)\\\\\]", r"\$\$$1\$\$"),
-    (r"\\\[([^\]]*)\\\]", r"\$\$$1\$\$"),
-]
-MATH_INLINE_DISPLAY = [
-    (r"\\\\\(([^)]*)\\\\\)", r"\$\$$1\$\$"),
-    (r"\\\(([^)]*)\\\)", r"\$\$$1\$\$"),
-]
-MATH_INLINE_EDITOR = [
-    (r"\\\\\(([^)]*)\\\\\)", r"\$$1\$"),
-    (r"\\\(([^)]*)\\\)", r"\$$1\$"),
-]
-MATH_SPANS = [re.compile(r"\$([^$]+?)\$"), re.compile(r"\$\$([\s\S]+?)\$\$")]
-MATH_ESCAPES = ["*", "_", "[", "]", "{", "}", "\\"]
-
-
-@F.pandas_udf(T.StringType())
-def _single_backslashes(texts: pd.Series) -> pd.Series:
-    """Inside math spans, replace each double backslash by one."""
-
-    def fix(text):
-        if text is None:
-            return None
-        for span in MATH_SPANS:
-            text = span.sub(lambda m: m.group(0).replace("\\\\", "\\"), text)
-        return text
-
-    return texts.map(fix)
-
-
-@F.pandas_udf(T.StringType())
-def _plain_math(texts: pd.Series) -> pd.Series:
-    """Inside math spans, undo markdown escaping."""
-
-    def undo(match):
-        text = match.group(0)
-        for char in MATH_ESCAPES:
-            text = text.replace("\\" + char, char)
-        return text
-
-    def fix(text):
-        if text is None:
-            return None
-        for span in MATH_SPANS:
-            text = span.sub(undo, text)
-        return text
-
-    return texts.map(fix)
+def _inside_math(pattern: str, replacement: str):
+    """A column function that rewrites what lies inside of math spans and leaves the rest."""
+    span, inner = re.compile(K.MATH_SPAN), re.compile(pattern)
+
+    @F.pandas_udf(T.StringType())
+    def rewrite(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: span.sub(lambda m: inner.sub(replacement, m[0]), t), na_action="ignore")
+
+    return rewrite
+
+
+_single_backslashes = _inside_math(r"\\\\", r"\\")
+_plain_math = _inside_math(K.MATH_ESCAPED, r"\1")
 
 
 def _where(needed: Column, udf, text: Column) -> Column:
@@ -242,60 +207,32 @@ def _where(needed: Column, udf, text: Column) -> Column:
     return F.when(needed, udf(F.when(needed, text))).otherwise(text)
 
 
-def _math(markdown: Column, inline) -> Column:
-    text = markdown
-    for pattern, repl in [*MATH_DISPLAY, *inline]:
-        text = F.regexp_replace(text, pattern, repl)
+def _math(markdown: Column, inline: str) -> Column:
+    block = F.regexp_replace(markdown, K.MATH_BLOCK, r"\$\$$2\$\$")
+    text = F.regexp_replace(block, K.MATH_INLINE, inline)
     return _where(text.contains("$") & text.contains("\\\\"), _single_backslashes, text)
 
 
 def math_for_display(markdown: Column) -> Column:
-    return _math(markdown, MATH_INLINE_DISPLAY)
+    return _math(markdown, r"\$\$$2\$\$")
 
 
 def math_for_editor(markdown: Column) -> Column:
-    return _math(markdown, MATH_INLINE_EDITOR)
+    return _math(markdown, r"\$$2\$")
 
 
 def unescape_math(markdown: Column) -> Column:
     return _where(markdown.contains("$") & markdown.contains("\\"), _plain_math, markdown)
 
 
-FENCES = ["```markdown\n", "```text\n", "```\n"]
-
-
-@F.pandas_udf(T.StringType())
-def _without_fences(texts: pd.Series) -> pd.Series:
-    """Unwrap fenced blocks of markdown or plain text until none is left."""
-    closing = "\n```"
-
-    def unwrap(text):
-        if text is None:
-            return None
-        for fence in FENCES:
-            if text.startswith(fence) and not text.endswith(closing):
-                text = text[len(fence):]
-                break
-        settled = False
-        while not settled:
-            settled = True
-            for fence in FENCES:
-                at = text.find(fence)
-                while at >= 0:
-                    end = text.find(closing, at + len(fence))
-                    if end < 0:
-                        at = text.find(fence, at + len(fence))
-                        continue
-                    text = text[:at] + text[at + len(fence):end] + text[end + len(closing):]
-                    settled = False
-                    at = text.find(fence, end - len(fence))
-        return text
-
-    return texts.map(unwrap)
-
-
 def drop_markdown_fences(markdown: Column) -> Column:
-    return _where(markdown.contains("```"), _without_fences, markdown)
+    """Unwrap fenced blocks of markdown or plain text, nested ones too; an opening fence that nothing closes goes."""
+    opened = F.regexp_replace(markdown, rf"(?s)\A{K.OPEN_FENCE}(?!.*{K.CLOSE_FENCE}\z)", "")
+    # Every pass that changes something takes away two fences, so half their number of passes is enough.
+    passes = F.greatest(F.lit(1), F.regexp_count(opened, F.lit("```")) / 2).cast("int")
+    unwrapped = F.aggregate(
+        F.sequence(F.lit(1), passes), opened, lambda text, _: F.regexp_replace(text, rf"(?s){K.OPEN_FENCE}(.*?){K.CLOSE_FENCE}", "$1"))
+    return F.when(markdown.contains("```"), unwrapped).otherwise(markdown)
 
 
 def markdown_clean(markdown: Column) -> Column:
