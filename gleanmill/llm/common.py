@@ -33,7 +33,8 @@ def narrow_batches(spark: SparkSession) -> None:
 
 def words(text: Column) -> Column:
     """The words of a text in order; null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    body = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACES))
 
 
 def fold(id_column: Column, modulus: int) -> Column:

@@ -46,83 +46,84 @@ def _filled(line: Column) -> Column:
     return line.rlike(NOT_SPACE)
 
 
-def _n_words(line: Column) -> Column:
-    """Words of a line that carries no line break."""
-    return F.size(words(line))
+def line_fails(line: Column, alone: Column, symbols: Column) -> Column:
+    """Judge one line with words, given as (text, lower, words).
 
-
-def line_fails(line: Column, alone: Column) -> Column:
-    """Judge one line with words; ``alone`` is true if the document has no other line."""
-    lower = F.lower(line)
+    ``alone`` is true if the document has no other line, ``symbols`` if it has any symbol.
+    """
+    text, count = line["text"], F.size(line["words"])
     notice = F.lit(False)
     for phrase in NOTICES:
-        notice = notice | F.contains(lower, F.lit(phrase))
-    count = _n_words(line)
-    distinct = F.size(F.array_distinct(words(line)))
-    menu = (F.char_length(line) <= 200) & line.rlike(MENU_LINE)
-    separated = F.contains(line, F.lit("|")) & line.rlike(SEPARATED) & ~line.rlike(CLOSED)
+        notice = notice | F.contains(line["lower"], F.lit(phrase))
+    length = F.char_length(text)
     return (
-        notice
-        | menu
-        | separated
-        | (10 * _count(line, SYMBOLS) >= F.char_length(line))
-        | ((count >= 10) & (3 * distinct < count))
-        | (~alone & (count < 3) & ~line.rlike(CLOSED))
+        ((count < 3) & ~alone & ~text.rlike(CLOSED))
+        | ((count >= 10) & (3 * F.size(F.array_distinct(line["words"])) < count))
+        | (symbols & (10 * _count(text, SYMBOLS) >= length))
+        | (symbols & F.contains(text, F.lit("|")) & text.rlike(SEPARATED) & ~text.rlike(CLOSED))
+        | notice
+        | ((length <= 200) & text.rlike(MENU_LINE))
     )
 
 
+# Up to so many different windows that repeat, each window is looked up among them; beyond, all are sorted with their places.
+FEW_REPEATS = 16
+
+
+def _repeats(df: DataFrame) -> DataFrame:
+    """Add ``_repeats``: the places of all three-word windows that occur twice or more in ``_words``, in order."""
+    # 64-bit hashes stand for the three words of a window; they only meet hashes of the same text.
+    size = F.greatest(F.size("_words") - 2, F.lit(0))
+    windows = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
+    df = df.withColumn("_hash", F.slice(windows, F.lit(1), size)).withColumn("_sorted", F.sort_array("_hash"))
+    df = df.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda h, k: h == F.get("_sorted", k + 1))))
+    many = F.size("_twice") > FEW_REPEATS
+    placed = F.sort_array(F.when(many, F.transform("_hash", lambda h, p: F.struct(h.alias("h"), p.alias("p")))))
+    df = df.withColumn("_placed", placed)
+    same = lambda a, b: F.coalesce(F.get("_placed", a)["h"] == F.get("_placed", b)["h"], F.lit(False))
+    by_sort = F.sort_array(F.transform(F.filter("_placed", lambda w, k: same(k, k - 1) | same(k, k + 1)), lambda w: w["p"]))
+    places = F.sequence(F.lit(0), F.size("_hash") - 1)
+    by_lookup = F.filter(places, lambda p: F.array_contains("_twice", F.get("_hash", p)))
+    found = F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(many, by_sort).otherwise(by_lookup)
+    return df.withColumn("_repeats", found).drop("_hash", "_sorted", "_twice", "_placed")
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base measures of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumns({"_words": words(F.col(text)), "_lines": F.filter(F.split(body, "\n", -1), _filled)})
-    # 64-bit hashes stand for the three words of a window; they only meet hashes of the same text.
-    size = F.size("_words")
-    df = df.withColumn(
-        "_windows",
-        F.when(size >= 3, F.transform(
-            F.sequence(F.lit(0), size - 3),
-            lambda i: F.struct(
-                F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("p")),
-        )),
-    )
-    df = df.withColumn("_windows", F.sort_array("_windows"))
-    same = lambda a, b: F.coalesce(F.get("_windows", a)["h"] == F.get("_windows", b)["h"], F.lit(False))
-    df = df.withColumn(
-        "_repeats",
-        F.sort_array(F.transform(
-            F.filter(F.col("_windows"), lambda w, k: same(k, k - 1) | same(k, k + 1)), lambda w: w["p"])),
-    )
+    df = _repeats(df)
     # A repeated window covers its three words; what the next repeated window covers too is counted there.
     covered = F.aggregate(
         F.transform("_repeats", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_repeats", k + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda total, n: total + n,
     )
     return df.withColumns({
-        "n_words": size.cast("long"),
+        "n_words": F.size("_words").cast("long"),
         "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
         "n_symbols": _count(body, SYMBOLS).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
-    }).drop("_words", "_windows", "_repeats")
+        "n_repeat_words": covered,
+    }).drop("_words", "_repeats")
 
 
 def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_kept: float = MIN_KEPT) -> DataFrame:
     """``docs`` with the measures, base_failed, n_kept_words, clean_text (the lines kept) and kept."""
     df = measured(docs, text)
-    unique = F.array_distinct(F.col("_lines"))
-    df = df.withColumn("_kept", F.filter(unique, lambda line: ~line_fails(line, F.size("_lines") == 1)))
+    unique = F.transform(F.array_distinct("_lines"), lambda x: F.struct(x.alias("text"), F.lower(x).alias("lower"), words(x).alias("words")))
+    df = df.withColumn("_unique", unique)
+    df = df.withColumn("_kept", F.filter("_unique", lambda line: ~line_fails(line, F.size("_lines") == 1, F.col("n_symbols") > 0)))
     df = df.withColumn(
-        "n_kept_words",
-        F.aggregate("_kept", F.lit(0).cast("long"), lambda total, line: total + _n_words(line)))
+        "n_kept_words", F.aggregate("_kept", F.lit(0).cast("long"), lambda total, line: total + F.size(line["words"])))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     # Always true, but not deterministic for the optimizer: a filter on ``kept`` is then not pushed below the arrays, where
     # it would split the text again for every window.
     barrier = F.spark_partition_id() >= 0
     return df.withColumns({
         "base_failed": failed,
-        "clean_text": F.array_join("_kept", "\n"),
+        "clean_text": F.array_join(F.transform("_kept", lambda line: line["text"]), "\n"),
         "kept": ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words")) & barrier,
-    }).drop("_lines", "_kept")
+    }).drop("_lines", "_unique", "_kept")
 
 
 def clean(docs: DataFrame) -> DataFrame:
