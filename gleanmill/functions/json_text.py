@@ -178,11 +178,13 @@ def json_frame(text: Column) -> Column:
     return F.when(damaged, _frame(F.when(damaged, body))).otherwise(body)
 
 
-def clean_tool_text(text: Column, size: int = 50_000) -> Column:
-    """Tool response without trailing tokens or control characters, bounded in length."""
+def clean_tool_text(text: Column, size: int | None = None) -> Column:
+    """Tool response without trailing tokens or control characters; whole unless ``size`` bounds it."""
     body = tx.strip(text)
     damaged = looks_structured(body) & ~is_json(body)
     body = F.when(damaged, _frame(F.when(damaged, body))).otherwise(body)
+    if size is None:
+        return tx.drop_controls(body)
     cut = F.concat(tx.rstrip(F.substring(body, 1, size)), F.lit("..."))
     return tx.drop_controls(F.when(F.length(body) > size, cut).otherwise(body))
 
@@ -334,10 +336,6 @@ def parse_plans(df: DataFrame, raw: str = "raw", key: str = "plan_id") -> DataFr
     ).select(key, "reason", "locale", "has_enough_context", "plan_title", (F.col("_pos") + 1).alias("step_no"), "s.*")
 
 
-NEST_DEPTH = 5
-NODE_LIMIT = 5000
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _nested_citations(texts: pd.Series) -> pd.Series:
     """JSON text of every entry of every ``citations`` list, level by level."""
@@ -347,10 +345,8 @@ def _nested_citations(texts: pd.Series) -> pd.Series:
             level = [json.loads(text)]
         except ValueError:
             return []
-        found, visited = [], 0
-        for depth in range(NEST_DEPTH + 1):
-            level = [node for node in level if isinstance(node, dict)][: NODE_LIMIT - visited]
-            visited += len(level)
+        found = []
+        while level := [node for node in level if isinstance(node, dict)]:
             for node in level:
                 if isinstance(node.get("citations"), list):
                     found += [json.dumps(c, ensure_ascii=False) for c in node["citations"]]
@@ -363,8 +359,7 @@ def _nested_citations(texts: pd.Series) -> pd.Series:
 def harvest_nested(raw: Column) -> Column:
     """Entries of all ``citations`` lists in nested objects of a JSON text, breadth first.
 
-    Objects, and objects in lists, are visited down to depth 5 and up to 5000 per text; both limits are
-    part of the result. Texts without the word never reach Python.
+    Objects, and objects in lists, are visited at every depth. Texts without the word never reach Python.
     """
     mentioned = raw.contains('"citations"')
     found = _nested_citations(F.when(mentioned, raw))

@@ -13,7 +13,6 @@ from gleanmill.functions import constants as K
 from gleanmill.functions import json_text as jt
 from gleanmill.functions import text as tx
 from gleanmill.operators.ordering import joined_text, numbered, prior_max
-from gleanmill.session import settle
 
 KEY = ["thread_id", "url"]
 FIELDS = ["title", "description", "content_snippet", "raw_content"]
@@ -268,9 +267,11 @@ def annotate_links(reports: DataFrame, numbers: DataFrame, style: str = "numbere
     """
     body = F.col("body")
     targets = reports.select("report_id", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(K.MARKDOWN_LINK), F.lit(2)))).alias("url"))
-    known = targets.join(numbers.select("report_id", "url", "number"), ["report_id", "url"])
+    # A URL with several numbers in a report is marked with the lowest.
+    lowest = numbers.groupBy("report_id", "url").agg(F.min("number").alias("number"))
+    known = targets.join(lowest, ["report_id", "url"])
     markers = known.groupBy("report_id").agg(
-        F.map_from_entries(F.collect_set(F.struct("url", inline_marker(F.col("number"), style)))).alias("_markers")
+        F.map_from_entries(F.collect_list(F.struct("url", inline_marker(F.col("number"), style)))).alias("_markers")
     )
     pieces = F.split(F.regexp_replace(body, K.MARKDOWN_LINK, "$0\u0000"), "\u0000")
 
@@ -425,15 +426,14 @@ def link_credibility(links: DataFrame, results: DataFrame) -> DataFrame:
 def citation_usage(sources: DataFrame, reports: DataFrame) -> DataFrame:
     """Per thread and URL: ``used`` in the report, ``unused``, or in the report but ``uncollected``.
 
-    Used sources keep their number among the used ones as ``used_number``. The labelled URLs are few next to
-    the texts and are read three times, so they are checkpointed.
+    Used sources keep their number among the used ones as ``used_number``.
     """
     cited = (
         reports.select("thread_id", F.explode(url_list(F.col("body"))).alias("url")).distinct().withColumn("_cited", F.lit(1))
     )
     joined = sources.select(*KEY, "first_seen").join(cited, KEY, "full_outer")
     status = F.when(F.col("_cited").isNull(), "unused").when(F.col("first_seen").isNull(), "uncollected").otherwise("used")
-    labelled = settle(joined.select(*KEY, "first_seen", status.alias("status")))
+    labelled = joined.select(*KEY, "first_seen", status.alias("status"))
     used = numbered(labelled.filter("status = 'used'"), ["thread_id"], "first_seen", "used_number")
     others = labelled.filter("status <> 'used'").withColumn("used_number", F.lit(None).cast("bigint"))
     return used.unionByName(others)

@@ -10,8 +10,6 @@ from gleanmill.functions import text as tx
 from gleanmill.operators.chunking import chunk_rows, chunker
 from gleanmill.operators.plugins import embed
 
-MAX_CHUNKS = 2000
-
 
 def group_by_file(docs: DataFrame, paths: DataFrame) -> DataFrame:
     """Add ``file_id`` to ``(id, content, path, filename, …)``: by path, else the file name."""
@@ -32,9 +30,12 @@ def file_chunks(docs: DataFrame, spans: Column) -> DataFrame:
     )
 
 
-def guard_files(counts: DataFrame, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """Add ``stage`` and ``reason`` of the files that cannot be indexed; both null for the others."""
-    empty, none, many = ~F.col("filled"), F.col("chunks") == 0, F.col("chunks") > max_chunks
+def guard_files(counts: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """Add ``stage`` and ``reason`` of the files that cannot be indexed; both null for the others.
+
+    A limit on the chunks of a file is the caller's choice; without one, files of any size pass.
+    """
+    empty, none, many = ~F.col("filled"), F.col("chunks") == 0, F.lit(False) if max_chunks is None else F.col("chunks") > max_chunks
     stage = F.when(empty, "parse").when(none | many, "chunk")
     reason = (
         F.when(empty, "no content").when(none, "no chunks produced")
@@ -122,7 +123,7 @@ def store_rows(chunks: DataFrame, collection: str, scheme: str = "milvus", times
 
 
 def index_documents(
-    docs: DataFrame, collection: str, kind: str = "token", size: int = 2048, max_chunks: int = MAX_CHUNKS,
+    docs: DataFrame, collection: str, kind: str = "token", size: int = 2048, max_chunks: int | None = None,
     dimension: int = 64, timestamp: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Index ``(file_id, id, content)``: the rows to store, and one report row per file.
@@ -172,9 +173,9 @@ def retrieval_intent(text: Column, extra: list[str] | None = None) -> Column:
     return F.coalesce(*hits)
 
 
-def list_resources(store: DataFrame, limit: int | None = 100, scheme: str = "milvus", distinct: bool = True,
+def list_resources(store: DataFrame, limit: int | None = None, scheme: str = "milvus", distinct: bool = True,
                    uploaded_only: bool = True) -> DataFrame:
-    """Uploaded resources as ``uri, title``, one per URI, ordered by it; without a limit, all of them.
+    """Uploaded resources as ``uri, title``, one per URI, ordered by it: all of them, or the first ``limit``.
 
     Only the id, title and URL columns are read from the store.
     """

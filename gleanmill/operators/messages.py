@@ -16,7 +16,6 @@ from gleanmill.functions import constants as K
 from gleanmill.functions import json_text as jt
 from gleanmill.functions import text as tx
 from gleanmill.operators.ordering import joined_text, last_known, numbered, running_sum
-from gleanmill.session import settle
 
 THREAD = ["thread_id"]
 
@@ -108,8 +107,8 @@ def awaiting_feedback(messages: DataFrame) -> DataFrame:
     )
 
 
-def valid_content(raw: Column, size: int = 100_000) -> Column:
-    """Text of a content value given as JSON text: null is empty, lists and objects stay JSON, length bounded."""
+def valid_content(raw: Column, size: int | None = None) -> Column:
+    """Text of a content value given as JSON text: null is empty, lists and objects stay JSON; whole unless ``size`` bounds it."""
     value = F.try_parse_json(raw)
     kind = jt.variant_kind(value)
     text = (
@@ -117,6 +116,8 @@ def valid_content(raw: Column, size: int = 100_000) -> Column:
         .when(kind == "string", F.try_variant_get(value, "$", "string"))
         .otherwise(raw)
     )
+    if size is None:
+        return text
     cut = F.concat(tx.rstrip(F.substring(text, 1, size)), F.lit("..."))
     return F.when(F.length(text) > size, cut).otherwise(text)
 
@@ -207,21 +208,19 @@ def compress_context(messages: DataFrame, limit: int, prefix: int = 0, mode: str
     Mode ``reference`` gives the established behaviour: the newest message alone if that fits, otherwise all
     messages, newest first behind the prefix.
 
-    Token counts are taken once and checkpointed; all placing works on them. The contents are read again only
-    for the long answers, and to put out what stays.
+    All placing works on token counts. The contents are read again only for the long answers, and to put out what
+    stays; nothing is written in between.
     """
     if mode not in ("reference", "budget"):
         raise ValueError(f"unknown mode {mode!r}")
     tokens = tx.message_tokens(F.col("type"), F.col("content"))
-    counted = settle(messages.select(*THREAD, "seq", tokens.alias("_tokens")))
+    counted = messages.select(*THREAD, "seq", tokens.alias("_tokens"))
     over = counted.groupBy(*THREAD).agg(F.sum("_tokens").alias("_sum")).filter(F.col("_sum") > limit).select(*THREAD)
     long = messages.filter(
         (F.col("type") == "tool") & (F.col("name") == "web_search") & (F.length("content") >= CHECK_SIZE)
     ).join(over, THREAD, "left_semi")
-    cut = settle(
-        long.select(*THREAD, "seq", "type", _short_raw_content(F.col("content")).alias("_short")).select(
-            *THREAD, "seq", "_short", tx.message_tokens(F.col("type"), F.col("_short")).alias("_fewer")
-        )
+    cut = long.select(*THREAD, "seq", "type", _short_raw_content(F.col("content")).alias("_short")).select(
+        *THREAD, "seq", "_short", tx.message_tokens(F.col("type"), F.col("_short")).alias("_fewer")
     )
     sized = counted.join(cut.drop("_short"), [*THREAD, "seq"], "left").select(
         *THREAD, "seq", F.coalesce("_fewer", "_tokens").alias("tokens")

@@ -59,8 +59,8 @@ def embed(text: Column, provider: str = "hashing", batch_size: int = 512, **conf
     return run(text)
 
 
-def judge_reports(reports: DataFrame, judge: Callable[[str], str]) -> DataFrame:
-    """Raw judge answers ``(report_id, raw, error)``; ``judge`` gets at most 15000 characters of the report.
+def judge_reports(reports: DataFrame, judge: Callable[[str], str], size: int | None = None) -> DataFrame:
+    """Raw judge answers ``(report_id, raw, error)``; ``judge`` gets the whole report, or its first ``size`` characters.
 
     A failing call gives a null answer and its message; such a report scores zero, see failed_verdict.
     """
@@ -78,7 +78,8 @@ def judge_reports(reports: DataFrame, judge: Callable[[str], str]) -> DataFrame:
                     rows.append((report_id, None, str(error)))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    clipped = reports.select("report_id", F.substring("body", 1, K.JUDGE_TEXT_LIMIT).alias("body"))
+    body = F.col("body") if size is None else F.substring("body", 1, size)
+    clipped = reports.select("report_id", body.alias("body"))
     return clipped.mapInPandas(run, schema)
 
 

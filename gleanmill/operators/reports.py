@@ -182,6 +182,12 @@ def _number(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.2f", value), r"0$", "")
 
 
+def _score_text(score: Column) -> Column:
+    """A score as given; whole scores without a fraction."""
+    whole = score == F.floor(score)
+    return F.when(whole, score.cast("bigint").cast("string")).otherwise(score.cast("string"))
+
+
 def summary_text(score: Column, letter: Column, row: dict[str, Column], verdict: Column | None = None) -> Column:
     """The fixed-layout markdown summary of one evaluation."""
     lines = [
@@ -203,7 +209,7 @@ def summary_text(score: Column, letter: Column, row: dict[str, Column], verdict:
                     F.try_element_at(verdict["scores"], F.lit(c)).isNotNull(),
                     F.concat(
                         F.lit(f"- {c.replace('_', ' ').title()}: "),
-                        F.try_element_at(verdict["scores"], F.lit(c)).cast("bigint"),
+                        _score_text(F.try_element_at(verdict["scores"], F.lit(c))),
                         F.lit("/10"),
                     ),
                 )

@@ -19,7 +19,7 @@ from gleanmill.plans.views import view
 from gleanmill.session import shared_folder
 from gleanmill.sources.tables import store_chunks
 
-SIZE, OVERLAP, MAX_CHUNKS = 512, 64, 200
+SIZE, OVERLAP = 512, 64
 
 DOCS = """select doc_id as id, text as content, source, lang, '/data/' || source as path, source || '_v1.md' as filename from {documents}"""
 PATHS = """select distinct '/data/' || source as path, 'file-' || source as file_id from {documents} where lang = 'en' and source < 'src5'"""
@@ -75,15 +75,14 @@ GUARD_SQL = """docs as (select doc_id, source, case source when 'src3' then '  '
 counted as (select source as file_id, count(*) as docs, sum(case when length(text) = 0 then 0
     else greatest(cast(ceil((length(text) - 64) / 448.0) as bigint), 1) end) as chunks,
   bool_or(trim(text, ' ' || chr(10)) <> '') as filled from docs group by 1),
-guarded as (select *, case when not filled then 'parse' when chunks = 0 or chunks > 200 then 'chunk' end as stage,
-  case when not filled then 'no content' when chunks = 0 then 'no chunks produced'
-    when chunks > 200 then 'chunk count exceeds limit (max=200)' end as reason from counted)
+guarded as (select *, case when not filled then 'parse' when chunks = 0 then 'chunk' end as stage,
+  case when not filled then 'no content' when chunks = 0 then 'no chunks produced' end as reason from counted)
 """
 
 
 def _guarded(spark, sf):
     docs = _guard_docs(spark, sf)
-    return I.guard_files(I.file_chunks(docs, H.fixed_spans(F.col("content"), SIZE, OVERLAP)), MAX_CHUNKS)
+    return I.guard_files(I.file_chunks(docs, H.fixed_spans(F.col("content"), SIZE, OVERLAP)))
 
 
 def _report(spark, sf):
@@ -147,7 +146,7 @@ select 'kb' as collection, case when vec_id % 2 = 0 then 'c' || vec_id else 'upl
 
 
 def _index(spark, sf):
-    stored, _ = I.index_documents(_guard_docs(spark, sf), "kb", "token", SIZE, MAX_CHUNKS, timestamp=F.lit(STAMP))
+    stored, _ = I.index_documents(_guard_docs(spark, sf), "kb", "token", SIZE, timestamp=F.lit(STAMP))
     return stored.select("id", F.size("vector").cast("bigint").alias("dimension"), "content", "title", "url")
 
 

@@ -199,7 +199,7 @@ def _judged(spark, sf):
 QUERIES = {
     "judge_reports": Query(
         _judged,
-        ctes("v_reports") + f" select report_id, cast(least(length(body), {K.JUDGE_TEXT_LIMIT}) % 10 + 1 as double) as weighted_score"
+        ctes("v_reports") + f" select report_id, cast(length(body) % 10 + 1 as double) as weighted_score"
         " from v_reports",
     ),
     "evaluate_reports": Query(

@@ -192,9 +192,8 @@ select request_id, seq, name, size, case when n > 200 then 'too many files (max=
     "unique_file_ids": Query(
         lambda spark, sf: B.unique_file_ids(_uploads(spark, sf)),
         f"""with files as ({UPLOADS.format(documents='documents')}),
-counted as (select *, count(*) over (partition by request_id) as files,
-  row_number() over (partition by request_id, name order by seq) as n, regexp_extract(name, '(\\.[^./]*)$', 1) as ext from files)
-select request_id, seq, name, case when files > 200 then null when n = 1 then name
+counted as (select *, row_number() over (partition by request_id, name order by seq) as n, regexp_extract(name, '(\\.[^./]*)$', 1) as ext from files)
+select request_id, seq, name, case when n = 1 then name
   else substring(name, 1, length(name) - length(ext)) || '_' || n || ext end as file_id from counted""",
     ),
     "append_conversations": Query(

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# A broadcast side must be proven to hold at most this many rows.
-BROADCAST_ROWS = 10_000
-
 
 def build_session(app: str = "gleanmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; cluster-level settings win where given."""
@@ -45,13 +42,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def holds_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads no further than that."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows

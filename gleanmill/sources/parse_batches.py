@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import posixpath
 
 import pandas as pd
@@ -79,30 +78,34 @@ def read_uploads(spark: SparkSession, manifest: DataFrame, path: str) -> DataFra
 
 
 def _number_repeats(files: pd.DataFrame) -> pd.DataFrame:
-    """File ids of one request of at most 200 files, in arrival order."""
+    """File ids of one family of names of a request, in arrival order."""
+    ordered = files.sort_values("seq")
     taken: set[str] = set()
+    following: dict[str, int] = {}
     ids = []
-    for name in files.sort_values("seq")["name"]:
-        stem, ext = posixpath.splitext(name)
-        candidates = itertools.chain([name], (f"{stem or 'file'}_{n}{ext}" for n in itertools.count(2)))
-        ids.append(next(c for c in candidates if c not in taken))
-        taken.add(ids[-1])
-    return files.sort_values("seq").assign(file_id=ids)
+    for name in ordered["name"]:
+        given = name
+        if given in taken:
+            stem, ext = posixpath.splitext(name)
+            number = following.get(name, 2)
+            while (given := f"{stem or 'file'}_{number}{ext}") in taken:
+                number += 1
+            following[name] = number + 1
+        taken.add(given)
+        ids.append(given)
+    return ordered.drop(columns="_family").assign(file_id=ids)
 
 
 def unique_file_ids(files: DataFrame) -> DataFrame:
     """Add ``file_id`` to ``(request_id, seq, name)``: repeated names get the next free number, from 2.
 
-    Which number is free depends on all names given before, so a request is numbered as one group. A group
-    is bounded: requests of more than 200 files are refused, and keep a null id.
+    Which number is free depends on the names given before, but only on those that differ in trailing numbers of
+    the stem: such a family is one group, so a request of any size is numbered in many. Refusing large requests is
+    up to ``validate_uploads``.
     """
-    counts = files.groupBy("request_id").agg(F.count(F.lit(1)).alias("_files"))
-    counted = files.select("request_id", "seq", "name").join(counts, "request_id")
-    accepted = counted.filter(F.col("_files") <= K.UPLOAD_MAX_FILES).drop("_files")
-    schema = T.StructType([*accepted.schema.fields, T.StructField("file_id", T.StringType())])
-    refused = counted.filter(F.col("_files") > K.UPLOAD_MAX_FILES).drop("_files")
-    return (
-        accepted.groupBy("request_id")
-        .applyInPandas(_number_repeats, schema)
-        .unionByName(refused.withColumn("file_id", F.lit(None).cast("string")))
-    )
+    stem = F.regexp_replace("name", r"(?s)^(.+)(\.[^./]*)$", "$1")
+    family = F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), F.lit("/"), F.substring("name", F.length(stem) + 1, 1 << 30))
+    named = files.select("request_id", "seq", "name", family.alias("_family"))
+    kept = [f for f in named.schema.fields if f.name != "_family"]
+    schema = T.StructType([*kept, T.StructField("file_id", T.StringType())])
+    return named.groupBy("request_id", "_family").applyInPandas(_number_repeats, schema)

@@ -78,6 +78,13 @@ def test_summary_and_failed_judge(spark):
     assert got[2].final_score == got[2].metrics_score and "Evaluation failed: no answer" in got[2].summary
 
 
-def test_judge_reads_a_bounded_text(spark):
+def test_judge_reads_the_whole_text_unless_bounded(spark):
     df = spark.createDataFrame([(1, "x" * 20000)], "report_id int, body string")
-    assert U.judge_reports(df, lambda body: str(len(body))).first().raw == "15000"
+    assert U.judge_reports(df, lambda body: str(len(body))).first().raw == "20000"
+    assert U.judge_reports(df, lambda body: str(len(body)), size=15000).first().raw == "15000"
+
+
+def test_summary_keeps_fractions_of_scores(spark):
+    scores = R._score_text(F.col("s"))
+    rows = spark.createDataFrame([(7.0,), (7.5,), (None,)], "s double").select(scores.alias("t")).collect()
+    assert [r.t for r in rows] == ["7", "7.5", None]
