@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 _NO_ID = (1 << 63) - 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
