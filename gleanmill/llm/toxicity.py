@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters say "toxic" or "clean" about a text or abstain: word lists induced from the labelled training rows (whole words and
-word beginnings of three lengths, which catch inflected forms), a fixed general list, and patterns. A generative model is
+word beginnings of several lengths, which catch inflected forms), a fixed general list, and patterns. A generative model is
 fitted to how often each combination of votes occurs: expectation maximisation estimates for every voter how it votes on
-toxic and on clean texts, and the correlations of voters within a class discount those that repeat each other. Its
+toxic and on clean texts, and the correlations of voters within a class discount those that repeat each other. A given
+label is a voter of known accuracy. The
 posterior is the soft label of each training row, and a linear classifier over the lexicon entries is fitted to it. The
 classifier alone scores documents.
 
@@ -21,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ MAX_TERMS = 4_000
 MIN_TOXIC_ROWS = 5
 MIN_RATIO = 20.0
 MIN_PRECISION = 0.9
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+# How often a given label is taken to be right; it is one more voter of the label model.
+LABEL_ACCURACY = 0.999
 FIXED_LIST = frozenset(
     "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting dumb imbecile garbage filthy "
     "bastard bitch asshole fuck fucking shit whore slut retard retarded nazi vermin subhuman "
@@ -76,23 +80,22 @@ class LabelModel:
     table: np.ndarray  # voter, class, vote + 1
     weight: np.ndarray
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        odds = np.full(len(patterns), np.log(self.prior) - np.log1p(-self.prior))
+    def posterior(self, patterns: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Probability of toxic for rows of votes and their labels (1, -1, or 0 for none)."""
+        odds = np.log(self.prior) - np.log1p(-self.prior) + labels * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
         for j, w in enumerate(self.weight):
             odds += w * np.log(self.table[j, 1] / self.table[j, 0])[patterns[:, j] + 1]
         return 1 / (1 + np.exp(-odds))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, toxic: np.ndarray, rounds: int = 20) -> LabelModel:
-    """Expectation maximisation over distinct vote patterns, how often each occurs, and how many of those rows are labelled toxic.
-
-    The labels give the share of toxic rows and where to begin; the rounds then look at the votes alone.
-    """
+def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 20) -> LabelModel:
+    """Expectation maximisation over distinct vote patterns with their label (1, -1, or 0 for none) and how often they occur."""
     k = patterns.shape[1]
-    prior = (toxic.sum() + 0.5) / (counts.sum() + 1.0)
-    p, model = toxic / counts, None
+    toxic, known = counts[labels > 0].sum(), counts[labels != 0].sum()
+    prior = (toxic + 0.5) / (known + 1.0)
+    p, model = np.where(labels == 0, prior, labels > 0), None
     for _ in range(rounds):
-        p = p if model is None else model.posterior(patterns)
+        p = p if model is None else model.posterior(patterns, labels)
         share = np.stack([counts * (1 - p), counts * p])
         table = np.stack([[np.bincount(patterns[:, j] + 1, share[y], 3) + 0.1 for y in (0, 1)] for j in range(k)])
         table /= table.sum(2, keepdims=True)
@@ -115,15 +118,26 @@ class Classifier:
     weights: dict[str, float]
     intercept: float
 
+    @cached_property
+    def by_length(self) -> dict[int, dict[str, float]]:
+        """The weights of word beginnings by their length; those of whole words under 0."""
+        out: dict[int, dict[str, float]] = {0: {}} | {n: {} for n in PREFIXES}
+        for term, weight in self.weights.items():
+            out[int(term[0]) if term[1:2] == "^" else 0][term[2:] if term[1:2] == "^" else term] = weight
+        return out
+
     def score(self, text: str | None) -> float:
-        odds = self.intercept + sum(map(self.weights.__getitem__, terms(text) & self.weights.keys()))
+        found = set(_WORD.findall((text or "").lower()))
+        odds = self.intercept
+        for n, weights in self.by_length.items():
+            odds += sum(map(weights.__getitem__, ({w[:n] for w in found} if n else found) & weights.keys()))
         return float(1 / (1 + np.exp(-min(max(odds, -500.0), 500.0))))
 
 
 NOTHING = Classifier({}, -1000.0)
 
 
-def fit_linear(rows: list[list[int]], soft: np.ndarray, names: list[str], penalty: float = 1.0, rounds: int = 300) -> Classifier:
+def fit_linear(rows: list[list[int]], soft: np.ndarray, names: list[str], penalty: float = 0.3, rounds: int = 300) -> Classifier:
     """Logistic regression with an L2 penalty on soft labels; rows hold the places of the entries that occur."""
     if not rows:
         return NOTHING
@@ -185,16 +199,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
                  pa.array([votes(text, hits) for text, hits in found], pa.list_(pa.int32())), part.column(1)], ["hits", "votes", "toxic"])
 
     # At most max_labelled short rows; equal ones are combined before they reach the driver.
-    voted = rows.mapInArrow(vote, "hits array<int>, votes array<int>, toxic int").groupBy("hits", "votes").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.signum("toxic")).cast("int").alias("toxic")).collect()
+    voted = rows.mapInArrow(vote, "hits array<int>, votes array<int>, toxic int").groupBy(
+        "hits", "votes", F.when(F.col("toxic") > 0, 1).otherwise(-1).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()
     hits = [list(r["hits"]) for r in voted for _ in range(r["n"])]
-    patterns = np.array([r["votes"] for r in voted], np.int64)
     repeats = np.array([r["n"] for r in voted])
+    patterns = np.array([[*r["votes"], r["label"]] for r in voted], np.int64)
     distinct, inverse = np.unique(patterns, axis=0, return_inverse=True)
-    labelled = np.array([r["toxic"] for r in voted])
-    by_pattern = [np.bincount(inverse.ravel(), x, len(distinct)) for x in (repeats, labelled)]
-    model = fit_label_model(distinct, *by_pattern)
-    soft = np.repeat(model.posterior(patterns), repeats)
+    model = fit_label_model(distinct[:, :-1], distinct[:, -1], np.bincount(inverse.ravel(), repeats, len(distinct)))
+    soft = np.repeat(model.posterior(patterns[:, :-1], patterns[:, -1]), repeats)
     return fit_linear(hits, soft, names)
 
 
