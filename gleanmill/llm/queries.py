@@ -83,4 +83,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+# Words of each text, with a row number for what belongs to one row.
+_WORDS = r"""rows as (select row_number() over () as r, doc_id, coalesce(text, '') as body from documents),
+w as (select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from rows)"""
+
+
+def _failing_line() -> str:
+    """The line rules over t (text), low, w (words), n (words), alone, symbols."""
+    notices = " or ".join(f"contains(low, '{phrase}')" for phrase in quality.NOTICES)
+    closed = "regexp_matches(t, '" + quality.CLOSED.replace("'", "''") + "')"
+    count = f"(length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))"
+    return f"""(n < 3 and not alone and not {closed}) or (n >= 10 and 3 * len(list_distinct(w)) < n)
+    or (symbols and 10 * {count} >= length(t))
+    or (symbols and contains(t, '|') and regexp_matches(t, '{quality.SEPARATED}') and not {closed})
+    or {notices} or (length(t) <= 200 and regexp_matches(t, '{quality.MENU_LINE}'))"""
+
+
+QUALITY_SQL = f"""with {_WORDS},
+measured as (select r, doc_id, body, words, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars,
+  length(body) - length(regexp_replace(body, '{quality.SYMBOLS}', '', 'g')) as n_symbols from w),
+windows as (select r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as t from (select r, words, unnest(range(1, len(words) - 1)) as i from w)),
+repeated as (select r, i from windows qualify count(*) over (partition by r, t) > 1),
+covered as (select r, count(distinct i + k) as n_repeat_words from repeated, (select unnest(range(0, 3)) as k) group by r),
+lines as (select r, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w, lower(t) as low
+  from (select r, unnest(string_split(body, chr(10))) as t from rows)),
+filled as (select *, len(w) as n, count(*) over (partition by r) = 1 as alone from lines where len(w) > 0),
+counted as (select r, count(*) as all_lines, count(distinct t) as different from filled group by r),
+uniques as (select distinct r, t, low, w, n, alone, n_symbols > 0 as symbols from filled join measured using (r)),
+kept_lines as (select r, sum(n) as kept_words from uniques where not ({_failing_line()}) group by r),
+judged as (select m.*, coalesce(all_lines - different, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(kept_words, 0) as kept_words
+  from measured m left join counted using (r) left join covered using (r) left join kept_lines using (r))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words as base_failed,
+  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words) and kept_words >= {quality.MIN_KEPT} * n_words as kept
+from judged"""
+
+SUBSTRING_SQL = f"""with {_WORDS},
+windows as (select r, doc_id, i, array_to_string(words[i : i + 12], ' ') as t from (select r, doc_id, words, unnest(range(1, len(words) - 11)) as i from w)),
+firsts as (select t, min(doc_id) as first from windows group by t),
+gone as (select distinct r, i + k as p from windows join firsts using (t), (select unnest(range(0, 13)) as k) where first < doc_id),
+lost as (select r, list(p) as places, count(*) as n_removed from gone group by r)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(array_to_string(case when n_removed is null then words else list_filter(words, lambda x, p: not list_contains(places, p)) end, ' ')) as kept_sha256
+from w left join lost using (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op10_substring_dedup": SUBSTRING_SQL}
