@@ -25,7 +25,7 @@ DIGITS = 6
 
 
 def _matrix(vectors: pd.Series, unit: bool) -> np.ndarray:
-    matrix = np.asarray(vectors.tolist(), dtype="float64")
+    matrix = np.stack(vectors.to_numpy()).astype("float64") if len(vectors) else np.empty((0, 0))
     if unit and len(matrix):
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(norms == 0, 1, norms)
@@ -147,18 +147,12 @@ def topk_cosine(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     return topk(corpus, queries, k, cosine=True)
 
 
-TRAINING_ROWS_PER_LIST = 256
-
-
 def train_lists(corpus: DataFrame, nlist: int, seed: int = 7) -> np.ndarray:
-    """Centroids of ``nlist`` clusters, trained on enough rows per cluster. Only the centroids come back."""
+    """Centroids of ``nlist`` clusters, trained on all rows. Only the centroids come back."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = corpus.count()
-    share = min(1.0, nlist * TRAINING_ROWS_PER_LIST / max(rows, 1))
-    sample = corpus if share >= 1.0 else corpus.sample(fraction=share, seed=seed)
-    features = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    features = corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=10).fit(features)
     return np.asarray(model.clusterCenters())
 
@@ -271,3 +265,18 @@ def group_hits(hits: DataFrame, by: str = "doc_id") -> DataFrame:
         "chunks",
         F.array_join(F.transform("chunks", lambda c: c["content"]), "\n\n").alias("text"),
     )
+
+
+def search_resources(hits: DataFrame, scheme: str = "milvus") -> DataFrame:
+    """Distinct resources ``query_id, uri, title`` of finished top-k hits ``(query_id, rank, id, url, title)``, best hit first.
+
+    How many hits are looked at is the k of the search that made them.
+    """
+    named = hits.select(
+        "query_id", "rank",
+        F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit(f"{scheme}://"), F.col("id").cast("string"))).alias("uri"),
+        F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.col("id").cast("string"), F.lit("")), F.lit("Unnamed")).alias("title"),
+    )
+    first = named.groupBy("query_id", "uri").agg(F.min("rank").alias("best"), F.min_by("title", "rank").alias("title"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("best"))
+    return first.select("query_id", place.alias("position"), "uri", "title")

@@ -196,12 +196,18 @@ def _hits(k, cosine):
     return build
 
 
-def _ivf(spark, sf):
-    corpus = _corpus(spark, sf).select("id", "vector")
-    path = f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}"
-    rows = corpus.count()
-    centers = V.build_ivf(corpus, path, nlist=max(2, min(1024, int(rows**0.5))))
-    return V.topk_ivf(spark.read.parquet(path), centers, _label_queries(_corpus(spark, sf)), 10, 10)
+def _ivf(probes):
+    """Search with so many of the lists, or with all of them, which must equal the exact search."""
+
+    def build(spark, sf):
+        corpus = _corpus(spark, sf).select("id", "vector")
+        path = f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}"
+        rows = corpus.count()
+        centers = V.build_ivf(corpus, path, nlist=max(2, min(1024, int(rows**0.5))))
+        hits = V.topk_ivf(spark.read.parquet(path), centers, _label_queries(_corpus(spark, sf)), 10, probes or len(centers))
+        return hits.select("query_id", "id", "similarity", F.col("rank").cast("bigint").alias("rank"))
+
+    return build
 
 
 def _documents_of(hits):
@@ -227,6 +233,11 @@ def _scoped(spark, sf):
     return V.scope_filter(hits, spark.sql(RESOURCES, embeddings=view(spark, sf, "embeddings")))
 
 
+def _searched_resources(spark, sf):
+    hits = _documents_of(_hits(10, False)(spark, sf)).withColumnRenamed("doc_id", "id")
+    return V.search_resources(hits).withColumn("position", F.col("position").cast("bigint"))
+
+
 def _grouped(spark, sf):
     grouped = V.group_hits(_documents_of(_hits(10, False)(spark, sf)))
     return grouped.select(
@@ -336,7 +347,15 @@ select file_id, case when reason is null then 'success' else 'failed' end as sta
     ),
     "topk_inner_product": Query(_hits(10, False), "with " + _ranked_sql(10, False) + "select query_id, id, similarity, rank from hits"),
     "topk_cosine": Query(_hits(10, True), "with " + _ranked_sql(10, True) + "select query_id, id, similarity, rank from hits"),
-    "topk_ivf": Query(_ivf),
+    "topk_ivf": Query(_ivf(10)),
+    "topk_ivf_all_lists": Query(_ivf(None), "with " + _ranked_sql(10, False) + "select query_id, id, similarity, rank from hits"),
+    "search_resources": Query(
+        _searched_resources,
+        "with " + HITS_SQL + """, named as (select query_id, rank, coalesce(nullif(url, ''), 'milvus://' || doc_id) as uri,
+  coalesce(nullif(title, ''), doc_id) as title from docs),
+firsts as (select query_id, uri, min(rank) as best, arg_min(title, rank) as title from named group by 1, 2)
+select query_id, row_number() over (partition by query_id order by best) as position, uri, title from firsts""",
+    ),
     "scope_filter": Query(
         _scoped,
         "with " + HITS_SQL + f""", resources as ({RESOURCES.format(embeddings='embeddings')})

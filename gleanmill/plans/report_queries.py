@@ -196,7 +196,27 @@ def _judged(spark, sf):
     return answers.select("report_id", R.weighted_verdict(verdict["scores"]).alias("weighted_score"))
 
 
+def _strict_judge(body: str) -> str:
+    """A model that refuses some texts."""
+    if len(body) % 3 == 0:
+        raise ValueError(f"refused {len(body)} characters")
+    return _length_judge(body)
+
+
+def _judge_failures(spark, sf):
+    answers = U.judge_reports(_reports(spark, sf), _strict_judge)
+    verdict = F.when(F.col("error").isNotNull(), U.failed_verdict(F.col("error")))
+    return answers.select(
+        "report_id", F.col("raw").isNull().alias("failed"), verdict["overall_score"].alias("overall_score"),
+        F.get(verdict["weaknesses"], F.lit(0)).alias("weakness"))
+
+
 QUERIES = {
+    "judge_failures": Query(
+        _judge_failures,
+        ctes("v_reports") + " select report_id, length(body) % 3 = 0 as failed, case when length(body) % 3 = 0 then 0.0e0 end as overall_score,"
+        " case when length(body) % 3 = 0 then 'Evaluation failed: refused ' || length(body) || ' characters' end as weakness from v_reports",
+    ),
     "judge_reports": Query(
         _judged,
         ctes("v_reports") + f" select report_id, cast(length(body) % 10 + 1 as double) as weighted_score"
