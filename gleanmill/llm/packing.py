@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmill.llm.common import slices
-from gleanmill.llm.tokenizing import Encoder
+from gleanmill.llm.tokenizing import worker_encoder
 
 CAPACITY = 2048
 END_ID = 1
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, blank_kept=False)
+        encoder = worker_encoder(tokenizer_path, blank_kept=False)
         for part in slices(batches):
             rows: list[tuple] = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):

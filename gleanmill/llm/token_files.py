@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmill.llm.common import slices, stored
-from gleanmill.llm.tokenizing import Encoder
+from gleanmill.llm.tokenizing import worker_encoder
 
 END_ID = 2
 SCALE = 20
@@ -97,9 +97,20 @@ class Table:
         return out
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different ids in order, the rank of each id among them, and how often each occurs."""
+    if len(ids) and int(ids.max()) >= 1 << 24:  # a table by id would be larger than a sort
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    rank = np.zeros(len(counts), np.int32)
+    rank[symbols] = np.arange(len(symbols))
+    return symbols, rank[ids], counts[symbols]
+
+
 def encode_frame(ids: np.ndarray) -> bytes:
     """Magic, table, checkpoints, blocks."""
-    symbols, ranks, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, ranks, counts = _counted(ids)
     freq = frequencies(counts)
     table = Table(symbols, freq)
     blocks = [table.encode(ranks[b : b + BLOCK]) for b in range(0, len(ids), BLOCK)]
@@ -141,7 +152,7 @@ def frames(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, parts: in
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer_path, blank_kept=True), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer_path, blank_kept=True), TaskContext.get().partitionId()
         docs_, sizes, texts, total, frame = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
