@@ -52,15 +52,15 @@ def test_streamed_args(outcomes):
     ]
 
 
-def test_nested_citations_stop_at_depth_five(outcomes):
+def test_nested_citations_at_every_depth(outcomes):
     def nest(depth):
         node = {"citations": [depth]}
         for _ in range(depth):
             node = {"k": node}
         return json.dumps(node)
 
-    assert outcomes(jt.harvest_nested, [nest(5), nest(6), '{"x": [{"citations": [1]}, [{"citations": [2]}]], "citations": [0]}', "bad"]) == [
-        ["5"], [], ["0", "1"], [],
+    assert outcomes(jt.harvest_nested, [nest(5), nest(60), '{"x": [{"citations": [1]}, [{"citations": [2]}]], "citations": [0]}', "bad"]) == [
+        ["5"], ["60"], ["0", "1"], [],
     ]
 
 
