@@ -60,7 +60,7 @@ def line_fails(line: Column, alone: Column, symbols: Column) -> Column:
         ((count < 3) & ~alone & ~text.rlike(CLOSED))
         | ((count >= 10) & (3 * F.size(F.array_distinct(line["words"])) < count))
         | (symbols & (10 * _count(text, SYMBOLS) >= length))
-        | (symbols & F.contains(text, F.lit("|")) & text.rlike(SEPARATED) & ~text.rlike(CLOSED))
+        | (symbols & F.contains(text, F.lit("|")) & text.rlike(SEPARATED))
         | notice
         | ((length <= 200) & text.rlike(MENU_LINE))
     )

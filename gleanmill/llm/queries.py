@@ -96,7 +96,7 @@ def _failing_line() -> str:
     count = f"(length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))"
     return f"""(n < 3 and not alone and not {closed}) or (n >= 10 and 3 * len(list_distinct(w)) < n)
     or (symbols and 10 * {count} >= length(t))
-    or (symbols and contains(t, '|') and regexp_matches(t, '{quality.SEPARATED}') and not {closed})
+    or (symbols and contains(t, '|') and regexp_matches(t, '{quality.SEPARATED}'))
     or {notices} or (length(t) <= 200 and regexp_matches(t, '{quality.MENU_LINE}'))"""
 
 

@@ -39,7 +39,7 @@ def fails(line, alone):
         (len(w) < 3 and not alone and not closed)
         or (len(w) >= 10 and 3 * len(set(w)) < len(w))
         or (symbols and 10 * symbols >= len(line))
-        or ("|" in line and re.search(Q.SEPARATED, line) and not closed)
+        or ("|" in line and re.search(Q.SEPARATED, line))
         or any(p in line.lower() for p in Q.NOTICES)
         or (len(line) <= 200 and menu))
 
