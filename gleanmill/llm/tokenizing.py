@@ -20,6 +20,9 @@ from gleanmill.llm.token_counts import byte_alphabet
 # Distinct pieces a worker remembers, some 200 MB. The half in use longest ago is let go.
 CACHE_PIECES = 1_000_000
 _BLANK_RUN = re.compile(r"\s \s")
+_BLANK_AND_SPACE = re.compile(r" \s")  # a cheaper search that most texts end
+# Marks a piece without a blank before it, where the blank belongs to the word; no text holds a lone surrogate.
+_BARE = "\ud800"
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _MARKS = frozenset(".,;:!?")
 LAST_LATIN, DOTTED_I = "\u024f", "\u0130"
@@ -52,31 +55,44 @@ class Encoder:
         self.letters = {byte: char for char, byte in byte_alphabet().items()}
 
     def pieces(self, text: str) -> list[str]:
+        """The pieces of a text as keys of what is known: a blank before a piece goes without saying if it is kept."""
+        bare = _BARE * self.blank_kept
         if any(s in text for s in self.special):
-            return [text]  # may hold blanks itself
+            return [bare + text]  # may hold blanks itself
         if not self.blank_kept:
             return [p for p in text.split(" ") if p]
-        if _BLANK_RUN.search(text):
-            return [p for p in _BEFORE_WORD.split(text) if p]
-        first, *rest = text.split(" ")
-        return [first, *map("".join, zip(repeat(" "), rest))] if first else list(map("".join, zip(repeat(" "), rest)))
+        if _BLANK_AND_SPACE.search(text) and _BLANK_RUN.search(text):
+            return [p[1:] if p[0] == " " and p[1:] else bare + p for p in _BEFORE_WORD.split(text) if p]
+        out = text.split(" ")
+        if out[0]:
+            out[0] = bare + out[0]
+        else:
+            del out[0]
+        return out
+
+    def _text(self, key: str) -> str:
+        """The text that a key stands for."""
+        if not self.blank_kept:
+            return key
+        return key[1:] if key[:1] == _BARE else " " + key
 
-    def _word(self, piece: str) -> bytes | None:
+    def _word(self, key: str) -> bytes | None:
         """Ids of a word of Latin letters, for which neither normalising nor splitting does more than what is done here."""
-        word = piece.removeprefix(" ")
+        word = key.removeprefix(_BARE)
         if not word.isalpha() or max(word) > LAST_LATIN or DOTTED_I in word:
             return None
-        text = piece if self.blank_kept else word.lower()
+        text = self._text(key) if self.blank_kept else word.lower()
         return ids_bytes(token.id for token in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters)))
 
     def _learn(self, new: list[str]) -> None:
-        halves = {p: (p[:-1], p[-1]) for p in new if p[-1] in _MARKS and p[-2:-1].isalnum()}
+        bare = _BARE * self.blank_kept
+        halves = {p: (p[:-1], bare + p[-1]) for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()}
         whole = {p for p in new if p not in halves}
         whole.update(h for pair in halves.values() for h in pair)
         words = {p: self._word(p) for p in whole if p not in self.known}
         self.known.update((p, ids) for p, ids in words.items() if ids is not None)
         todo = [p for p, ids in words.items() if ids is None]
-        for piece, found in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+        for piece, found in zip(todo, self.tokenizer.encode_batch_fast(list(map(self._text, todo)), add_special_tokens=False), strict=True):
             self.known[piece] = ids_bytes(found.ids)
         for piece, (body, mark) in halves.items():
             self.known[piece] = self.known[body] + self.known[mark]
