@@ -292,9 +292,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The document with the smallest id of each class (null ids last), whole and with all columns; one row of repeated ones."""
     prints = checkpointed(fingerprints(docs, distinguish=True))
+    return keep_first(docs, prints, _grouped(prints, distance))
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, members: DataFrame) -> DataFrame:
+    """The document that comes first in each class, from ``prints`` (doc_id, key, fp of every row) and ``members`` (node, component)."""
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("key"))
     first = prints.groupBy("fp").agg(F.min(rank).alias("first"))
-    joined = first.join(_grouped(prints, distance).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = first.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept")).select(F.col("kept.doc_id").alias("_doc"), F.col("kept.key").alias("_key"))
     copies = prints.groupBy(F.col("doc_id").alias("_doc2"), F.col("key").alias("_key2")).agg(F.count(F.lit(1)).alias("_rows"))
     kept = kept.join(copies, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_key") == F.col("_key2"))).select("_doc", "_key", "_rows")
