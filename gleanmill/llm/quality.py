@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import NOT_SPACE, packed, unpacked, words
+from gleanmill.llm.common import NOT_SPACE, packed, words
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -107,8 +107,23 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_words", "_repeats")
 
 
+def _without_failing(body: Column, alone: Column, symbols: Column) -> Column:
+    """``body`` without failing and repeated lines. Blank lines stay where they are.
+
+    No line has a line break, so a number with one marks a blank line and keeps it apart from all others.
+    """
+    marked = F.transform(F.split(body, "\n", -1), lambda x, i: F.when(_filled(x), x).otherwise(F.concat(i.cast("string"), F.lit("\n"), x)))
+
+    def stays(x: Column) -> Column:
+        line = F.struct(x.alias("text"), F.lower(x).alias("lower"), words(x).alias("words"))
+        return F.contains(x, F.lit("\n")) | ~line_fails(line, alone, symbols)
+
+    left = F.filter(F.array_distinct(marked), stays)
+    return F.array_join(F.transform(left, lambda x: F.regexp_replace(x, r"^\d+\n", "")), "\n")
+
+
 def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """``docs`` with the measures, base_failed, n_kept_words, clean_text (the lines kept) and kept."""
+    """``docs`` with the measures, base_failed, n_kept_words, clean_text (the text without the lines that fail) and kept."""
     df = measured(docs, text)
     unique = F.transform(F.array_distinct("_lines"), lambda x: F.struct(x.alias("text"), F.lower(x).alias("lower"), words(x).alias("words")))
     df = df.withColumn("_unique", unique)
@@ -119,13 +134,16 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_
     # Always true, but not deterministic for the optimizer: a filter on ``kept`` is then not pushed below the arrays, where
     # it would split the text again for every window.
     barrier = F.spark_partition_id() >= 0
+    body = F.coalesce(F.col(text), F.lit(""))
+    whole = F.size("_kept") == F.size("_lines")
     return df.withColumns({
         "base_failed": failed,
-        "clean_text": F.array_join(F.transform("_kept", lambda line: line["text"]), "\n"),
+        "clean_text": F.when(whole, body).otherwise(_without_failing(body, F.size("_lines") == 1, F.col("n_symbols") > 0)),
         "kept": ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words")) & barrier,
     }).drop("_lines", "_unique", "_kept")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that pass, whole and with all their columns."""
-    return unpacked(judged(packed(docs, "text")).where("kept"), docs.columns)
+    """The documents that pass, with all their columns; ``text`` is without its failing lines."""
+    kept = judged(packed(docs, "text")).where("kept")
+    return kept.select(*[F.col("clean_text" if name == "text" else f"row.c{i}").alias(name) for i, name in enumerate(docs.columns)])
