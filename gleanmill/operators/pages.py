@@ -24,18 +24,23 @@ NO_ARTICLE = K.EMPTY_PAGE[1]
 
 
 @F.pandas_udf(T.StringType())
-def _shorten(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: textwrap.shorten(t, width=SHOWN, placeholder="..."), na_action="ignore")
+def _shorten(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else textwrap.shorten(t, width=n, placeholder="...") for t, n in zip(texts, sizes, strict=True)])
 
 
-def shortened(text: Column) -> Column:
-    """Texts above 500 characters: whitespace collapsed, cut at a word boundary to 500."""
-    long = F.length(text) > SHOWN
-    return F.when(long, _shorten(F.when(long, text))).otherwise(text)
+def shortened(text: Column, size: int | None = SHOWN) -> Column:
+    """Texts above ``size`` characters: whitespace collapsed, cut at a word boundary; whole if ``size`` is None."""
+    if size is None:
+        return text
+    long = F.length(text) > size
+    return F.when(long, _shorten(F.when(long, text), F.lit(size))).otherwise(text)
 
 
-def triage_pages(pages: DataFrame) -> DataFrame:
-    """Add ``status`` (pdf, empty, not_html or html) and, for all but html, a fallback title and content."""
+def triage_pages(pages: DataFrame, size: int | None = SHOWN) -> DataFrame:
+    """Add ``status`` (pdf, empty, not_html or html) and, for all but html, a fallback title and content.
+
+    The content of a page that is not HTML shows its raw text up to ``size`` characters, or whole.
+    """
     html = F.coalesce("html", F.lit(""))
     status = (
         F.when(tx.is_pdf_url(F.col("url")), "pdf")
@@ -51,7 +56,7 @@ def triage_pages(pages: DataFrame) -> DataFrame:
         .withColumn(
             "content",
             F.when(F.col("status") == "empty", K.EMPTY_PAGE[1]).when(
-                F.col("status") == "not_html", F.concat(F.lit(body), shortened(raw), F.lit("</p>"))
+                F.col("status") == "not_html", F.concat(F.lit(body), shortened(raw, size), F.lit("</p>"))
             ),
         )
     )
@@ -94,28 +99,36 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(data)
 
 
-def _prune(node) -> None:
+def _dropped(node) -> bool:
+    marks = set(f"{node[1].get('class', '')} {node[1].get('id', '')}".lower().split())
+    return node[0] in DROPPED or node[0] in ("head", "title") or bool(marks & AD_CLASSES)
+
+
+def _prune(root) -> None:
     """Remove what is not content: scripts, navigation, advertisements."""
-    kept = []
-    for child in node[2]:
-        if isinstance(child, list):
-            marks = set(f"{child[1].get('class', '')} {child[1].get('id', '')}".lower().split())
-            if child[0] in DROPPED or child[0] in ("head", "title") or marks & AD_CLASSES:
-                continue
-            _prune(child)
-        kept.append(child)
-    node[2] = kept
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node[2] = [c for c in node[2] if isinstance(c, str) or not _dropped(c)]
+        todo += [c for c in node[2] if isinstance(c, list)]
+
+
+def _walk(node):
+    """The node and all below it, texts too, in document order. Pages may nest deeper than Python calls."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        if isinstance(node, list):
+            todo += reversed(node[2])
 
 
 def _text(node) -> str:
-    return "".join(c if isinstance(c, str) else _text(c) for c in node[2])
+    return "".join(n for n in _walk(node) if isinstance(n, str))
 
 
 def _nodes(node):
-    yield node
-    for child in node[2]:
-        if isinstance(child, list):
-            yield from _nodes(child)
+    return (n for n in _walk(node) if isinstance(n, list))
 
 
 def _main_node(root):
@@ -128,25 +141,35 @@ def _main_node(root):
 
 
 def _html(node) -> str:
-    if isinstance(node, str):
-        return escape(node, quote=False)
-    tag, attrs, children = node
-    kept = "".join(f' {k}="{escape(v)}"' for k, v in attrs.items() if k in KEPT_ATTRIBUTES)
-    return f"<{tag}{kept}>" if tag in VOID else f"<{tag}{kept}>{''.join(map(_html, children))}</{tag}>"
+    out, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # the end of an element
+            out.append(node[0])
+        elif isinstance(node, str):
+            out.append(escape(node, quote=False))
+        else:
+            tag, attrs, children = node
+            kept = "".join(f' {k}="{escape(v)}"' for k, v in attrs.items() if k in KEPT_ATTRIBUTES)
+            out.append(f"<{tag}{kept}>")
+            if tag not in VOID:
+                todo.append((f"</{tag}>",))
+                todo += reversed(children)
+    return "".join(out)
 
 
 INLINE = {"b": "**", "strong": "**", "em": "*", "i": "*", "code": "`"}
 
 
-def _markdown(node, lists=()) -> str:
-    """Markdown of one element; ``lists`` holds the kinds of the lists around it."""
-    if isinstance(node, str):
-        return " ".join([""] * node[:1].isspace() + node.split() + [""] * node[-1:].isspace()) if node.strip() else " "
-    tag, attrs, children = node
+def _plain(text: str) -> str:
+    return " ".join([""] * text[:1].isspace() + text.split() + [""] * text[-1:].isspace()) if text.strip() else " "
+
+
+def _written(node, inner: str, kind: str | None, depth: int) -> str:
+    """Markdown of one element around its ``inner``; it stands in ``depth`` lists, the innermost of that kind."""
+    tag, attrs, _ = node
     if tag == "pre":
         return "\n\n```\n" + _text(node).strip("\n") + "\n```\n\n"
-    inner_lists = (*lists, tag) if tag in ("ul", "ol") else lists
-    inner = "".join(_markdown(c, inner_lists) for c in children)
     bare = inner.strip()
     if tag in INLINE:
         return f"{INLINE[tag]}{bare}{INLINE[tag]}" if bare else ""
@@ -161,17 +184,36 @@ def _markdown(node, lists=()) -> str:
     if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
         return f"\n\n{'#' * int(tag[1])} {bare}\n\n"
     if tag == "li":
-        mark = "1." if lists and lists[-1] == "ol" else "*"
-        return "\n" + "  " * (len(lists) - 1) + f"{mark} {bare}"
+        mark = "1." if kind == "ol" else "*"
+        return "\n" + "  " * (depth - 1) + f"{mark} {bare}"
     if tag == "blockquote":
         return "\n\n" + "\n".join(f"> {line}" for line in bare.split("\n")) + "\n\n"
-    if tag in ("ul", "ol") and lists:
+    if tag in ("ul", "ol") and depth:
         return inner
     if tag in CLOSES_PARAGRAPH or tag in ("tr", "body"):
         return f"\n\n{inner.strip(' ')}\n\n"
     return inner
 
 
+def _markdown(node) -> str:
+    """Markdown of one element or text. Each open element waits with its children to come and the parts it has."""
+    opened = [(None, None, 0, iter([node]), [])]
+    while True:
+        element, kind, depth, children, parts = opened[-1]
+        child = next(children, None)
+        if child is None:
+            opened.pop()
+            if not opened:
+                return "".join(parts)
+            _, kind, depth, _, around = opened[-1]
+            around.append(_written(element, "".join(parts), kind, depth))
+        elif isinstance(child, str):
+            parts.append(_plain(child))
+        else:
+            inner = (child[0], depth + 1) if child[0] in ("ul", "ol") else (kind, depth)
+            opened.append((child, *inner, iter(() if child[0] == "pre" else child[2]), []))
+
+
 def _tidy(markdown: str) -> str:
     """At most one empty line in a row, no blanks at line starts outside lists."""
     out: list[str] = []
@@ -208,15 +250,18 @@ def _read_articles(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=ARTICLE.names)
 
 
-def extract_articles(pages: DataFrame) -> DataFrame:
-    """``page_id, url, status, title, content, markdown``: one article per page, fallbacks included."""
-    triaged = triage_pages(pages)
+def extract_articles(pages: DataFrame, size: int | None = None) -> DataFrame:
+    """``page_id, url, status, title, content, markdown``: one article per page, fallbacks included.
+
+    A page that is not HTML or cannot be read keeps its raw text, whole unless ``size`` bounds it.
+    """
+    triaged = triage_pages(pages, size)
     html = F.col("status") == "html"
     read = triaged.withColumn("_a", _read_articles(F.when(html, F.col("html"))))
     failed = html & F.col("_a.error").isNotNull()
     title, body = K.FAILED_PAGE
     raw = F.when(failed, F.col("html"))
-    content = F.when(failed, F.concat(F.lit(body), shortened(raw), F.lit("</p>"))).otherwise(
+    content = F.when(failed, F.concat(F.lit(body), shortened(raw, size), F.lit("</p>"))).otherwise(
         F.coalesce("_a.content", "content")
     )
     fallback_text = F.regexp_replace("content", "^<p>|</p>$", "")
