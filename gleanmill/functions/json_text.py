@@ -54,39 +54,51 @@ class _Lenient:
         return self.text[self.at] if self.at < len(self.text) else ""
 
     def value(self):
-        char = self.peek()
-        if char == "{":
-            return self.object()
-        if char == "[":
-            return self.array()
-        if char in ('"', "'"):
-            return self.string(char)
-        return self.word()
-
-    def object(self) -> dict:
-        self.at += 1
-        out: dict = {}
-        while (char := self.peek()) not in ("", "}"):
-            if char in ",:;]":
+        """One value. Containers that are not closed yet wait on a stack, each with the key it reads a value for."""
+        opened: list[list] = []
+        while True:
+            char = self.peek()
+            if char in ("{", "["):
+                self.at += 1
+                opened.append([{} if char == "{" else [], None])
+            else:
+                done = self.string(char) if char in ('"', "'") else self.word()
+                if not opened:
+                    return done
+                self.put(opened[-1], done)
+            while not self.goes_on(opened[-1]):
+                done = opened.pop()[0]
+                if not opened:
+                    return done
+                self.put(opened[-1], done)
+
+    @staticmethod
+    def put(container: list, value) -> None:
+        held, key = container
+        if isinstance(held, dict):
+            held[key] = value
+        else:
+            held.append(value)
+
+    def goes_on(self, container: list) -> bool:
+        """Move to the next value of a container; false, and behind its end, if there is none."""
+        held = container[0]
+        closer, skipped = ("}", ",:;]") if isinstance(held, dict) else ("]", ",:;}")
+        while (char := self.peek()) not in ("", closer):
+            if char in skipped:
                 self.at += 1
                 continue
-            key = self.string(char) if char in ('"', "'") else self.bare(":,}{[")
+            if closer == "]":
+                return True
+            key = str(self.string(char) if char in ('"', "'") else self.bare(":,}{["))
             if self.peek() == ":":
                 self.at += 1
-            out[str(key)] = "" if self.peek() in ("", ",", "}") else self.value()
+            if self.peek() not in ("", ",", "}"):
+                container[1] = key
+                return True
+            held[key] = ""
         self.at += 1
-        return out
-
-    def array(self) -> list:
-        self.at += 1
-        out: list = []
-        while (char := self.peek()) not in ("", "]"):
-            if char in ",:;}":
-                self.at += 1
-                continue
-            out.append(self.value())
-        self.at += 1
-        return out
+        return False
 
     def string(self, quote: str) -> str:
         self.at += 1
@@ -130,6 +142,28 @@ def lenient_loads(text: str):
     return reader.value()
 
 
+def dumped(value) -> str:
+    """JSON text as ``json.dumps`` writes it, of values nested to any depth."""
+    out, todo = [], [(value, None)]
+    while todo:
+        value, text = todo.pop()
+        if text is not None:
+            out.append(text)
+        elif value and isinstance(value, dict | list):
+            fields = isinstance(value, dict)
+            parts = [(None, "{" if fields else "[")]
+            for k, item in enumerate(value.items() if fields else value):
+                lead = ", " if k else ""
+                if fields:
+                    key, item = item
+                    lead += json.dumps(key, ensure_ascii=False) + ": "
+                parts += [(None, lead), (item, None)]
+            todo += reversed([*parts, (None, "}" if fields else "]")])
+        else:
+            out.append(json.dumps(value, ensure_ascii=False))
+    return "".join(out)
+
+
 @F.pandas_udf(T.StringType())
 def _frame(texts: pd.Series) -> pd.Series:
     return texts.map(framed, na_action="ignore")
@@ -140,8 +174,8 @@ def _repair(texts: pd.Series) -> pd.Series:
     def fix(text):
         text = framed(text)
         try:
-            return json.dumps(lenient_loads(text), ensure_ascii=False)
-        except (ValueError, RecursionError):
+            return dumped(lenient_loads(text))
+        except ValueError:
             return text
 
     return texts.map(fix, na_action="ignore")
@@ -152,9 +186,9 @@ def _read_args(texts: pd.Series) -> pd.Series:
     def fix(text):
         try:
             value = lenient_loads(text)
-        except (ValueError, RecursionError):
+        except ValueError:
             return "{}"
-        return json.dumps(value if isinstance(value, dict) else {"_parsed": value}, ensure_ascii=False)
+        return dumped(value if isinstance(value, dict) else {"_parsed": value})
 
     return texts.map(fix, na_action="ignore")
 
