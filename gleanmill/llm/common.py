@@ -70,8 +70,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the files go when the session's JVM ends."""
     spark = df.sparkSession
-    place = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    place = scratch(spark, label)
     df.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(place)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, with its scheme; what is written there goes when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(path)
+    return system.makeQualified(path).toString()

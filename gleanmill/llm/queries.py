@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmill.llm import (
+    fill_middle,
     language_id,
+    merkle,
     mixing,
     multi_index,
     packing,
@@ -19,8 +21,10 @@ from gleanmill.llm import (
     token_counts,
     token_files,
     toxicity,
+    warc,
 )
 from gleanmill.llm.common import fold, table
+from gleanmill.llm.twins import FILL_MIDDLE_SQL, MERKLE_SQL, WARC_SQL
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -75,11 +79,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered are the rows whose crc32(doc_id) 7 divides; a null id is left alone."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(docs, altered=F.coalesce(fold(F.col("doc_id"), 7) == 0, F.lit(False)))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_simhash_near_duplicates, op3_token_counts, op4_mix_sources, op5_quality_rules,
         op6_multi_index_search, op7_token_files, op8_toxicity, op9_harmonic_packing, op10_substring_dedup,
+        op11_merkle_manifest, op12_warc_archives, op13_fill_in_middle,
     )
 }
 
@@ -129,4 +151,7 @@ select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_removed, 0
   sha256(array_to_string(case when n_removed is null then words else list_filter(words, lambda x, p: not list_contains(places, p)) end, ' ')) as kept_sha256
 from w left join lost using (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op10_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": QUALITY_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_merkle_manifest": MERKLE_SQL,
+    "op12_warc_archives": WARC_SQL, "op13_fill_in_middle": FILL_MIDDLE_SQL,
+}
