@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmill.llm import mixing, near_copies, packing, quality, substring_dedup
+from gleanmill.llm import mixing, packing, quality, simhash, substring_dedup
 from gleanmill.llm.common import narrow_batches, table
 from gleanmill.llm.queries import WORD_TOKENIZER
 from gleanmill.session import shared_folder
@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose five-word shingles are linked by a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays whose SimHash fingerprints are linked, by shingle length and bit distance of op2."""
     narrow_batches(spark)
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-# MinHash bands, tokenizers and the drawn copies have no SQL form; the stages are tested against brute force.
+# Fingerprints, tokenizers and the drawn copies have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
