@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+from test_line_removal import cleaned
 from test_quality import plain as plain_quality
 from test_simhash import plain_components, plain_fingerprint
 from test_substring_dedup import plain as plain_substrings
@@ -24,7 +25,7 @@ def test_stages_match_plain_versions(spark, tmp_path):
         if k < 4:
             assert docs.columns == COLUMNS
     start = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    kept = sorted(r for r in start if plain_quality(r[1])[-1])
+    kept = sorted((r[0], cleaned(r[1]), *r[2:]) for r in start if plain_quality(r[1])[-1])
     assert sorted(results[0]) == kept and 0 < len(kept) < len(start)
     single = {d for d, _, c in plain_components([(r[0], plain_fingerprint(r[1])) for r in kept]) if d == c}
     assert sorted(results[1]) == [r for r in kept if r[0] in single]
@@ -62,4 +63,12 @@ assert set(e.oracle_sql()) <= set(names)
 def test_entry_with_the_operators():
     import __spark_entry__ as entry
 
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in entry.queries()}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {n.split("_")[0] for n in entry.queries()}
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.schema(docs.schema if k < 4 else "doc_id long").parquet(str(tmp_path / str(k)))
+        assert docs.count() == 0
