@@ -164,6 +164,50 @@ def dumped(value) -> str:
     return "".join(out)
 
 
+def loads(text: str):
+    """``json.loads`` for JSON nested to any depth; raises ValueError if it is none."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return lenient_loads(text)
+
+
+def dumps(value) -> str:
+    """``json.dumps`` of values nested to any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return dumped(value)
+
+
+def args_text(text: str) -> str:
+    """JSON text of streamed arguments, as :func:`parse_streamed_args` gives it."""
+    body = text.strip()
+    try:
+        loads(body)
+    except ValueError:
+        return _args_of(body)
+    return body
+
+
+def field_text(text: str | None, name: str) -> str | None:
+    """A field of a JSON object as text, null where there is none."""
+    try:
+        value = loads(text or "")
+    except ValueError:
+        return None
+    found = value.get(name) if isinstance(value, dict) else None
+    return found if found is None or isinstance(found, str) else dumped(found)
+
+
+def _args_of(text: str) -> str:
+    try:
+        value = lenient_loads(text)
+    except ValueError:
+        return "{}"
+    return dumped(value if isinstance(value, dict) else {"_parsed": value})
+
+
 @F.pandas_udf(T.StringType())
 def _frame(texts: pd.Series) -> pd.Series:
     return texts.map(framed, na_action="ignore")
@@ -183,14 +227,7 @@ def _repair(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _read_args(texts: pd.Series) -> pd.Series:
-    def fix(text):
-        try:
-            value = lenient_loads(text)
-        except ValueError:
-            return "{}"
-        return dumped(value if isinstance(value, dict) else {"_parsed": value})
-
-    return texts.map(fix, na_action="ignore")
+    return texts.map(_args_of, na_action="ignore")
 
 
 def is_json(text: Column) -> Column:
@@ -376,14 +413,14 @@ def _nested_citations(texts: pd.Series) -> pd.Series:
 
     def walk(text):
         try:
-            level = [json.loads(text)]
+            level = [loads(text)]
         except ValueError:
             return []
         found = []
         while level := [node for node in level if isinstance(node, dict)]:
             for node in level:
                 if isinstance(node.get("citations"), list):
-                    found += [json.dumps(c, ensure_ascii=False) for c in node["citations"]]
+                    found += map(dumps, node["citations"])
             level = [c for node in level for v in node.values() for c in (v if isinstance(v, list) else [v])]
         return found
 

@@ -17,7 +17,8 @@ from gleanmill.operators.ordering import joined_text, numbered, prior_max
 KEY = ["thread_id", "url"]
 FIELDS = ["title", "description", "content_snippet", "raw_content"]
 ITEM = "array<struct<type: string, url: string, title: string, content: string, score: double>>"
-WIDTH = 1_000_000
+# Positions inside one message; an array's index is below this, so messages keep their order.
+WIDTH = 1 << 31
 
 
 def _http(url: Column) -> Column:

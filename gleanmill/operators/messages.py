@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,7 +161,7 @@ def _short_raw_content(texts: pd.Series) -> pd.Series:
 
     def cut(text):
         try:
-            items = json.loads(text)
+            items = jt.loads(text)
         except ValueError:
             return text
         long = [
@@ -172,7 +170,7 @@ def _short_raw_content(texts: pd.Series) -> pd.Series:
         ] if isinstance(items, list) else []
         for item in long:
             item["raw_content"] = item["raw_content"][:RAW_SIZE]
-        return json.dumps(items, ensure_ascii=False) if long else text
+        return jt.dumps(items) if long else text
 
     return texts.map(cut, na_action="ignore")
 

@@ -1,9 +1,14 @@
 """Ordered computations that never sort a whole group in one task.
 
-Input rows carry a ``seq`` that is a BIGINT, unique inside its group. A group is therefore cut into
-*blocks* of consecutive seq values, so that no block can hold more than ``block_rows`` rows however
-hot the group is. Each helper works inside the blocks first, then carries one summary row per block
-across the group, and adds the two. The summaries are smaller than the group by the block size.
+Input rows carry an order column, unique inside its group: a number, or a struct where several columns decide. A group
+with more than a block's rows is *hot* and is cut into blocks at quantiles of its order column, estimated from a sample
+chosen by hash; how dense or sparse the values are does not matter. Each helper works inside the blocks first, then carries
+one summary row per block across the group, and adds the two.
+
+A block has about ``block_rows`` rows, or 1 / ``MAX_BLOCKS`` of all rows if that is more. There are thus at most
+2 * ``MAX_BLOCKS`` cuts and summaries over all groups together, whatever the size of the table, and both are broadcast for
+that reason. Groups that are not hot need neither: without hot groups the joins are over empty tables, which the adaptive
+plan leaves out, and what remains is a count per group and one window.
 """
 
 from __future__ import annotations
@@ -12,68 +17,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
+MAX_BLOCKS = 8192
+SAMPLES = 16  # expected sampled rows per block
+FAN = 96  # cuts looked at in one step of the search for a row's block
 BLOCK = "_block"
 
 
-def with_block(df: DataFrame, seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(seq) / F.lit(block_rows)))
+def _cuts(df: DataFrame, group: list[str], seq: str, block_rows: int) -> DataFrame:
+    """The hot groups with ``_cuts``, the first order values of their blocks but the first block's."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    everything = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    block = F.greatest(F.lit(block_rows).cast("long"), F.ceil(everything / F.lit(MAX_BLOCKS)))
+    hot = sizes.withColumn("_size", block).where("_rows > _size")
+    stride = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_size") / F.lit(SAMPLES)))
+    sampled = df.select(*group, F.col(seq).alias("_at")).join(F.broadcast(hot), group).where(F.pmod(F.xxhash64("_at"), stride) == 0)
+    found = sampled.groupBy(*group).agg(
+        F.sort_array(F.collect_list("_at")).alias("_sample"), F.max(F.ceil(F.col("_rows") / F.col("_size"))).alias("_blocks"))
+    cuts = F.expr("transform(sequence(1, _blocks - 1), i -> _sample[cast(i * size(_sample) div _blocks as int)])")
+    return found.where("size(_sample) > 0 and _blocks > 1").select(*group, cuts.alias("_cuts"))
+
+
+def _block_of(seq: str) -> tuple[Column, Column]:
+    """How many of ``_cuts`` are not above the row's order value; and before that, how many whole stretches of cuts are not."""
+    passed = f"size(filter(transform(sequence(1, size(_cuts) div {FAN}), i -> _cuts[cast(i * {FAN} - 1 as int)]), c -> c <= `{seq}`))"
+    passed = f"case when size(_cuts) < {FAN} then 0 else {passed} end"
+    inside = f"size(filter(slice(_cuts, _passed * {FAN} + 1, {FAN}), c -> c <= `{seq}`))"
+    return F.expr(f"_passed * {FAN} + {inside}"), F.expr(passed)
+
+
+def with_block(df: DataFrame, group: list[str], seq: str, block_rows: int = BLOCK_ROWS, hot_only: bool = False) -> DataFrame:
+    """``df`` with the block of each row, 0 in groups that are not hot (or without those)."""
+    cuts = F.broadcast(_cuts(df, group, seq, block_rows))
+    block, passed = _block_of(seq)
+    joined = df.join(cuts, group, "inner" if hot_only else "left").withColumn("_passed", passed)
+    return joined.withColumn(BLOCK, F.when(F.col("_cuts").isNull(), 0).otherwise(block)).select(*df.columns, BLOCK)
+
+
+def _carried(df: DataFrame, group: list[str], seq: str, block_rows: int, summary: Column, carry: Column) -> DataFrame:
+    """Group, block and ``_carry`` of the blocks of hot groups; ``carry`` is made of each block's ``summary``, ``_n``."""
+    cells = with_block(df, group, seq, block_rows, hot_only=True)
+    return F.broadcast(cells.groupBy(*group, BLOCK).agg(summary.alias("_n")).select(*group, BLOCK, carry.alias("_carry")))
 
 
 def numbered(df: DataFrame, group: list[str], seq: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``out``: the 1-based rank of each row by ``seq`` inside its group."""
-    cells = with_block(df, seq, block_rows)
     keys = [*group, BLOCK]
+    cells = with_block(df, group, seq, block_rows)
     local = cells.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
     earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        cells.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carry"))
-    )
-    return (
-        local.join(carry, keys)
-        .withColumn(out, F.col(out) + F.col("_carry"))
-        .drop(BLOCK, "_carry")
-    )
+    carry = _carried(df.select(*group, seq), group, seq, block_rows, F.count(F.lit(1)), F.sum("_n").over(earlier))
+    return _added(local, carry, keys, out)
+
+
+def _added(local: DataFrame, carry: DataFrame, keys: list[str], out: str) -> DataFrame:
+    joined = local.join(carry, keys, "left")
+    kept = [c for c in local.columns if c not in (BLOCK, out)]
+    return joined.select(*kept, (F.col(out) + F.coalesce("_carry", F.lit(0))).alias(out))
 
 
 def ranked_by_score(
     df: DataFrame, group: list[str], score: Column, seq: str, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``out``: the 1-based rank by score descending, then ``seq``, inside each group.
-
-    Rows of one exact score form cells by seq block, so ties are split; the cells are ordered inside
-    coarse score bands, so that a group of all-different scores is split too. Squashing the score bounds the
-    number of bands (8193) whatever its range.
-    """
-    cells = with_block(df.withColumn("_score", score), seq, block_rows)
-    keys = [*group, "_score", BLOCK]
-    local = cells.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
-    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    squashed = F.col("_score") / (F.abs("_score") + F.lit(1.0))
-    sizes = sizes.withColumn("_band", F.floor(squashed * F.lit(4096.0)))
-    in_band = (
-        Window.partitionBy(*group, "_band")
-        .orderBy(F.desc("_score"), BLOCK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    higher = Window.partitionBy(*group).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = (
-        sizes.groupBy(*group, "_band")
-        .agg(F.sum("_n").alias("_band_n"))
-        .withColumn("_higher", F.coalesce(F.sum("_band_n").over(higher), F.lit(0)))
-        .drop("_band_n")
-    )
-    carry = (
-        sizes.withColumn("_carry", F.coalesce(F.sum("_n").over(in_band), F.lit(0)))
-        .join(bands, [*group, "_band"])
-        .select(*keys, (F.col("_carry") + F.col("_higher")).alias("_carry"))
-    )
-    return (
-        local.join(carry, keys)
-        .withColumn(out, F.col(out) + F.col("_carry"))
-        .drop("_score", BLOCK, "_carry")
-    )
+    """Add ``out``: the 1-based rank by score descending (not a number first, null last), then ``seq``, inside each group."""
+    order = F.struct(score.isNull(), ~F.isnan(score), -score, F.col(seq))
+    return numbered(df.withColumn("_order", order), group, "_order", out, block_rows).drop("_order")
 
 
 def running_sum(
@@ -87,44 +94,27 @@ def running_sum(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows up to this one (or strictly before it)."""
-    cells = with_block(df.withColumn("_value", value), seq, block_rows)
-    keys = [*group, BLOCK]
-    by = F.desc if newest_first else F.asc
-    last = 0 if inclusive else -1
+    keys, by, last = [*group, BLOCK], F.desc if newest_first else F.asc, 0 if inclusive else -1
+    valued = df.withColumn("_value", value)
     inner = Window.partitionBy(*keys).orderBy(by(seq)).rowsBetween(Window.unboundedPreceding, last)
     outer = Window.partitionBy(*group).orderBy(by(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    local = cells.withColumn(out, F.coalesce(F.sum("_value").over(inner), F.lit(0)))
-    carry = (
-        cells.groupBy(*keys)
-        .agg(F.sum("_value").alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_carry"))
-    )
-    return (
-        local.join(carry, keys)
-        .withColumn(out, F.col(out) + F.col("_carry"))
-        .drop(BLOCK, "_value", "_carry")
-    )
+    cells = with_block(valued, group, seq, block_rows)
+    local = cells.withColumn(out, F.coalesce(F.sum("_value").over(inner), F.lit(0))).drop("_value")
+    carry = _carried(valued.select(*group, seq, "_value"), group, seq, block_rows, F.sum("_value"), F.sum("_n").over(outer))
+    return _added(local, carry, keys, out)
 
 
 def prior_max(
     df: DataFrame, group: list[str], seq: str, value: Column, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add ``out``: the largest ``value`` of the rows strictly before this one, null for the first."""
-    cells = with_block(df.withColumn("_value", value), seq, block_rows)
     keys = [*group, BLOCK]
+    valued = df.withColumn("_value", value)
     inner = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    local = cells.withColumn(out, F.max("_value").over(inner))
-    carry = (
-        cells.groupBy(*keys)
-        .agg(F.max("_value").alias("_n"))
-        .select(*keys, F.max("_n").over(outer).alias("_carry"))
-    )
-    return (
-        local.join(carry, keys)
-        .withColumn(out, F.greatest(F.col(out), F.col("_carry")))
-        .drop(BLOCK, "_value", "_carry")
-    )
+    local = with_block(valued, group, seq, block_rows).withColumn(out, F.max("_value").over(inner))
+    carry = _carried(valued.select(*group, seq, "_value"), group, seq, block_rows, F.max("_value"), F.max("_n").over(outer))
+    return local.join(carry, keys, "left").withColumn(out, F.greatest(F.col(out), F.col("_carry"))).drop(BLOCK, "_value", "_carry")
 
 
 def last_known(
@@ -137,21 +127,19 @@ def last_known(
 ) -> DataFrame:
     """Add, for each named value, its latest non-null one before this row (an as-of lookup)."""
     hidden = {name: f"_v{i}" for i, name in enumerate(values)}
-    cells = with_block(df.withColumns({hidden[n]: c for n, c in values.items()}), seq, block_rows)
     keys = [*group, BLOCK]
+    valued = df.withColumns({hidden[n]: c for n, c in values.items()})
     inner = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     outer = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    local = cells.withColumns({n: F.last(h, ignorenulls=True).over(inner) for n, h in hidden.items()})
-    summary = cells.groupBy(*keys).agg(
-        *[F.max_by(h, F.when(F.col(h).isNotNull(), F.col(seq))).alias(h) for h in hidden.values()]
-    )
-    carry = summary.select(
-        *keys, *[F.last(h, ignorenulls=True).over(outer).alias(f"_carry{h}") for h in hidden.values()]
-    )
+    local = with_block(valued, group, seq, block_rows).withColumns(
+        {n: F.last(h, ignorenulls=True).over(inner) for n, h in hidden.items()})
+    latest = F.struct(*[F.max_by(h, F.when(F.col(h).isNotNull(), F.col(seq))).alias(h) for h in hidden.values()])
+    known = F.struct(*[F.last(f"_n.{h}", ignorenulls=True).over(outer).alias(h) for h in hidden.values()])
+    carry = _carried(valued.select(*group, seq, *hidden.values()), group, seq, block_rows, latest, known)
     return (
-        local.join(carry, keys)
-        .withColumns({n: F.coalesce(F.col(n), F.col(f"_carry{h}")) for n, h in hidden.items()})
-        .drop(BLOCK, *hidden.values(), *[f"_carry{h}" for h in hidden.values()])
+        local.join(carry, keys, "left")
+        .withColumns({n: F.coalesce(F.col(n), F.col(f"_carry.{h}")) for n, h in hidden.items()})
+        .drop(BLOCK, *hidden.values(), "_carry")
     )
 
 
@@ -171,7 +159,7 @@ def joined_text(
     """
     firsts, lasts = firsts or {}, lasts or {}
     columns = {**texts, **firsts, **lasts}
-    cells = with_block(df.select(*group, seq, *[c.alias(n) for n, c in columns.items()]), seq, block_rows)
+    cells = with_block(df.select(*group, seq, *[c.alias(n) for n, c in columns.items()]), group, seq, block_rows)
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
 
     def combine(order: str) -> list[Column]:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanmill.functions import json_text as jt
 from gleanmill.functions import text as tx
-from gleanmill.operators.ordering import BLOCK_ROWS, joined_text, prior_max
+from gleanmill.operators.ordering import joined_text, prior_max
 
 MESSAGE = ["thread_id", "message_id"]
-# Fragments of one event are ordered inside its seq.
-FRAGMENTS = 1000
 
 
 def assemble_tool_calls(chunks: DataFrame) -> DataFrame:
@@ -92,11 +90,10 @@ def _call_args(calls: DataFrame, chunks: DataFrame, by_index: bool) -> DataFrame
     live = chunks.join(since, MESSAGE).filter(F.col("seq") >= F.col("_since"))
     placed = live.join(places, [*MESSAGE, "chunk_id"], "left")
     known = placed.filter(F.col("chunk_id").isNull() | F.col("pos").isNotNull())
-    rows = BLOCK_ROWS * FRAGMENTS
     if by_index:
         owned = known.withColumn("owner", F.coalesce("pos", "idx"))
     else:
-        owned = prior_max(known, MESSAGE, "ord", -F.col("pos"), "_first", rows).withColumn(
+        owned = prior_max(known, MESSAGE, "ord", -F.col("pos"), "_first").withColumn(
             "owner", F.coalesce("pos", -F.col("_first"))
         )
     owned = owned.filter(F.col("owner").isNotNull())
@@ -104,9 +101,7 @@ def _call_args(calls: DataFrame, chunks: DataFrame, by_index: bool) -> DataFrame
     fresh = owned.join(restarts, [*MESSAGE, "owner"], "left").filter(
         F.col("_start").isNull() | (F.col("ord") >= F.col("_start"))
     )
-    texts = joined_text(
-        fresh, [*MESSAGE, "owner"], "ord", {"streamed": tx.unescape_brackets(F.col("args"))}, block_rows=rows
-    )
+    texts = joined_text(fresh, [*MESSAGE, "owner"], "ord", {"streamed": tx.unescape_brackets(F.col("args"))})
     return texts.withColumnRenamed("owner", "pos")
 
 
@@ -127,7 +122,7 @@ def assemble_calls(events: DataFrame, by_index: bool = False) -> DataFrame:
     chunks = alive.filter(F.col("event").isin("tool_calls", "tool_call_chunks")).select(
         *MESSAGE, "seq", F.posexplode("tool_call_chunks").alias("at", "k")
     ).select(
-        *MESSAGE, "seq", (F.col("seq") * FRAGMENTS + F.col("at")).alias("ord"), tx.filled(F.col("k.id")).alias("chunk_id"),
+        *MESSAGE, "seq", F.struct("seq", "at").alias("ord"), tx.filled(F.col("k.id")).alias("chunk_id"),
         F.col("k.index").alias("idx"), F.col("k.args").alias("args"),
     )
     finished = alive.filter(
@@ -145,7 +140,7 @@ def assemble_messages(events: DataFrame, calls: DataFrame | None = None) -> Data
     """One row per message out of its stream of events: content, reasoning, finish reason, still streaming.
 
     Texts are concatenated in order, per block of events first. What follows an ``error`` event of the
-    thread is ignored. With ``calls`` (assemble_calls), the message of a ``direct_response`` call replaces
+    thread is ignored. Events with a column ``options`` give the options of the message's last interrupt. With ``calls`` (assemble_calls), the message of a ``direct_response`` call replaces
     the content.
     """
     alive = before_errors(events).filter(~F.col("event").isin("citations", "error", "tool_call_result"))
@@ -160,12 +155,14 @@ def assemble_messages(events: DataFrame, calls: DataFrame | None = None) -> Data
         lasts={
             "finish_reason": F.col("finish_reason"),
             "_interrupted": F.when(F.col("event") == "interrupt", F.lit(True)),
+            **({"options": F.when(F.col("event") == "interrupt", F.col("options"))} if "options" in events.columns else {}),
         },
     )
     messages = joined.select(
         *MESSAGE, "first_seq", "role", "agent", F.coalesce("content", F.lit("")).alias("content"),
         tx.filled(F.col("reasoning")).alias("reasoning"), "finish_reason",
         (F.col("finish_reason").isNull() & F.col("_interrupted").isNull()).alias("streaming"),
+        *(["options"] if "options" in events.columns else []),
     )
     if calls is None:
         return messages

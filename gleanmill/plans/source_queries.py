@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanmill.plans.registry import Query
 from gleanmill.plans.views import ctes, view
+from gleanmill.session import scratch_folder
 from gleanmill.sources import event_log as L
 from gleanmill.sources import parse_batches as B
 from gleanmill.sources import provider_results as P
@@ -22,8 +23,10 @@ def _chunk_events(spark, sf):
 
 
 def _read_log(spark, sf):
-    """Every chunk as a frame text, then back: fields come from the parsed data."""
-    parsed = L.parse_frames(L.make_frames(_chunk_events(spark, sf)))
+    """Every chunk written to log files and read back: fields come from the parsed data."""
+    path = scratch_folder(spark, "log")
+    L.write_event_log(_chunk_events(spark, sf), path)
+    parsed = L.read_event_log(spark, path)
     value = F.from_json(
         "data", "thread_id bigint, seq bigint, id string, role string, content string, finish_reason string"
     )
@@ -32,8 +35,9 @@ def _read_log(spark, sf):
 
 def _user_log(spark, sf):
     users = view(spark, sf, "v_messages").filter("role = 'user'")
-    frames = L.make_frames(L.user_frames(users))
-    return L.parse_frames(frames).select(
+    path = scratch_folder(spark, "user-log")
+    L.write_event_log(L.user_frames(users), path)
+    return L.read_event_log(spark, path).select(
         "event",
         F.get_json_object("data", "$.id").alias("id"),
         F.get_json_object("data", "$.role").alias("role"),

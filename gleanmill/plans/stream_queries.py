@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleanmill.plans.registry import Query
 from gleanmill.plans.views import ctes, view
-from gleanmill.session import shared_folder
+from gleanmill.plans.trace_queries import ALIVE_SQL, CALLS_OF_MESSAGES, EVENTS
+from gleanmill.session import scratch_folder
 from gleanmill.sources import event_log as L
 from gleanmill.sources.tables import read_arrivals
 from gleanmill.streaming import conversations as S
 
 
-def _place(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+FILES_PER_BATCH = 4
 
 
 def _streamed(spark, rows):
-    """The rows as a file stream."""
-    path = _place(spark, "input")
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    """The rows as a file stream of several micro-batches; a thread is in one file."""
+    path = scratch_folder(spark, "input")
+    rows.repartition("thread_id").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def _drained(spark, stream):
     """Run a stream over all its input and read what it wrote."""
-    out = _place(spark, "output")
-    S.write_stream(stream, out, _place(spark, "checkpoint")).awaitTermination()
+    out = scratch_folder(spark, "output")
+    S.write_stream(stream, out, scratch_folder(spark, "checkpoint")).awaitTermination()
     return read_arrivals(spark, out).drop("batch_id")
 
 
@@ -42,11 +40,12 @@ def _flushed(spark, sf):
 
 
 def _messages(spark, sf):
-    events = _chunks(spark, sf).select(
-        F.lit("message_chunk").alias("event"), "thread_id", "message_id", "seq", "role", "agent", "content",
-        F.when((F.col("role") == "assistant") & (F.col("piece") == 0), "because ").alias("reasoning_content"), "finish_reason",
-    )
-    return _drained(spark, S.stream_assemble(_streamed(spark, events)))
+    """Texts, tool calls and errors of all threads, one row per message with its calls as text."""
+    events = spark.sql(EVENTS, v_stream_chunks=view(spark, sf, "v_stream_chunks")).withColumn("thread_id", F.col("thread_id").cast("string"))
+    calls = F.transform("calls", lambda c: F.concat_ws(" ", c["call_id"], c["name"], c["args"]))
+    return _drained(spark, S.stream_assemble(_streamed(spark, events))).select(
+        "thread_id", "message_id", "role", "agent", "content", "reasoning", "finish_reason", "streaming",
+        F.array_join(calls, "\n").alias("calls"))
 
 
 O, E = "chr(123)", "chr(125)"
@@ -63,7 +62,7 @@ def _citations(spark, sf):
 
 
 def _log(spark, sf):
-    path = _place(spark, "log")
+    path = scratch_folder(spark, "log")
     L.write_event_log(
         _chunks(spark, sf).select(
             F.lit("message_chunk").alias("event"), "thread_id", "seq", F.col("message_id").alias("id"), "role", "content"
@@ -71,7 +70,7 @@ def _log(spark, sf):
         path,
     )
     fields = "thread_id string, seq bigint, id string, role string, content string"
-    events = L.read_event_log(spark, path, streaming=True).select("event", F.from_json("data", fields).alias("d"))
+    events = L.read_event_log(spark, path, streaming=True, files_per_batch=FILES_PER_BATCH).select("event", F.from_json("data", fields).alias("d"))
     return _drained(spark, events.select("event", "d.*"))
 
 
@@ -88,9 +87,13 @@ select thread_id, cast(flush_no as bigint) as flush_no, seq, message from counte
     ),
     "stream_assemble": Query(
         _messages,
-        ctes("v_stream_chunks") + """ select cast(thread_id as string) as thread_id, message_id, any_value(role) as role, any_value(agent) as agent,
-  string_agg(content, '' order by seq) as content, case when any_value(role) = 'assistant' then 'because ' end as reasoning,
-  max(finish_reason) as finish_reason from v_stream_chunks group by 1, 2 having max(finish_reason) is not null""",
+        ALIVE_SQL + """, texts as (select thread_id, message_id, any_value(role) as role, any_value(agent) as agent,
+    string_agg(content, '' order by seq) as content, max(finish_reason) as finish_reason from alive group by 1, 2)""" + CALLS_OF_MESSAGES + """,
+listed as (select thread_id, message_id, string_agg(call_id || ' ' || name || ' ' || args, chr(10) order by pos) as calls from calls group by 1, 2)
+select cast(t.thread_id as string) as thread_id, t.message_id, role, agent, content, case when role = 'assistant' then 'because ' end as reasoning,
+  finish_reason, finish_reason is null as streaming, coalesce(calls, '') as calls
+from texts t left join listed l on t.thread_id = l.thread_id and t.message_id = l.message_id
+where finish_reason is not null or t.thread_id in (select thread_id from v_stream_chunks where thread_id % 7 = 0 and seq = 0)""",
     ),
     "stream_citations": Query(
         _citations,

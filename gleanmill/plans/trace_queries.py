@@ -132,6 +132,17 @@ alive as (select * from v_stream_chunks where thread_id % 7 <> 0 or seq * 4 < 12
 called as (select * from v_stream_chunks where thread_id % 7 <> 0 or seq * 4 - 1 < 12000010)
 """
 
+CALLS_OF_MESSAGES = f""", firsts as (select thread_id, message_id, max(piece) as p, max(finish_reason) is not null as done from called
+            where role = 'assistant' group by 1, 2),
+ended as (select thread_id, message_id from alive where finish_reason is not null),
+numbers as (select thread_id, message_id, string_agg(piece, ', ' order by piece) filter (where piece = 1 or piece > 2) as own
+  from called where role = 'assistant' group by 1, 2),
+calls as (select f.thread_id, f.message_id, c.pos, f.message_id || ':' || c.pos as call_id, c.name,
+  case when e.message_id is not null and c.pos = 0 and p >= 1 then {O} || '"_parsed": [' || own || ']' || {E}
+       when e.message_id is not null and c.pos = 1 and p >= 2 then {O} || '"_parsed": [2]' || {E} else c.args end as args
+from firsts f join numbers n using (thread_id, message_id) left join ended e using (thread_id, message_id)
+cross join (values (0, 'web_search', ''), (1, 'crawl_tool', 'as given'), (2, 'local_search_tool', '')) as c(pos, name, args))"""
+
 SESSIONS = """, ranked as (select *, coalesce(sum(case when agent = 'reporter' and finish_reason is not null then 1 else 0 end) over (
     partition by thread_id order by seq rows between unbounded preceding and 1 preceding), 0) + 1 as session_no
   from v_messages where agent in ('coder', 'reporter', 'researcher', 'analyst')),
@@ -290,16 +301,7 @@ select thread_id, message_id, role, agent, content, case when role = 'assistant'
         lambda spark, sf: C.assemble_calls(_events(spark, sf)).select(
             "thread_id", "message_id", *_long("pos"), "call_id", "name", "args"
         ),
-        ALIVE_SQL + f""", firsts as (select thread_id, message_id, max(piece) as p, max(finish_reason) is not null as done from called
-            where role = 'assistant' group by 1, 2),
-ended as (select thread_id, message_id from alive where finish_reason is not null),
-numbers as (select thread_id, message_id, string_agg(piece, ', ' order by piece) filter (where piece = 1 or piece > 2) as own
-  from called where role = 'assistant' group by 1, 2)
-select f.thread_id, f.message_id, c.pos, f.message_id || ':' || c.pos as call_id, c.name,
-  case when e.message_id is not null and c.pos = 0 and p >= 1 then {O} || '"_parsed": [' || own || ']' || {E}
-       when e.message_id is not null and c.pos = 1 and p >= 2 then {O} || '"_parsed": [2]' || {E} else c.args end as args
-from firsts f join numbers n using (thread_id, message_id) left join ended e using (thread_id, message_id)
-cross join (values (0, 'web_search', ''), (1, 'crawl_tool', 'as given'), (2, 'local_search_tool', '')) as c(pos, name, args)""",
+        ALIVE_SQL + CALLS_OF_MESSAGES + " select thread_id, message_id, pos, call_id, name, args from calls",
     ),
     "research_sessions": Query(
         lambda spark, sf: R.research_sessions(_messages(spark, sf)).select(

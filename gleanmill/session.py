@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +32,25 @@ def build_session(app: str = "gleanmill", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    On a cluster it must be set. Where it is absent and Spark runs on one machine (tests), the warehouse folder serves,
-    and the setting is filled in so that later calls agree.
+    On a cluster it must be set. Where it is absent and Spark runs on one machine (tests), the warehouse folder serves.
+    The setting is only read: Spark allows no change of it in a running session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/gleanmill-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder; what is written there goes when the session's JVM ends."""
+    place = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
 def holds_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads no further than that."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows

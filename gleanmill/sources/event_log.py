@@ -9,15 +9,18 @@ FRAME_LIMIT = 1 << 20
 FRAME_END = "\n\n"
 
 
-def parse_frames(frames: DataFrame, text: str = "value") -> DataFrame:
+def parse_frames(frames: DataFrame, text: str = "value", limit: int | None = FRAME_LIMIT) -> DataFrame:
     """Frame texts to ``event, data``; other columns stay. Frames without data and event are dropped.
 
-    In each frame the last line of a name wins; a frame above 1 MiB fails the job, as it breaks the log.
+    In each frame the last line of a name wins. A frame above ``limit`` bytes becomes an ``error`` event that names its
+    size, and is not split; all other frames come through. Without a limit frames of any size are read.
     """
-    value = F.col(text)
-    sized = F.when(F.octet_length(value) > FRAME_LIMIT, F.raise_error(F.lit("event frame above 1 MiB"))).otherwise(value)
+    value, size = F.col(text), F.octet_length(F.col(text))
+    if limit is not None:
+        refused = F.concat(F.lit('event: error\ndata: {"error": "frame too large", "bytes": '), size.cast("string"), F.lit("}"))
+        value = F.when(size > limit, refused).otherwise(value)
     lines = F.transform(
-        F.split(sized, "\n"),
+        F.split(value, "\n"),
         lambda line: F.struct(
             F.split_part(line, F.lit(": "), F.lit(1)).alias("name"),
             F.when(F.instr(line, ": ") > 0, F.substring(line, F.instr(line, ": ") + 2, F.length(line))).alias("rest"),
@@ -35,10 +38,14 @@ def parse_frames(frames: DataFrame, text: str = "value") -> DataFrame:
     return parsed.filter(F.col("data").isNotNull() | (F.col("event") != "message"))
 
 
-def read_event_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_event_log(
+    spark: SparkSession, path: str, streaming: bool = False, limit: int | None = FRAME_LIMIT, files_per_batch: int | None = None
+) -> DataFrame:
     """``event, data`` rows of all log files below ``path``, as a batch or as a file stream."""
-    reader = spark.readStream if streaming else spark.read
-    return parse_frames(reader.option("lineSep", FRAME_END).text(path))
+    reader = (spark.readStream if streaming else spark.read).option("lineSep", FRAME_END)
+    if streaming and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return parse_frames(reader.text(path), limit=limit)
 
 
 def make_frames(events: DataFrame, event: str = "event") -> DataFrame:

@@ -18,8 +18,8 @@ SECTIONS = """array<struct<content: struct<results: struct<
  top_stories: struct<items: array<struct<time_frame: string, title: string, url: string, source: string>>>,
  images: struct<items: array<struct<url: string, alt: string>>>>>>>"""
 
-# Positions inside one part of a response; parts follow each other in seq.
-PART = 1_000_000
+# Positions inside one part of a response, an array's index; parts follow each other in seq.
+PART = 1 << 31
 
 
 def load_page_results(responses: DataFrame, threshold: float = 0.0, size: int = 0) -> DataFrame:
@@ -40,7 +40,7 @@ def load_page_results(responses: DataFrame, threshold: float = 0.0, size: int =
     null = F.lit(None).cast("string")
     images = parsed.select("query_id", F.posexplode("r.images").alias("pos", "i")).select(
         "query_id",
-        (F.col("pos") + F.lit(PART)).cast("bigint").alias("seq"),
+        (F.col("pos").cast("bigint") + F.lit(PART)).alias("seq"),
         F.lit("image_url").alias("type"),
         null.alias("title"),
         null.alias("url"),

@@ -10,13 +10,12 @@ from gleanmill.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    # Without spark.checkpoint.dir in the defaults, the warehouse holds what is written in between.
     session = build_session(
-        "tests", "local[*]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "tests", "local[*]", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")), spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -26,3 +26,19 @@ def test_deep_json_is_repaired_whole(spark):
 @pytest.mark.parametrize("value", [{}, [], [[], {}], {"a": [1, {"b": None}], "ü\n": "x\"y"}, 1.5, "é", [True, float("inf")]])
 def test_dumped_is_json_dumps(value):
     assert jt.dumped(value) == json.dumps(value, ensure_ascii=False)
+
+
+def test_valid_json_of_any_depth_is_walked(spark):
+    deep = '{"a": [' * 50_000 + '{"citations": [{"url": "u"}]}' + "]}" * 50_000
+    df = spark.createDataFrame([(deep,), ('{"citations": [1]}',), ("no",)], "t string")
+    assert [r[0] for r in df.select(jt.harvest_nested(F.col("t"))).collect()] == [['{"url": "u"}'], ["1"], []]
+
+
+def test_context_keeps_deep_answers(spark):
+    from gleanmill.operators import messages as M
+
+    deep = '[{"raw_content": "' + "r" * 3000 + '", "x": ' + "[" * 50_000 + "]" * 50_000 + "}]"
+    rows = [(1, 0, "tool", "web_search", deep), (1, 1, "human", None, "hello")]
+    df = spark.createDataFrame(rows, "thread_id int, seq bigint, type string, name string, content string")
+    got = {r.seq: r.content for r in M.compress_context(df, 10, 2, "budget").collect()}
+    assert got[0] == deep.replace("r" * 3000, "r" * 1024) and got[1] == "hello"

@@ -5,6 +5,7 @@ from gleanmill.sources import event_log as L
 from gleanmill.sources import parse_batches as B
 from gleanmill.sources import provider_results as P
 from gleanmill.sources import tables as D
+from gleanmill.streaming import conversations as S
 
 
 def test_frames(spark, tmp_path, table):
@@ -14,10 +15,23 @@ def test_frames(spark, tmp_path, table):
     assert got == [("a", '{"x": "y: z"}'), ("end", "1"), ("message", "last"), ("ping", None)]
 
 
-def test_oversized_frame_is_an_error(spark):
-    df = spark.createDataFrame([("data: " + "x" * (1 << 20),)], "value string")
-    with pytest.raises(Exception, match="1 MiB"):
-        L.parse_frames(df).collect()
+@pytest.mark.parametrize("streaming", [False, True])
+def test_oversized_frame_becomes_an_error_row(spark, tmp_path, table, streaming):
+    size = 2 << 20
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.txt").write_text("event: a\ndata: 1\n\ndata: " + "x" * size + "\n\nevent: b\ndata: 2\n\n")
+
+    def read(limit):
+        rows = L.read_event_log(spark, str(tmp_path / "in"), streaming, limit)
+        if streaming:
+            out = str(tmp_path / f"out{limit}")
+            S.write_stream(rows, out, str(tmp_path / f"check{limit}")).awaitTermination(60)
+            rows = spark.read.parquet(out)
+        return table(rows, "event", "data")
+
+    refused = '{"error": "frame too large", "bytes": %d}' % (size + 6)
+    assert read(L.FRAME_LIMIT) == [("a", "1"), ("b", "2"), ("error", refused)]
+    assert read(None) == [("a", "1"), ("b", "2"), ("message", "x" * size)]
 
 
 def test_log_round_trip(spark, tmp_path, table):

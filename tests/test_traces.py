@@ -126,6 +126,22 @@ def test_assembled_message(spark):
     assert (waiting.content, waiting.streaming) == ("a", False)
 
 
+def test_an_event_with_very_many_fragments_stays_together(spark, table):
+    """1,500 fragments in one event, more in the next; the order is by event, then by place."""
+    parts = [(None, 0, f"{i:04d},") for i in range(1510)]
+    df = events(
+        spark, {"event": "tool_calls", "calls": [("c", "f", "")], "chunks": [("c", 0, '{"q": "')]}, {"event": "tool_call_chunks", "chunks": parts[:1500]},
+        {"event": "tool_call_chunks", "chunks": [*parts[1500:], (None, 0, '"}')]}, {"finish": "stop"},
+    )
+    assert table(C.assemble_calls(df), "call_id", "args") == [("c", '{"q": "' + "".join(p[2] for p in parts) + '"}')]
+
+
+def test_options_of_an_interrupt(spark):
+    df = events(spark, {"content": "a"}, {"event": "interrupt"}).withColumn("options", F.when(F.col("event") == "interrupt", F.lit('[{"text": "ok"}]')))
+    row = C.assemble_messages(df).first()
+    assert (row.streaming, row.options) == (False, '[{"text": "ok"}]')
+
+
 def test_sessions(spark, table):
     df = thread(
         spark, ("user", None, "q1", None), ("assistant", "planner", "p1", None), ("assistant", "researcher", "r", None), ("assistant", "reporter", "r", "stop"),
