@@ -64,22 +64,29 @@ def reversed_host_key(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(key, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
+IDENTITY = ["key", "page_id", "url", "digest", "bytes"]
+
+
 def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, key, payload, digest (hex SHA-1), first_id, first_url: of revisits, the row that holds the payload."""
+    """key, page_id, url, digest (hex SHA-1), bytes, payload of every page; and, with a null payload and first_id and
+    first_url, a note for every page that revisits another.
+
+    Notes are found from the narrow columns alone. They sort right before their page, so pages meet them in the one
+    shuffle that orders the archives.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
-    ).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    me = F.struct("page_id", "url")
-    firsts = rows.where(F.col("bytes") >= min_revisit).groupBy(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes")).agg(
-        F.max(me).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(firsts, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
-    revisit = F.col("first").isNotNull() & ~me.eqNullSafe(F.col("first"))
-    return joined.select(
-        "page_id", "url", reversed_host_key(F.col("url")).alias("key"), "digest", "bytes", revisit.alias("revisit"),
-        F.when(~revisit, F.col("payload")).alias("payload"),
-        F.when(revisit, F.col("first.page_id")).alias("first_id"), F.when(revisit, F.col("first.url")).alias("first_url"),
     )
+    rows = rows.select(
+        reversed_host_key(F.col("url")).alias("key"), "page_id", "url", F.sha1("payload").alias("digest"),
+        F.octet_length("payload").alias("bytes"), "payload")
+    me = F.struct("page_id", "url")
+    narrow = rows.select(*IDENTITY).where(F.col("bytes") >= min_revisit)
+    firsts = narrow.groupBy("digest", "bytes").agg(F.max(me).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    notes = narrow.join(firsts, ["digest", "bytes"]).where(~me.eqNullSafe(F.col("first"))).select(
+        *IDENTITY, F.lit(None).cast("string").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    return rows.unionByName(notes, allowMissingColumns=True)
 
 
 def member(data: bytes) -> bytes:
@@ -103,13 +110,14 @@ def record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def page_record(row: dict[str, Any], date: str = DATE) -> bytes:
-    """The response or revisit record of a row of :func:`captures`."""
+def page_record(row: dict[str, Any], note: dict[str, Any] | None = None, date: str = DATE) -> bytes:
+    """The response record of a row of :func:`captures`, or with its note the revisit record."""
+    revisit = note is not None
     number = lambda value: None if value is None else str(value)
     digest = "sha1:" + base64.b32encode(bytes.fromhex(row["digest"])).decode()
-    payload = b"" if row["revisit"] else row["payload"].encode()
+    payload = b"" if revisit else row["payload"].encode()
     fields = [
-        ("WARC-Type", "revisit" if row["revisit"] else "response"),
+        ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", _record_id(row["page_id"], row["url"])),
         ("WARC-Date", date),
         ("WARC-Target-URI", None if row["url"] is None else _uri(row["url"])),
@@ -119,12 +127,12 @@ def page_record(row: dict[str, Any], date: str = DATE) -> bytes:
         ("Page-ID", number(row["page_id"])),
         ("Payload-Length", str(row["bytes"])),
     ]
-    if row["revisit"]:
+    if revisit:
         fields += [
             ("WARC-Profile", REVISIT),
-            ("WARC-Refers-To", _record_id(row["first_id"], row["first_url"])),
-            ("WARC-Refers-To-Target-URI", None if row["first_url"] is None else _uri(row["first_url"])),
-            ("Refers-To-Page-ID", number(row["first_id"])),
+            ("WARC-Refers-To", _record_id(note["first_id"], note["first_url"])),
+            ("WARC-Refers-To-Target-URI", None if note["first_url"] is None else _uri(note["first_url"])),
+            ("Refers-To-Page-ID", number(note["first_id"])),
         ]
     return record(fields, HTTP_HEAD % row["bytes"] + payload)
 
@@ -183,16 +191,21 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(None, "info")), ("WARC-Date", DATE),
                        ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-        first = True
-        for batch in batches:
-            for piece in slices([batch]):
-                made = [member(info)] * (first and piece.num_rows > 0) + [member(page_record(row)) for row in piece.to_pylist()]
-                first = first and not made
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+        opening, note = [member(info)], None
+        for piece in (piece for batch in batches for piece in slices([batch])):
+            made, opening = opening, []
+            for row in piece.to_pylist():
+                if row["payload"] is None:
+                    note = row
+                else:
+                    mine = note is not None and all(note[c] == row[c] for c in IDENTITY)
+                    made.append(member(page_record(row, note if mine else None)))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
 
     spark = pages.sparkSession
-    rows = captures(pages, min_revisit).repartitionByRange(_parts(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "url")
-    _write(rows.mapInArrow(records, "member binary"), folder)
+    rows = captures(pages, min_revisit).repartitionByRange(_parts(spark), *IDENTITY)
+    ordered = rows.sortWithinPartitions(*IDENTITY, F.col("payload").isNotNull())
+    _write(ordered.mapInArrow(records, "member binary"), folder)
 
 
 LINE_SCHEMA = "key string, path string, place long, line string"

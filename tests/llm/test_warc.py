@@ -78,7 +78,7 @@ def test_hot_keys_many_blocks_and_unknown_keys(spark, tmp_path):
 
 def test_records_of_16_mb_and_damage(tmp_path):
     for size in (0, 10, (1 << 24) + 5):
-        row = {"page_id": 1, "url": "u", "key": "u", "digest": hashlib.sha1(b"a" * size).hexdigest(), "bytes": size, "revisit": False, "payload": "a" * size}
+        row = {"page_id": 1, "url": "u", "key": "u", "digest": hashlib.sha1(b"a" * size).hexdigest(), "bytes": size, "payload": "a" * size}
         packed = warc.member(warc.page_record(row)) + b"\0"
         path = tmp_path / f"{size}"
         path.write_bytes(packed * 2)
