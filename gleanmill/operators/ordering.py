@@ -7,8 +7,8 @@ one summary row per block across the group, and adds the two.
 
 A block has about ``block_rows`` rows, or 1 / ``MAX_BLOCKS`` of all rows if that is more. There are thus at most
 2 * ``MAX_BLOCKS`` cuts and summaries over all groups together, whatever the size of the table, and both are broadcast for
-that reason. Groups that are not hot need neither: without hot groups the joins are over empty tables, which the adaptive
-plan leaves out, and what remains is a count per group and one window.
+that reason. Whether a table has hot groups at all is asked beforehand, by one aggregation over the group and nothing else:
+where it has none, the plan is a plain window, and helpers can be stacked without their plans growing out of bounds.
 """
 
 from __future__ import annotations
@@ -23,18 +23,21 @@ FAN = 96  # cuts looked at in one step of the search for a row's block
 BLOCK = "_block"
 
 
-def _cuts(df: DataFrame, group: list[str], seq: str, block_rows: int) -> DataFrame:
-    """The hot groups with ``_cuts``, the first order values of their blocks but the first block's."""
+def find_cuts(df: DataFrame, group: list[str], seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """The hot groups with ``_cuts``, the first order values of their blocks but the first block's; none if none is hot."""
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    everything = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    block = F.greatest(F.lit(block_rows).cast("long"), F.ceil(everything / F.lit(MAX_BLOCKS)))
-    hot = sizes.withColumn("_size", block).where("_rows > _size")
-    stride = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_size") / F.lit(SAMPLES)))
-    sampled = df.select(*group, F.col(seq).alias("_at")).join(F.broadcast(hot), group).where(F.pmod(F.xxhash64("_at"), stride) == 0)
+    facts = sizes.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("total")).first()
+    if facts.most is None or facts.most <= block_rows:
+        return None
+    size = max(block_rows, -(-facts.total // MAX_BLOCKS))
+    hot = F.broadcast(sizes.where(F.col("_rows") > size))
+    stride = max(1, size // SAMPLES)
+    sampled = df.select(*group, F.col(seq).alias("_at")).join(hot, group).where(F.pmod(F.xxhash64("_at"), F.lit(stride)) == 0)
     found = sampled.groupBy(*group).agg(
-        F.sort_array(F.collect_list("_at")).alias("_sample"), F.max(F.ceil(F.col("_rows") / F.col("_size"))).alias("_blocks"))
+        F.sort_array(F.collect_list("_at")).alias("_sample"), F.max(F.ceil(F.col("_rows") / F.lit(size))).alias("_blocks"))
     cuts = F.expr("transform(sequence(1, _blocks - 1), i -> _sample[cast(i * size(_sample) div _blocks as int)])")
-    return found.where("size(_sample) > 0 and _blocks > 1").select(*group, cuts.alias("_cuts"))
+    few = found.where("size(_sample) > 0 and _blocks > 1").select(*group, cuts.alias("_cuts"))
+    return df.sparkSession.createDataFrame(few.collect(), few.schema)
 
 
 def _block_of(seq: str) -> tuple[Column, Column]:
@@ -45,36 +48,38 @@ def _block_of(seq: str) -> tuple[Column, Column]:
     return F.expr(f"_passed * {FAN} + {inside}"), F.expr(passed)
 
 
-def with_block(df: DataFrame, group: list[str], seq: str, block_rows: int = BLOCK_ROWS, hot_only: bool = False) -> DataFrame:
+def with_block(df: DataFrame, group: list[str], seq: str, cuts: DataFrame, hot_only: bool = False) -> DataFrame:
     """``df`` with the block of each row, 0 in groups that are not hot (or without those)."""
-    cuts = F.broadcast(_cuts(df, group, seq, block_rows))
     block, passed = _block_of(seq)
-    joined = df.join(cuts, group, "inner" if hot_only else "left").withColumn("_passed", passed)
+    joined = df.join(F.broadcast(cuts), group, "inner" if hot_only else "left").withColumn("_passed", passed)
     return joined.withColumn(BLOCK, F.when(F.col("_cuts").isNull(), 0).otherwise(block)).select(*df.columns, BLOCK)
 
 
-def _carried(df: DataFrame, group: list[str], seq: str, block_rows: int, summary: Column, carry: Column) -> DataFrame:
+def _carried(df: DataFrame, group: list[str], seq: str, cuts: DataFrame, summary: Column, carry: Column) -> DataFrame:
     """Group, block and ``_carry`` of the blocks of hot groups; ``carry`` is made of each block's ``summary``, ``_n``."""
-    cells = with_block(df, group, seq, block_rows, hot_only=True)
+    cells = with_block(df, group, seq, cuts, hot_only=True)
     return F.broadcast(cells.groupBy(*group, BLOCK).agg(summary.alias("_n")).select(*group, BLOCK, carry.alias("_carry")))
 
 
+def _added(local: DataFrame, carry: DataFrame, keys: list[str], out: str) -> DataFrame:
+    joined = local.join(carry, keys, "left")
+    kept = [c for c in local.columns if c not in (BLOCK, out)]
+    return joined.select(*kept, (F.col(out) + F.coalesce("_carry", F.lit(0))).alias(out))
+
+
 def numbered(df: DataFrame, group: list[str], seq: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``out``: the 1-based rank of each row by ``seq`` inside its group."""
+    cuts = find_cuts(df, group, seq, block_rows)
+    if cuts is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(seq)))
     keys = [*group, BLOCK]
-    cells = with_block(df, group, seq, block_rows)
+    cells = with_block(df, group, seq, cuts)
     local = cells.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
     earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carried(df.select(*group, seq), group, seq, block_rows, F.count(F.lit(1)), F.sum("_n").over(earlier))
+    carry = _carried(df.select(*group, seq), group, seq, cuts, F.count(F.lit(1)), F.sum("_n").over(earlier))
     return _added(local, carry, keys, out)
 
 
-def _added(local: DataFrame, carry: DataFrame, keys: list[str], out: str) -> DataFrame:
-    joined = local.join(carry, keys, "left")
-    kept = [c for c in local.columns if c not in (BLOCK, out)]
-    return joined.select(*kept, (F.col(out) + F.coalesce("_carry", F.lit(0))).alias(out))
-
-
 def ranked_by_score(
     df: DataFrame, group: list[str], score: Column, seq: str, out: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -95,12 +100,17 @@ def running_sum(
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows up to this one (or strictly before it)."""
     keys, by, last = [*group, BLOCK], F.desc if newest_first else F.asc, 0 if inclusive else -1
-    valued = df.withColumn("_value", value)
-    inner = Window.partitionBy(*keys).orderBy(by(seq)).rowsBetween(Window.unboundedPreceding, last)
+    valued, cuts = df.withColumn("_value", value), find_cuts(df, group, seq, block_rows)
+
+    def summed(rows: DataFrame, inside: list[str]) -> DataFrame:
+        window = Window.partitionBy(*inside).orderBy(by(seq)).rowsBetween(Window.unboundedPreceding, last)
+        return rows.withColumn(out, F.coalesce(F.sum("_value").over(window), F.lit(0))).drop("_value")
+
+    if cuts is None:
+        return summed(valued, group)
     outer = Window.partitionBy(*group).orderBy(by(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    cells = with_block(valued, group, seq, block_rows)
-    local = cells.withColumn(out, F.coalesce(F.sum("_value").over(inner), F.lit(0))).drop("_value")
-    carry = _carried(valued.select(*group, seq, "_value"), group, seq, block_rows, F.sum("_value"), F.sum("_n").over(outer))
+    local = summed(with_block(valued, group, seq, cuts), keys)
+    carry = _carried(valued.select(*group, seq, "_value"), group, seq, cuts, F.sum("_value"), F.sum("_n").over(outer))
     return _added(local, carry, keys, out)
 
 
@@ -109,11 +119,16 @@ def prior_max(
 ) -> DataFrame:
     """Add ``out``: the largest ``value`` of the rows strictly before this one, null for the first."""
     keys = [*group, BLOCK]
-    valued = df.withColumn("_value", value)
-    inner = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    valued, cuts = df.withColumn("_value", value), find_cuts(df, group, seq, block_rows)
+
+    def highest(inside: list[str]) -> Column:
+        return F.max("_value").over(Window.partitionBy(*inside).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
+
+    if cuts is None:
+        return valued.withColumn(out, highest(group)).drop("_value")
     outer = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    local = with_block(valued, group, seq, block_rows).withColumn(out, F.max("_value").over(inner))
-    carry = _carried(valued.select(*group, seq, "_value"), group, seq, block_rows, F.max("_value"), F.max("_n").over(outer))
+    local = with_block(valued, group, seq, cuts).withColumn(out, highest(keys))
+    carry = _carried(valued.select(*group, seq, "_value"), group, seq, cuts, F.max("_value"), F.max("_n").over(outer))
     return local.join(carry, keys, "left").withColumn(out, F.greatest(F.col(out), F.col("_carry"))).drop(BLOCK, "_value", "_carry")
 
 
@@ -128,14 +143,19 @@ def last_known(
     """Add, for each named value, its latest non-null one before this row (an as-of lookup)."""
     hidden = {name: f"_v{i}" for i, name in enumerate(values)}
     keys = [*group, BLOCK]
-    valued = df.withColumns({hidden[n]: c for n, c in values.items()})
-    inner = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    valued, cuts = df.withColumns({hidden[n]: c for n, c in values.items()}), find_cuts(df, group, seq, block_rows)
+
+    def latest_of(rows: DataFrame, inside: list[str]) -> DataFrame:
+        window = Window.partitionBy(*inside).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return rows.withColumns({n: F.last(h, ignorenulls=True).over(window) for n, h in hidden.items()})
+
+    if cuts is None:
+        return latest_of(valued, group).drop(*hidden.values())
     outer = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    local = with_block(valued, group, seq, block_rows).withColumns(
-        {n: F.last(h, ignorenulls=True).over(inner) for n, h in hidden.items()})
+    local = latest_of(with_block(valued, group, seq, cuts), keys)
     latest = F.struct(*[F.max_by(h, F.when(F.col(h).isNotNull(), F.col(seq))).alias(h) for h in hidden.values()])
     known = F.struct(*[F.last(f"_n.{h}", ignorenulls=True).over(outer).alias(h) for h in hidden.values()])
-    carry = _carried(valued.select(*group, seq, *hidden.values()), group, seq, block_rows, latest, known)
+    carry = _carried(valued.select(*group, seq, *hidden.values()), group, seq, cuts, latest, known)
     return (
         local.join(carry, keys, "left")
         .withColumns({n: F.coalesce(F.col(n), F.col(f"_carry.{h}")) for n, h in hidden.items()})
@@ -151,23 +171,19 @@ def joined_text(
     sep: str = "",
     firsts: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Concatenate each text column in ``seq`` order per group: first per block, then across blocks.
+    """Concatenate each text column in ``seq`` order per group, in one aggregation.
 
-    ``firsts`` and ``lasts`` are columns of which the first or last non-null value is kept alongside.
+    ``firsts`` and ``lasts`` are columns of which the first or last non-null value is kept alongside. A group's text is one
+    value, so groups are to be chosen such that one fits into a task, for instance as parts of bounded size.
     """
     firsts, lasts = firsts or {}, lasts or {}
     columns = {**texts, **firsts, **lasts}
-    cells = with_block(df.select(*group, seq, *[c.alias(n) for n, c in columns.items()]), group, seq, block_rows)
+    cells = df.select(*group, seq, *[c.alias(n) for n, c in columns.items()])
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-
-    def combine(order: str) -> list[Column]:
-        present = {n: F.when(F.col(n).isNotNull(), F.col(order)) for n in columns}
-        return [
-            *[F.expr(f"listagg(`{n}`, '{quoted}') within group (order by `{order}`)").alias(n) for n in texts],
-            *[F.min_by(n, present[n]).alias(n) for n in firsts],
-            *[F.max_by(n, present[n]).alias(n) for n in lasts],
-        ]
-
-    return cells.groupBy(*group, BLOCK).agg(*combine(seq)).groupBy(*group).agg(*combine(BLOCK))
+    present = {n: F.when(F.col(n).isNotNull(), F.col(seq)) for n in columns}
+    return cells.groupBy(*group).agg(
+        *[F.expr(f"listagg(`{n}`, '{quoted}') within group (order by `{seq}`)").alias(n) for n in texts],
+        *[F.min_by(n, present[n]).alias(n) for n in firsts],
+        *[F.max_by(n, present[n]).alias(n) for n in lasts],
+    )

@@ -1,8 +1,11 @@
 """Vector retrieval: exact and approximate top-k, scoping, and grouping of hits into documents.
 
-``corpus(id, vector)``, ``queries(query_id, vector)``. Exact search computes every product, but never as
-rows: each task multiplies Arrow batches with the query matrix and keeps its k best per query, so what is
-shuffled is k rows per query and task. Similarities are rounded to six decimals; ties go to the lower id.
+``corpus(id, vector)``, ``queries(query_id, vector)``. Exact search computes every product, but never as rows. Both sides
+are packed into rows of bounded size, blocks of the corpus and slices of the queries, and every block meets every slice in
+one matrix product; a task keeps its k best per query, so what is shuffled is k rows per query and task. The final merge
+runs in rounds. Catalyst sends the slices to the tasks that hold the blocks where they are small, and pairs partitions
+where they are not; the result is the same. Rows without a vector take no part. Similarities are rounded to six decimals;
+ties go to the lower id.
 """
 
 from __future__ import annotations
@@ -11,14 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from gleanmill.session import holds_at_most
-
+# Vectors packed into one row, and queries of which a task keeps hits before it hands them on.
+BLOCK_VECTORS = 2_048
+SLICE_QUERIES = 512
+HELD_QUERIES = 100_000
 QUERY_SLICE = 256
-SMALL_QUERIES = 10_000
 GRID_ROWS = 50_000
 GRID_QUERIES = 2_000
 DIGITS = 6
@@ -88,55 +95,105 @@ def _final(hits: DataFrame, k: int) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(second)).filter(F.col("rank") <= k)
 
 
-def _topk_small(corpus: DataFrame, queries: DataFrame, k: int, unit: bool) -> DataFrame:
-    """Query matrix broadcast; its size was checked. No shuffle of the corpus."""
-    local = queries.select("query_id", "vector").toPandas()
-    shared = corpus.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _matrix(local["vector"], unit)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = shared.value
-        best = _Best(len(query_ids), k)
-        every = np.arange(len(query_ids))
-        for batch in batches:
-            if len(batch):
-                best.add_block(every, matrix, _matrix(batch["vector"], unit), batch["id"].to_numpy())
-        yield best.frame(query_ids)
-
-    return corpus.select("id", "vector").mapInPandas(search, _hit_schema(corpus, queries))
+def _packed(table: DataFrame, key: str, unit: bool, count: int, prefix: str) -> DataFrame:
+    """Rows of up to ``count`` vectors: their keys as an array, their components as bytes, and a number of its own."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 33, 0
+        held: list[pa.RecordBatch] = []
+        waiting = 0
 
-def _topk_grid(corpus: DataFrame, queries: DataFrame, k: int, unit: bool, rows: int, query_rows: int) -> DataFrame:
-    """Any number of queries: both sides cut into blocks, one task per pair of blocks."""
-    corpus_blocks = max(1, -(-corpus.count() // rows))
-    query_blocks = max(1, -(-queries.count() // query_rows))
-    left = corpus.select("id", "vector").withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(corpus_blocks)))
-    right = queries.select("query_id", "vector").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-    left = left.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))))
-    right = right.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(corpus_blocks - 1).cast("bigint"))))
+        def row(rows: pa.Table) -> pa.RecordBatch:
+            matrix = _matrix(rows.column("vector").to_pandas(), unit)
+            keys = rows.column("key").combine_chunks()
+            values = [pa.array([first + made]), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([matrix.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, [f"{prefix}no", f"{prefix}keys", f"{prefix}vectors"])
 
-    def search(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(asked), k)
-        if len(part) and len(asked):
-            best.add_block(
-                np.arange(len(asked)), _matrix(asked["vector"], unit), _matrix(part["vector"], unit), part["id"].to_numpy()
-            )
-        return best.frame(asked["query_id"].to_numpy())
-
-    return (
-        left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInPandas(search, _hit_schema(corpus, queries))
-    )
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            while waiting >= count:
+                rows = pa.Table.from_batches(held)
+                yield row(rows[:count])
+                made += 1
+                held, waiting = rows[count:].to_batches(), waiting - count
+        if waiting:
+            yield row(pa.Table.from_batches(held))
+
+    kind = table.schema[key].dataType.simpleString()
+    rows = table.where("vector is not null").select(F.col(key).alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInArrow(pack, f"{prefix}no long, {prefix}keys array<{kind}>, {prefix}vectors binary")
+
+
+def _unpacked(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.asarray(row[f"{prefix}keys"])
+    return keys, np.frombuffer(row[f"{prefix}vectors"], "float64").reshape(len(keys), -1)
+
+
+def _best_of_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of the scores that may be among each query's k best: all that reach its k-th."""
+    if scores.shape[1] > k:
+        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        return np.nonzero(scores >= edge[:, None])
+    return np.nonzero(np.ones(scores.shape, bool))
+
+
+class _Hits:
+    """Hits of one slice of queries, cut to the k best of each whenever they have doubled."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 4 * k * len(queries)
+
+    def add(self, places: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.parts.append((places, scores, ids))
+        self.size += len(places)
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        places, scores, ids = (np.concatenate(column) for column in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -scores, places))
+        places = places[order]
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        nth = np.arange(len(places)) - np.repeat(starts, np.diff(np.append(starts, len(places))))
+        kept = order[nth < self.k]
+        self.parts = [(places[nth < self.k], scores[kept], ids[kept])]
+        self.size = len(kept)
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        self.cut()
+        places, scores, ids = self.parts[0]
+        columns = [self.queries[places].tolist(), ids.tolist(), scores]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def topk(
-    corpus: DataFrame, queries: DataFrame, k: int = 10, cosine: bool = False, small: int = SMALL_QUERIES,
-    grid_rows: int = GRID_ROWS, grid_queries: int = GRID_QUERIES,
+    corpus: DataFrame, queries: DataFrame, k: int = 10, cosine: bool = False, block_rows: int = BLOCK_VECTORS,
+    query_rows: int = SLICE_QUERIES, held_queries: int = HELD_QUERIES,
 ) -> DataFrame:
     """Exact k best per query by inner product or cosine: ``query_id, id, similarity, rank``."""
-    if holds_at_most(queries, small):
-        hits = _topk_small(corpus, queries, k, cosine)
-    else:
-        hits = _topk_grid(corpus, queries, k, cosine, grid_rows, grid_queries)
-    return _final(hits, k)
+    kinds = _hit_schema(corpus, queries)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(kinds)
+        slices: dict[int, _Hits] = {}
+        for batch in batches:
+            for pair in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
+                ids, rows = _unpacked(pair, "c_")
+                asked, matrix = _unpacked(pair, "q_")
+                if pair["q_no"] not in slices and sum(len(s.queries) for s in slices.values()) + len(asked) > held_queries:
+                    yield from (s.batch(schema) for s in slices.values())
+                    slices = {}
+                scores = np.round(matrix @ rows.T, DIGITS)
+                places, found = _best_of_block(scores, k)
+                slices.setdefault(pair["q_no"], _Hits(asked, k)).add(places, scores[places, found], ids[found])
+        yield from (s.batch(schema) for s in slices.values())
+
+    # The stated queries against all rows, block by slice.
+    pairs = _packed(corpus, "id", cosine, block_rows, "c_").crossJoin(_packed(queries, "query_id", cosine, query_rows, "q_"))
+    return _final(pairs.mapInArrow(search, kinds), k)
 
 
 def topk_inner_product(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -153,8 +210,12 @@ def train_lists(corpus: DataFrame, nlist: int, seed: int = 7) -> np.ndarray:
     from pyspark.ml.functions import array_to_vector
 
     features = corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(features)
-    return np.asarray(model.clusterCenters())
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)  # read once per iteration
+    try:
+        model = KMeans(k=nlist, seed=seed, maxIter=10).fit(features)
+        return np.asarray(model.clusterCenters())
+    finally:
+        features.unpersist()
 
 
 def _nearest(vectors: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:

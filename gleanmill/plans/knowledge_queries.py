@@ -5,8 +5,6 @@ A document's source doubles as its file. Retrieval queries are the mean directio
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleanmill.functions import constants as K
@@ -16,7 +14,7 @@ from gleanmill.operators import plugins as U
 from gleanmill.operators import retrieval as V
 from gleanmill.plans.registry import Query
 from gleanmill.plans.views import view
-from gleanmill.session import shared_folder
+from gleanmill.session import scratch_folder
 from gleanmill.sources.tables import store_chunks
 
 SIZE, OVERLAP = 512, 64
@@ -132,7 +130,7 @@ def _stored(rows):
 
 
 def _store_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "store")
     store_chunks(_store(spark, sf), path)
     return _stored(spark.read.parquet(path))
 
@@ -201,7 +199,7 @@ def _ivf(probes):
 
     def build(spark, sf):
         corpus = _corpus(spark, sf).select("id", "vector")
-        path = f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}"
+        path = scratch_folder(spark, "ivf")
         rows = corpus.count()
         centers = V.build_ivf(corpus, path, nlist=max(2, min(1024, int(rows**0.5))))
         hits = V.topk_ivf(spark.read.parquet(path), centers, _label_queries(_corpus(spark, sf)), 10, probes or len(centers))

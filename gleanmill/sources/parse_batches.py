@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import posixpath
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanmill.functions import constants as K
 from gleanmill.functions import text as tx
+from gleanmill.operators.ordering import numbered
 
 
 def parse_outcome_triage(results: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,35 +74,73 @@ def read_uploads(spark: SparkSession, manifest: DataFrame, path: str) -> DataFra
     return manifest.join(found, "name", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
 
 
-def _number_repeats(files: pd.DataFrame) -> pd.DataFrame:
-    """File ids of one family of names of a request, in arrival order."""
-    ordered = files.sort_values("seq")
-    taken: set[str] = set()
-    following: dict[str, int] = {}
-    ids = []
-    for name in ordered["name"]:
-        given = name
-        if given in taken:
-            stem, ext = posixpath.splitext(name)
-            number = following.get(name, 2)
-            while (given := f"{stem or 'file'}_{number}{ext}") in taken:
-                number += 1
-            following[name] = number + 1
-        taken.add(given)
-        ids.append(given)
-    return ordered.drop(columns="_family").assign(file_id=ids)
+# A name that repeats of another may be given: its stem, a number from 2 without leading zeros.
+NUMBERED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})$"
+SERIES = ["request_id", "_base", "_ext"]
+
+
+def _series_state(blocks: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Per series of numbers ``_skipped``, those that repeats pass over, and ``_bumped``, names a repeat took first.
+
+    ``blocks(series, name, _k, _first)`` are given names that look like numbers of the series, ``repeats(series, seq)`` the
+    rows that need one. Repeats take numbers upwards. One meets the j-th block with c of the earlier blocks passed over
+    when it is repeat k - 1 - c, so those few repeats are looked up, and the blocks are folded in order: a block
+    seen before the repeat is passed over, one not seen yet loses its name.
+    """
+    ranked = numbered(repeats, SERIES, "seq", "_i").select(*SERIES, "_i", F.col("seq").alias("_met"))
+    listed = blocks.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("_k", "_first", "name"))).alias("_b"))
+    asked = listed.select(*SERIES, F.posexplode("_b").alias("_j", "b")).select(
+        *SERIES, "_j", "b.*", F.explode(F.sequence(F.lit(0), "_j")).alias("_c")).withColumn("_i", F.col("_k") - 1 - F.col("_c"))
+    met = asked.join(ranked, [*SERIES, "_i"], "left").groupBy(*SERIES, "_k", "_first", "name").agg(
+        F.array_sort(F.collect_list(F.struct("_c", "_met"))).alias("m"))
+    folded = met.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("_k", "_first", "name", "m"))).alias("_b"))
+    start = F.expr("named_struct('skipped', cast(array() as array<bigint>), 'bumped', cast(array() as array<string>))")
+
+    def step(state: Column, b: Column) -> Column:
+        at = F.get(b["m"], F.size(state["skipped"]))["_met"]
+        return F.when(at.isNull(), state).when(
+            b["_first"] < at, F.struct(F.array_append(state["skipped"], b["_k"]).alias("skipped"), state["bumped"].alias("bumped"))
+        ).otherwise(F.struct(state["skipped"].alias("skipped"), F.array_append(state["bumped"], b["name"]).alias("bumped")))
+
+    return folded.select(*SERIES, F.aggregate("_b", start, step).alias("_s")).select(
+        *SERIES, F.col("_s.skipped").alias("_skipped"), F.col("_s.bumped").alias("_bumped"))
 
 
 def unique_file_ids(files: DataFrame) -> DataFrame:
     """Add ``file_id`` to ``(request_id, seq, name)``: repeated names get the next free number, from 2.
 
-    Which number is free depends on the names given before, but only on those that differ in trailing numbers of
-    the stem: such a family is one group, so a request of any size is numbered in many. Refusing large requests is
-    up to ``validate_uploads``.
+    Repeats are ranked per name, whatever their number. Which numbers are free depends on the given names that look like
+    one of them; only such names are folded, the shortest first, as a name that lost its own to a repeat is a repeat
+    itself. Refusing large requests is up to ``validate_uploads``.
     """
-    stem = F.regexp_replace("name", r"(?s)^(.+)(\.[^./]*)$", "$1")
-    family = F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), F.lit("/"), F.substring("name", F.length(stem) + 1, 1 << 30))
-    named = files.select("request_id", "seq", "name", family.alias("_family"))
-    kept = [f for f in named.schema.fields if f.name != "_family"]
-    schema = T.StructType([*kept, T.StructField("file_id", T.StringType())])
-    return named.groupBy("request_id", "_family").applyInPandas(_number_repeats, schema)
+    stem = F.regexp_replace("name", r"(?s)^(\.*[^.].*)(\.[^./]*)$", "$1")
+    named = files.select("request_id", "seq", "name").withColumn("_stem", stem).withColumns({
+        "_base": F.coalesce(F.nullif("_stem", F.lit("")), F.lit("file")), "_ext": F.expr("substring(name, length(_stem) + 1)")})
+    placed = numbered(named, ["request_id", "name"], "seq", "_n")
+    firsts = named.groupBy("request_id", "name", "_stem", "_ext").agg(F.min("seq").alias("_first")).where(F.col("_stem").rlike(NUMBERED))
+    series = named.select(*SERIES).distinct()
+    depth = F.length(F.regexp_extract("_stem", r"((?:_[1-9][0-9]*)+)$", 1))
+    blocks = firsts.select(
+        "request_id", F.regexp_extract("_stem", NUMBERED, 1).alias("_base"), "_ext", "name", "_first",
+        F.regexp_extract("_stem", NUMBERED, 2).cast("bigint").alias("_k"), depth.alias("_depth"),
+    ).join(series, SERIES, "left_semi")
+    skipped = blocks.select(*SERIES, F.array(F.col("_k")).alias("_skipped")).limit(0)
+    bumped = blocks.select("request_id", "name").limit(0)
+    is_repeat = F.col("_n") > 1
+    # A name is longer than the one whose number it bears, so lengths of the numbers put each after what decides on it.
+    for depth in sorted(r[0] for r in blocks.select("_depth").distinct().collect()):
+        here = blocks.where(F.col("_depth") == depth)
+        lost = bumped.withColumn("_lost", F.lit(True))
+        mine = placed.join(here.select(*SERIES).distinct(), SERIES, "left_semi").join(lost, ["request_id", "name"], "left")
+        state = _series_state(here, mine.where(is_repeat | F.col("_lost").isNotNull()).select(*SERIES, "seq"))
+        skipped = skipped.unionByName(state.where("size(_skipped) > 0").select(*SERIES, "_skipped"))
+        bumped = bumped.unionByName(state.select("request_id", F.explode("_bumped").alias("name")))
+    marked = placed.join(bumped.withColumn("_lost", F.lit(True)), ["request_id", "name"], "left")
+    repeat = is_repeat | F.col("_lost").isNotNull()
+    own = marked.where(~repeat).select("request_id", "seq", "name", F.col("name").alias("file_id"))
+    merged = skipped.groupBy(*SERIES).agg(F.array_sort(F.flatten(F.collect_list("_skipped"))).alias("_skipped"))
+    ranked = numbered(marked.where(repeat).select(*SERIES, "seq", "name"), SERIES, "seq", "_i").join(merged, SERIES, "left")
+    number = F.aggregate(
+        F.coalesce("_skipped", F.array().cast("array<bigint>")), (F.col("_i") + 1).cast("bigint"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    given = ranked.select("request_id", "seq", "name", F.concat("_base", F.lit("_"), number.cast("string"), "_ext").alias("file_id"))
+    return own.unionByName(given)

@@ -85,9 +85,9 @@ def vectors(spark, n, name, seed, dim=6):
 
 
 @pytest.mark.parametrize("cosine", [False, True])
-@pytest.mark.parametrize("small", [1000, 3])
-def test_topk_is_exact_with_ties(spark, cosine, small):
-    """Small integer vectors make many ties; both ways of searching agree with brute force."""
+@pytest.mark.parametrize("held", [4, 10_000])
+def test_topk_is_exact_with_ties(spark, cosine, held):
+    """Small integer vectors make many ties; whatever a task holds, the hits agree with brute force."""
     corpus, left = vectors(spark, 300, "id", 1)
     queries, right = vectors(spark, 9, "query_id", 2)
 
@@ -96,8 +96,21 @@ def test_topk_is_exact_with_ties(spark, cosine, small):
 
     scores = np.round(unit(queries) @ unit(corpus).T, 6)
     want = {(q, int(i), r + 1) for q in range(9) for r, i in enumerate(np.lexsort((np.arange(300), -scores[q]))[:7])}
-    got = V.topk(left.repartition(6), right, 7, cosine, small=small, grid_rows=40, grid_queries=4)
+    got = V.topk(left.repartition(6), right, 7, cosine, block_rows=40, query_rows=4, held_queries=held)
     assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
+    assert V.topk(left.limit(0), right, 7).collect() == [] == V.topk(left, right.limit(0), 7).collect()
+
+
+def test_topk_of_very_many_queries(spark):
+    """20,000 queries, text ids, and a corpus smaller than k."""
+    data, corpus = vectors(spark, 500, "id", 1)
+    asked, queries = vectors(spark, 20_000, "query_id", 2)
+    named = corpus.withColumn("id", F.format_string("n%04d", "id"))
+    got = V.topk_inner_product(named, queries, 3).groupBy("rank").agg(F.sum("similarity").alias("s"), F.count("*").alias("n"), F.max("id").alias("m")).collect()
+    best = -np.sort(-(asked @ data.T), axis=1)[:, :3]
+    assert {r["rank"]: (round(r.s), r.n) for r in got} == {i + 1: (round(best[:, i].sum()), 20_000) for i in range(3)}
+    assert all(r.m.startswith("n") for r in got)
+    assert V.topk_inner_product(named.limit(2), queries.limit(3), 5).count() == 6
 
 
 def test_ivf_recall(spark, tmp_path):

@@ -88,7 +88,7 @@ def test_joined_text(data):
     rows, df = data
     grouped = by_group(rows, lambda r: r[1])
     out = O.joined_text(
-        df, ["g"], "seq", {"t": F.col("t")}, ", '\\\n", firsts={"first": F.col("v")}, lasts={"last": F.col("v")}, block_rows=BLOCK
+        df, ["g"], "seq", {"t": F.col("t")}, ", '\\\n", firsts={"first": F.col("v")}, lasts={"last": F.col("v")}
     )
     for row in out.collect():
         mine = grouped[row.g]
@@ -105,7 +105,7 @@ def test_blocks_of_a_hot_group_are_bounded_however_its_values_lie(spark, spread)
     values = {"dense": range(n), "sparse": list({rng.randrange(-(1 << 62), 1 << 62) for _ in range(n)}), "packed": [i // 50 * 10**9 + i % 50 for i in range(n)]}[spread]
     rows = [("hot", v) for v in values] + [(f"g{i}", i) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, seq bigint").repartition(6)
-    sizes = {(r.g, r[O.BLOCK]): r["count"] for r in O.with_block(df, ["g"], "seq", block).groupBy("g", O.BLOCK).count().collect()}
+    sizes = {(r.g, r[O.BLOCK]): r["count"] for r in O.with_block(df, ["g"], "seq", O.find_cuts(df, ["g"], "seq", block)).groupBy("g", O.BLOCK).count().collect()}
     assert max(sizes.values()) <= 4 * block and len(sizes) <= 300 + 2 * n / block
     got = {r.seq: r.n for r in O.numbered(df, ["g"], "seq", "n", block).where("g = 'hot'").collect()}
     assert got == {v: i + 1 for i, v in enumerate(sorted(values))}
@@ -116,7 +116,7 @@ def test_close_scores_and_ties_are_split(spark):
     rows = [("hot", i, 0.5 + (i % 100) * 1e-9 if i % 2 else 0.5) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, seq bigint, score double").repartition(4)
     order = df.withColumn("o", F.struct(-F.col("score"), "seq"))
-    assert max(r["count"] for r in O.with_block(order, ["g"], "o", block).groupBy("g", O.BLOCK).count().collect()) <= 4 * block
+    assert max(r["count"] for r in O.with_block(order, ["g"], "o", O.find_cuts(order, ["g"], "o", block)).groupBy("g", O.BLOCK).count().collect()) <= 4 * block
     want = {r[1]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
     assert {r.seq: r.n for r in O.ranked_by_score(df, ["g"], F.col("score"), "seq", "n", block).collect()} == want
 
@@ -125,10 +125,17 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     """Cuts stay few enough to be broadcast, whatever the number of hot groups."""
     monkeypatch.setattr(O, "MAX_BLOCKS", 16)
     df = spark.range(6000).select((F.col("id") % 3).alias("g"), F.col("id").alias("seq"))
-    cuts = O._cuts(df, ["g"], "seq", 10).select(F.size("_cuts")).collect()
+    cuts = O.find_cuts(df, ["g"], "seq", 10).select(F.size("_cuts")).collect()
     assert len(cuts) == 3 and sum(r[0] for r in cuts) <= 32
 
 
+def test_without_hot_groups_the_plan_is_one_window(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("g"), F.col("id").alias("seq"))
+    stacked = O.running_sum(O.numbered(df, ["g"], "seq", "n"), ["g"], "seq", F.col("n"), "s")
+    text = stacked._jdf.queryExecution().executedPlan().toString()
+    assert O.find_cuts(df, ["g"], "seq") is None and text.count("Exchange") == 1 and "Join" not in text
+
+
 def test_null_groups_and_empty_tables(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, seq bigint")
     assert {(r.g, r.seq): r.n for r in O.numbered(df, ["g"], "seq", "n", 1).collect()} == {(None, 1): 1, (None, 3): 2, ("a", 2): 1}

@@ -1,6 +1,7 @@
 """Physical plans: what must not be shuffled, what must be pruned, what must be cut before it moves."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanmill.operators import citations as C
 from gleanmill.operators import indexing as I
@@ -8,6 +9,7 @@ from gleanmill.operators import messages as M
 from gleanmill.operators import reports as R
 from gleanmill.operators import retrieval as V
 from gleanmill.operators import search as S
+from gleanmill.operators.ordering import ranked_by_score
 
 
 def plan(df):
@@ -56,11 +58,12 @@ def test_exact_search_moves_only_hits(stored, spark):
     corpus = stored("select id, array(cast(id as float), 1.0f) as vector from range(20)")
     queries = spark.sql("select id as query_id, array(1.0f, 0.5f) as vector from range(3)")
     text = plan(V.topk(corpus, queries, 2))
-    below_python = text.split("MapInPandas", 1)[1]
-    assert "Exchange" not in below_python and "WindowGroupLimit" in text
+    below_python = text.split("MapInArrow", 1)[1]
+    assert "Exchange hashpartitioning" not in below_python and "BroadcastExchange" in below_python and "WindowGroupLimit" in text
 
 
 def test_ranks_are_computed_per_block(stored):
     results = stored("select id % 2 as query_id, id as seq, 0.5d as score from range(50)")
-    text = plan(S.rank_results(results))
-    assert "_block" in text and "Exchange hashpartitioning(query_id" in text
+    text = plan(ranked_by_score(results, ["query_id"], F.col("score"), "seq", "position", 10))
+    assert "Exchange hashpartitioning(query_id" in text and "_block" in text.split("Exchange hashpartitioning(query_id", 1)[1][:200]
+    assert "_block" not in plan(S.rank_results(results))  # no hot group: one plain window

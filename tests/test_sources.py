@@ -1,3 +1,6 @@
+import posixpath
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,40 @@ def test_unique_file_ids_skip_taken_names(spark):
     assert got == ["a.pdf", "a_2.pdf", "a_3.pdf", "a_4.pdf", "a_2_2.pdf", "x", "x_2", ".hid", ".hid_2"]
 
 
+def plain_file_ids(names):
+    taken, out = set(), []
+    for name in names:
+        given, number = name, 2
+        stem, ext = posixpath.splitext(name)
+        while given in taken:
+            given, number = f"{stem or 'file'}_{number}{ext}", number + 1
+        taken.add(given)
+        out.append(given)
+    return out
+
+
+def test_unique_file_ids_of_random_requests(spark):
+    """Names that collide with numbers of each other, in all orders and depths."""
+    rng, requests = random.Random(4), {}
+    for request in range(120):
+        pool = ["a.x", "a_2.x", "a_3.x", "a_5.x", "a_2_2.x", "a_2_3.x", "a_02.x", "a_2_2_2.x", "b", "b_2", "", "file", "file_2", "..q", ".q_2", "a_1.x", "a_1_2.x"]
+        requests[request] = [rng.choice(rng.sample(pool, 5) if request % 2 else pool) for _ in range(rng.randrange(1, 25))]
+    rows = [(r, 10 * i + 3, n) for r, names in requests.items() for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "request_id int, seq int, name string").repartition(5)
+    got = {}
+    for r in B.unique_file_ids(df).orderBy("request_id", "seq").collect():
+        got.setdefault(r.request_id, []).append(r.file_id)
+    assert got == {r: plain_file_ids(names) for r, names in requests.items()}
+
+
+def test_one_hot_name_is_no_group(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("request_id"), F.col("id").alias("seq"), F.when(F.col("id") == 5, "r_7.pdf").otherwise("r.pdf").alias("name"))
+    ids = B.unique_file_ids(df)
+    assert "InPandas" not in ids._jdf.queryExecution().executedPlan().toString()
+    got = [r.file_id for r in ids.orderBy("seq").collect()]
+    assert got == plain_file_ids(["r_7.pdf" if i == 5 else "r.pdf" for i in range(30_000)][:40]) + [f"r_{i + 1}.pdf" for i in range(40, 30_000)]
+
+
 def test_fetch_payloads(spark):
     df = spark.createDataFrame([(0, '{"reader_result": "r", "content": "c"}', 200), (1, '{"content": "c"}', 200), (2, "<p>", 200), (3, "", 200), (4, "x", 503)], "i int, b string, s int")
     text, failed = P.unwrap_fetch_payload(F.col("b"), F.col("s"))
