@@ -3,11 +3,12 @@
 Greedy longest match cuts each word from left to right into the longest vocabulary entries. The automaton is a trie of
 the vocabulary whose nodes carry a failure link and the number of pieces that following it completes. A word is read
 once, byte by byte: where the trie has no edge, the pieces of the failure link are added and reading goes on at its
-target. Only counts are kept, pieces are never built. Words of a batch advance in lockstep, one array step per byte.
+target. Only counts are kept, pieces are never built. Words of a batch advance in lockstep, one array step per byte; a
+long word (text without blanks) is cut into stretches that advance in lockstep too and are joined where their states meet.
 
 The vocabulary is that of a byte-level tokenizer file: an entry that begins with a blank can begin a word, and all single
 bytes are entries, so every word has a cut. Null and blank texts have 0 words and 0 pieces. Rows are counted one by one;
-repeated ids and extra columns do no harm.
+repeated ids and extra columns do no harm. A text of any length is counted whole, in one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from gleanmill.llm.common import slices
 
+# Bytes from which on a word advances in stretches of its own.
+LONG = 2_048
 # Distinct words whose counts a task remembers before it starts afresh.
 CACHE_WORDS = 300_000
 
@@ -78,8 +81,11 @@ class Automaton:
         self.targets = np.array([t for _, t in edges], np.int32)
         self.fail, self.pops = np.array(fail, np.int32), np.array(pops, np.int32)
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word (not empty), all words advancing together."""
+    def _lockstep(self, words: list[bytes], history: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """State and number of pieces after each word (not empty), from the root, all words advancing together.
+
+        ``history`` collects both after every byte, of words in order of length, longest first.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -98,12 +104,51 @@ class Automaton:
                 pending = pending[~hit]
                 total[pending] += self.pops[state[pending]]
                 state[pending] = self.fail[state[pending]]
+            if history is not None:
+                history.append((state.copy(), total.copy()))
+        states, totals = np.empty_like(state), np.empty_like(total)
+        states[order], totals[order] = state, total
+        return states, totals
+
+    def _next(self, state: int, byte: int) -> tuple[int, int]:
+        """One step of one word: the next state, and the pieces popped on the way."""
+        popped = 0
+        while True:
+            key = state << 8 | byte
+            place = int(np.searchsorted(self.keys, key))
+            if place < len(self.keys) and self.keys[place] == key:
+                return int(self.targets[place]), popped
+            popped += int(self.pops[state])
+            state = int(self.fail[state])
+
+    def _after_long(self, word: bytes) -> tuple[int, int]:
+        """State and pieces after a long word. Its stretches advance together, each as if it began at the root; then each
+        is walked from where the one before really ended, until it meets what was found for it, which is soon."""
+        size = max(256, int(len(word) ** 0.5))
+        stretches = [word[i : i + size] for i in range(0, len(word), size)]
+        history: list[tuple[np.ndarray, np.ndarray]] = []
+        states, totals = self._lockstep(stretches, history)
+        state, total = int(states[0]), int(totals[0])
+        for j, stretch in enumerate(stretches[1:], 1):
+            for step, byte in enumerate(stretch):
+                state, popped = self._next(state, byte)
+                total += popped
+                if state == history[step][0][j]:
+                    total += int(totals[j] - history[step][1][j])
+                    state = int(states[j])
+                    break
+        return state, total
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Pieces of each word (not empty)."""
+        long = [i for i, word in enumerate(words) if len(word) > LONG]
+        state, total = self._lockstep([b"" if len(word) > LONG else word for word in words])
+        for i in long:
+            state[i], total[i] = self._after_long(words[i])
         while (rest := np.flatnonzero(state)).size:  # what is left in the trie is cut to the end
             total[rest] += self.pops[state[rest]]
             state[rest] = self.fail[state[rest]]
-        result = np.empty(len(words), np.int64)
-        result[order] = total
-        return result
+        return total
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -116,7 +161,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             split = [(text or b"").split() for text in part.column("text").to_pylist()]
             if len(known) > CACHE_WORDS:
                 known.clear()
-            new = list(set().union(*split) - known.keys())
+            new = [w for w in set().union(*split) if w not in known]
             known.update(zip(new, automaton.counts([b" " + w for w in new]).tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(map(len, split), pa.int64()),

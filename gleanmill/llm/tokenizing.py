@@ -25,7 +25,8 @@ _BLANK_AND_SPACE = re.compile(r" \s")  # a cheaper search that most texts end
 _BARE = "\ud800"
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _MARKS = frozenset(".,;:!?")
-LAST_LATIN, DOTTED_I = "\u024f", "\u0130"
+LAST_LATIN = "\u024f"
+DOTTED_I = "\u0130"  # its lower case ends in a combining dot, which would join a mark that follows
 
 
 def ids_bytes(ids) -> bytes:
@@ -86,7 +87,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         bare = _BARE * self.blank_kept
-        halves = {p: (p[:-1], bare + p[-1]) for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum()}
+        halves = {p: (p[:-1], bare + p[-1]) for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and DOTTED_I not in p}
         whole = {p for p in new if p not in halves}
         whole.update(h for pair in halves.values() for h in pair)
         words = {p: self._word(p) for p in whole if p not in self.known}
@@ -101,11 +102,14 @@ class Encoder:
         split = [self.pieces(t) if t else [] for t in texts]
         if 2 * len(self.known) > CACHE_PIECES:
             self.before, self.known = self.known, {}
-        new = set().union(*split) - self.known.keys()
-        again = new & self.before.keys()
+        # Plain loops, as a difference with the view of a dictionary walks through all that is known.
+        new = [p for p in set().union(*split) if p not in self.known]
+        again = [p for p in new if p in self.before]
         self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        if new := new - again:
-            self._learn(list(new))
+        if again:
+            new = [p for p in new if p not in self.known]
+        if new:
+            self._learn(new)
         return [b"".join(map(self.known.__getitem__, p)) for p in split]
 
 

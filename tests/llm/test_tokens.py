@@ -1,5 +1,7 @@
 """Token counts, tokenizing, packing and token files."""
 
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -30,6 +32,18 @@ def test_pieces_encode_like_whole_texts(path, blank_kept, monkeypatch):
         assert encoder.encode([text]) == [want], text
 
 
+@pytest.mark.parametrize(("path", "blank_kept"), [(BYTE_TOKENIZER, True), (WORD_TOKENIZER, False)])
+def test_random_texts_encode_like_the_library(path, blank_kept):
+    """Letters that change under lower-casing, marks, combining characters, blanks of all kinds and special tokens."""
+    rng, encoder, whole = random.Random(1), Encoder(path, blank_kept), Tokenizer.from_file(path)
+    parts = ["İ", "İ.", "ſİ?", "é", "e\u0301", "\u0301", "ß", "Σς", "12", ".", ",", "!?", "'s", "<|endoftext|>", "<", "\x00", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "The", "word", "中文", "\U0001f600"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(6000)]
+    for start in range(0, len(texts), 300):
+        part = texts[start : start + 300]
+        want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
+        assert encoder.encode(part) == want
+
+
 def ids_of(path, text, end):
     return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
 
@@ -47,6 +61,33 @@ def docs(spark):
 # --- counting
 
 
+def test_very_long_words_are_cut_and_synchronised():
+    rng = random.Random(6)
+    vocabulary = {bytes([b]) for b in range(256)} | {b"ab", b"abab", b"ababab", b"ba", b"aab", b"bbbb", b"abba" * 5, b"a" * 300}
+    automaton = C.Automaton(vocabulary)
+
+    def greedy(word):
+        count = at = 0
+        longest = max(map(len, vocabulary))
+        while at < len(word):
+            at += next(n for n in range(min(longest, len(word) - at), 0, -1) if word[at : at + n] in vocabulary)
+            count += 1
+        return count
+
+    words = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (1, C.LONG - 1, C.LONG, C.LONG + 1, 9_001, 20_000)]
+    words += [b"a" * 12_345, b"ab" * 7_000, b"abba" * 4_001, (b"a" * 299 + b"b") * 40]
+    assert automaton.counts(words).tolist() == [greedy(w) for w in words]
+
+
+def test_a_word_of_a_megabyte_takes_about_a_second():
+    rng = random.Random(7)
+    automaton = C.Automaton(C.read_vocabulary(BYTE_TOKENIZER))
+    word = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789+/=") for _ in range(1 << 20))
+    start = time.process_time()
+    assert 1 << 18 < automaton.counts([word])[0] < 1 << 20
+    assert time.process_time() - start < 10
+
+
 def greedy(vocabulary, longest, word):
     n = at = 0
     while at < len(word):
