@@ -6,10 +6,8 @@ before anything heavy happens to them. With overlap 0 the chunks of a text conca
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,75 +29,87 @@ def fixed_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = 0) -> Colum
     return F.when(length > 0, spans).otherwise(F.array().cast(SPANS))
 
 
-def _packed(cuts: list[int], size: int, overlap: int = 0) -> list[tuple[int, int]]:
-    """Pack the pieces between ``cuts`` greedily into spans of at most ``size``, at least one piece each."""
-    spans, first = [], 0
-    while first < len(cuts) - 1:
-        last = first + 1
-        while last + 1 < len(cuts) and cuts[last + 1] - cuts[first] <= size:
-            last += 1
-        spans.append((cuts[first], cuts[last]))
-        if last == len(cuts) - 1:
-            break
-        following = last
-        while overlap and following - 1 > first and cuts[last] - cuts[following - 1] <= overlap:
-            following -= 1
-        first = following
-    return spans
+def packed_spans(lengths: Column, shortest: int, size: int, overlap: int = 0) -> Column:
+    """Pack parts, given by their lengths in order, greedily into spans of at most ``size``, at least one piece each.
 
+    Parts join until they are ``shortest`` long and make a piece; what is left at the end is one too. With an overlap, a
+    span begins with the pieces at the end of the one before that fit into it. One fold, which keeps the spans so
+    far and, for the overlap, the cuts inside the last of them.
+    """
+    start = F.expr(
+        "named_struct('at', 0L, 'cut', 0L, 'first', 0L, 'last', 0L, 'recent', cast(array() as array<bigint>),"
+        " 'spans', cast(array() as array<struct<start: bigint, end: bigint>>))")
 
-SENTENCE_END = re.compile(r"\. |! |\? |\n")
+    def span(first: Column, last: Column) -> Column:
+        return F.struct(first.alias("start"), last.alias("end"))
 
+    def cut(s: Column, end: Column) -> Column:
+        """The state after one more piece, which ends at ``end``."""
+        first, last, recent, spans = s["first"], s["last"], s["recent"], s["spans"]
+        fits = (end - first <= size) | (last == first)
+        closed, begins = F.array_append(spans, span(first, last)), last
+        if overlap:
+            inside = F.filter(recent, lambda c: (c > first) & (c < last) & (last - c <= overlap))
+            # Where the next piece is too long for the overlap, the span ends where the one before did.
+            closed = F.concat(closed, F.transform(F.filter(inside, lambda c: end - c > size), lambda c: span(c, last)))
+            begins = F.coalesce(F.try_element_at(F.filter(inside, lambda c: end - c <= size), F.lit(1)), last)
+            kept = F.when(fits, recent).otherwise(F.filter(recent, lambda c: c > first))
+            recent = F.array_append(kept, end)
+        return F.struct(
+            end.alias("at"), end.alias("cut"), F.when(fits, first).otherwise(begins).alias("first"), end.alias("last"),
+            recent.alias("recent"), F.when(fits, spans).otherwise(closed).alias("spans"))
+
+    def step(s: Column, length: Column) -> Column:
+        end = s["at"] + length
+        waits = F.struct(end.alias("at"), s["cut"].alias("cut"), s["first"].alias("first"), s["last"].alias("last"),
+                         s["recent"].alias("recent"), s["spans"].alias("spans"))
+        return F.when(end - s["cut"] >= shortest, cut(s, end)).otherwise(waits)
+
+    def finish(s: Column) -> Column:
+        whole = F.when(s["at"] > s["cut"], cut(s, s["at"])).otherwise(s)
+        return F.when(whole["last"] > whole["first"], F.array_append(whole["spans"], span(whole["first"], whole["last"]))).otherwise(whole["spans"])
+
+    return F.aggregate(lengths, start, step, finish)
+
+
+SENTENCE_END = r"\. |! |\? |\n"
 
-def sentence_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = 0) -> Column:
-    """Sentences (of 12 characters or more) packed into chunks; a longer sentence is a chunk of its own."""
 
-    def spans(content: str) -> list[tuple[int, int]]:
-        cuts = [0]
-        for end in SENTENCE_END.finditer(content):
-            if end.end() - cuts[-1] >= SENTENCE_MIN:
-                cuts.append(end.end())
-        if cuts[-1] < len(content):
-            cuts.append(len(content))
-        return _packed(cuts, size, overlap)
+def _lengths(text: Column, end: str) -> Column:
+    """Lengths of the parts of a text, each up to and with its end."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).*?(?:{end})|.+"), F.lit(0))
+    return F.transform(parts, lambda x: F.length(x).cast("bigint"))
 
-    return _spans_udf(spans)(text)
+
+def sentence_spans(text: Column, size: int = CHUNK_SIZE, overlap: int = 0) -> Column:
+    """Sentences (of 12 characters or more) packed into chunks; a longer sentence is a chunk of its own."""
+    return packed_spans(_lengths(F.coalesce(text, F.lit("")), SENTENCE_END), SENTENCE_MIN, size, overlap)
 
 
 # Finer and finer places to split at: paragraphs, sentences, clauses, words.
-SPLITS = [re.compile(p) for p in (r"\n\n|\r\n|\n|\r", r"[.!?] ", r"[{}\"\[\]<>()|:;,~`'-]|\.\.\.", r"\s")]
+SPLITS = [r"\n\n|\r\n|\n|\r", r"[.!?] ", r"[{}\"\[\]<>()|:;,~`'-]|\.\.\.", r"[ \t\n\f\r]"]
 
 
 def recursive_spans(text: Column, size: int = CHUNK_SIZE) -> Column:
-    """Split at ever finer places until all pieces fit, then merge neighbours; pieces below 24 go along."""
-
-    def cut(content: str, start: int, end: int, level: int) -> list[int]:
-        if end - start <= size:
-            return [end]
-        if level == len(SPLITS):
-            return [*range(start + size, end, size), end]
-        ends = [start]
-        for m in SPLITS[level].finditer(content, start, end):
-            if m.end() - ends[-1] >= PIECE_MIN:
-                ends.append(m.end())
-        if ends[-1] < end:
-            ends.append(end)
-        spans = _packed(ends, size)
-        return [c for s, e in spans for c in cut(content, s, e, level + 1)]
-
-    def spans(content: str) -> list[tuple[int, int]]:
-        cuts = [0, *cut(content, 0, len(content), 0)] if content else [0]
-        return list(zip(cuts, cuts[1:]))
-
-    return _spans_udf(spans)(text)
-
-
-def _spans_udf(spans: Callable[[str], list[tuple[int, int]]]):
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": s, "end": e} for s, e in spans(t or "")])
-
-    return run
+    """Split at ever finer places until all pieces fit, then merge neighbours; pieces below 24 go along.
+
+    A pass over the spans for each kind of place; spans that fit stay as they are. What still does not fit is cut evenly.
+    """
+    body = F.coalesce(text, F.lit(""))
+    whole = F.struct(F.lit(0).cast("bigint").alias("start"), F.length(body).cast("bigint").alias("end"))
+    spans = F.when(F.length(body) > 0, F.array(whole)).otherwise(F.array().cast(SPANS))
+
+    def finer(within: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def split(s: Column) -> Column:
+            own = F.substring(body, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+            moved = F.transform(within(own), lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
+            return F.when(s["end"] - s["start"] <= size, F.array(s)).otherwise(moved)
+
+        return split
+
+    for end in SPLITS:
+        spans = F.flatten(F.transform(spans, finer(lambda own, end=end: packed_spans(_lengths(own, end), PIECE_MIN, size))))
+    return F.flatten(F.transform(spans, finer(lambda own: fixed_spans(own, size))))
 
 
 def chunk_rows(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,22 +17,40 @@ from gleanmill.functions import constants as K
 VECTOR = T.ArrayType(T.FloatType())
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KNOWN_WORDS = 200_000
+
+
 class HashingEmbedder:
-    """Deterministic embedder without a model: words hashed to signed dimensions, unit length."""
+    """Deterministic embedder without a model: lower-case words hashed to signed dimensions, unit length.
+
+    The code of a word is the first 32 bits of its md5: dimension by remainder, plus or minus by bit 16.
+    """
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
+        self.known: dict[str, int] = {}
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        for word in words:
+            if word not in self.known:
+                self.known[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def embed_query(self, text: str) -> list[float]:
-        vector = np.zeros(self.dimension)
-        for word in text.lower().split():
-            code = zlib.crc32(word.encode())
-            vector[code % self.dimension] += 1.0 if code & 0x10000 else -1.0
-        norm = np.linalg.norm(vector)
-        return (vector / norm if norm else vector).astype("float32").tolist()
+        return self.embed_documents([text])[0]
 
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed_query(t) for t in texts]
+        split = [WORD.findall(t.lower()) for t in texts]
+        codes = self._codes([w for words in split for w in words])
+        rows = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+        signs = np.where(codes & 0x10000, 1.0, -1.0)
+        cells = np.bincount(rows * self.dimension + codes % self.dimension, signs, len(texts) * self.dimension)
+        matrix = cells.reshape(len(texts), self.dimension)
+        norms = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        return (matrix / np.where(norms == 0, 1, norms)).astype("float32").tolist()
 
 
 EMBEDDERS: dict[str, Callable[..., object]] = {"hashing": HashingEmbedder}

@@ -145,14 +145,68 @@ select 'kb' as collection, case when vec_id % 2 = 0 then 'c' || vec_id else 'upl
 
 def _index(spark, sf):
     stored, _ = I.index_documents(_guard_docs(spark, sf), "kb", "token", SIZE, timestamp=F.lit(STAMP))
-    return stored.select("id", F.size("vector").cast("bigint").alias("dimension"), "content", "title", "url")
+    return stored.select("id", _components("vector").alias("vector"), "content", "title", "url")
+
+
+def _components(vector):
+    """All components of a vector, in ten thousandths, as text."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 10000).cast("bigint")), " ")
 
 
 def _embedded(spark, sf):
     docs = _docs(spark, sf)
-    return docs.select("id", U.embed(F.col("content"), dimension=16).alias("v")).select(
-        "id", F.size("v").cast("bigint").alias("dimension"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")
-    )
+    return docs.select("id", _components(U.embed(F.col("content"), dimension=16)).alias("vector"))
+
+
+def _vectors_sql(source: str, dimension: int) -> str:
+    """The vectors of ``source`` (id, content), in the form of ``_components``."""
+    return f"""texts as (select id, unnest(regexp_extract_all(lower(content), '[^\\x20\\x09-\\x0D]+')) as w from {source}),
+codes as (select id, cast('0x' || md5(w)[1:8] as bigint) as c from texts),
+cells as (select id, c % {dimension} as i, sum(case when (c >> 16) & 1 = 1 then 1 else -1 end) as s from codes group by 1, 2),
+norms as (select id, sqrt(sum(s * s)) as norm from cells group by 1),
+vectors as (select a.id, string_agg(coalesce(cast(round(cast(cast(s / norm as float) as double) * 10000) as bigint), 0), ' ' order by a.i) as vector
+  from (select id, unnest(range({dimension})) as i from {source}) a left join cells c on a.id = c.id and a.i = c.i
+  left join (select id, case when norm = 0 then 1 else norm end as norm from norms) n on a.id = n.id group by 1)"""
+
+
+def _packing_sql(name: str, source: str, end: str, shortest: int, size: int) -> str:
+    """Table ``name`` (id, s, e): the parts of longer rows of ``source`` (id, text, s, e), up to ``end`` each, packed; others as they are.
+
+    One row per part and piece: a part makes a piece when it is long enough or the last, a piece that does not fit closes the span.
+    """
+    return f"""
+{name}_parts as (select id, text, s, e, regexp_extract_all(substring(text, s + 1, e - s), '(?s).*?(?:{end})|.+') as parts from {source} where e - s > {size}),
+{name}_fold as (
+  select id, s as base, parts, 0 as k, s as pos, s as cut, s as first, s as last, cast(null as bigint) as close_s, cast(null as bigint) as close_e from {name}_parts
+  union all
+  select id, base, parts, k + 1, now, case when piece then now else cut end, case when piece and not fits then last else first end,
+    case when piece then now else last end, case when piece and not fits then first end, case when piece and not fits then last end
+  from (select *, now - cut >= {shortest} or (k + 1 = len(parts) and now > cut) as piece, now - first <= {size} or last = first as fits
+        from (select *, pos + length(parts[k + 1]) as now from {name}_fold where k < len(parts)))),
+{name} as (select f.id, d.text, s, e from (
+    select id, close_s as s, close_e as e from {name}_fold where close_s is not null
+    union all select id, first, last from {name}_fold where k = len(parts)
+    union all select id, s, e from {source} where e - s <= {size}) f join (select doc_id, text from documents) d on d.doc_id = f.id)"""
+
+
+WHOLE_SQL = "with recursive whole as (select doc_id as id, text, cast(0 as bigint) as s, cast(length(text) as bigint) as e from documents where length(text) > 0),"
+SPANS_OF_SQL = """ select id as original_document_id, row_number() over (partition by id order by s) - 1 as chunk_index, s as chunk_start, e as chunk_end,
+  substring(text, s + 1, e - s) as content from """
+
+
+def _sentences_sql() -> str:
+    """Texts that fit into one chunk are one; the others are packed by sentences."""
+    return WHOLE_SQL + _packing_sql("spans", "whole", H.SENTENCE_END, H.SENTENCE_MIN, SIZE) + SPANS_OF_SQL + "spans"
+
+
+def _recursive_sql() -> str:
+    levels, source = [], "whole"
+    for level, end in enumerate(H.SPLITS):
+        levels.append(_packing_sql(f"level{level}", source, end.replace("'", "''"), H.PIECE_MIN, SIZE))
+        source = f"level{level}"
+    even = f"""even as (select id, text, least(s + i * {SIZE}, e) as s, least(s + (i + 1) * {SIZE}, e) as e
+  from (select *, unnest(range(cast(ceil((e - s) / {SIZE}.0) as bigint))) as i from {source}))"""
+    return WHOLE_SQL + ",".join(levels) + "," + even + SPANS_OF_SQL + "even"
 
 
 def _corpus(spark, sf):
@@ -309,8 +363,8 @@ from docs d left join paths p using (path) group by 1""",
         "with " + _spans_sql(2048, 0)
         + "select doc_id as original_document_id, s as chunk_start, e as chunk_end, substring(text, s + 1, e - s) as content from chunks",
     ),
-    "chunk_sentences": Query(_span_chunks("sentence")),
-    "chunk_recursive": Query(_span_chunks("recursive")),
+    "chunk_sentences": Query(_span_chunks("sentence"), _sentences_sql()),
+    "chunk_recursive": Query(_span_chunks("recursive"), _recursive_sql()),
     "chunk_rows": Query(
         _chunk_rows,
         "with " + _spans_sql(SIZE, OVERLAP) + """select doc_id || '_chunk_' || printf('%04d', i) as id, doc_id as original_document_id, i as chunk_index,
@@ -320,7 +374,8 @@ from chunks join (select doc_id, lang from documents) using (doc_id)""",
     ),
     "guard_files": Query(_guarded, "with " + GUARD_SQL + "select * replace (cast(chunks as bigint) as chunks) from guarded"),
     "embed_chunks": Query(
-        _embedded, "select doc_id as id, cast(16 as bigint) as dimension, cast(1 as double) as norm from documents"
+        _embedded, "with filled as (select doc_id as id, coalesce(text, '') as content from documents), " + _vectors_sql("filled", 16)
+        + " select id, vector from vectors",
     ),
     "check_vectors": Query(_checked, "with " + CHECKED_SQL + "select * from vectors_checked"),
     "store_rows": Query(lambda spark, sf: _stored(_store(spark, sf)), STORE_SQL),
@@ -330,9 +385,10 @@ from chunks join (select doc_id, lang from documents) using (doc_id)""",
         "with " + GUARD_SQL.replace("64) / 448.0", "0) / 512.0") + f""", good as (select file_id, chunks from guarded where reason is null),
 spans as (select d.doc_id, d.text, g.file_id, cast(ceil(length(d.text) / 512.0) as bigint) as total from docs d join good g on g.file_id = d.source
           where length(d.text) > 0),
-cut as (select *, unnest(range(total)) as i from spans)
-select doc_id || '_chunk_' || printf('%04d', i) as id, cast(64 as bigint) as dimension, substring(text, i * 512 + 1, 512) as content,
-  'Src' || substring(file_id, 4) as title, 'milvus://kb/' || file_id as url from cut""",
+cut as (select *, unnest(range(total)) as i from spans),
+chunks as (select doc_id || '_chunk_' || printf('%04d', i) as id, file_id, substring(text, i * 512 + 1, 512) as content from cut),
+""" + _vectors_sql("chunks", 64) + """ select id, vector, content, 'Src' || substring(file_id, 4) as title, 'milvus://kb/' || file_id as url
+from chunks join vectors using (id)""",
     ),
     "index_report": Query(
         _report,

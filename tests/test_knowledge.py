@@ -1,3 +1,4 @@
+import re
 import random
 
 import numpy as np
@@ -29,6 +30,56 @@ def test_chunks_concatenate_to_the_text(spark, kind, size):
             assert all(len(r.content) <= size for r in mine)
 
 
+def plain_packed(cuts, size, overlap=0):
+    spans, first = [], 0
+    while first < len(cuts) - 1:
+        last = first + 1
+        while last + 1 < len(cuts) and cuts[last + 1] - cuts[first] <= size:
+            last += 1
+        spans.append((cuts[first], cuts[last]))
+        if last == len(cuts) - 1:
+            break
+        following = last
+        while overlap and following - 1 > first and cuts[last] - cuts[following - 1] <= overlap:
+            following -= 1
+        first = following
+    return spans
+
+
+def plain_cuts(text, start, end, pattern, shortest):
+    cuts = [start]
+    for m in re.compile(pattern).finditer(text, start, end):
+        if m.end() - cuts[-1] >= shortest:
+            cuts.append(m.end())
+    return cuts if cuts[-1] == end else [*cuts, end]
+
+
+def plain_recursive(text, size, start, end, level=0):
+    if end - start <= size:
+        return [(start, end)]
+    if level == len(H.SPLITS):
+        return [(s, min(s + size, end)) for s in range(start, end, size)]
+    spans = plain_packed(plain_cuts(text, start, end, H.SPLITS[level], H.PIECE_MIN), size)
+    return [x for s, e in spans for x in plain_recursive(text, size, s, e, level + 1)]
+
+
+@pytest.mark.parametrize("overlap", [0, 13, 40])
+def test_sentence_spans_match_the_plain_version(spark, overlap):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (999, None)], "id int, content string")
+    got = {r.id: [tuple(x) for x in r.s] for r in docs.select("id", H.sentence_spans(F.col("content"), 60, overlap).alias("s")).collect()}
+    want = {i: plain_packed(plain_cuts(t, 0, len(t), H.SENTENCE_END, H.SENTENCE_MIN), 60, overlap) for i, t in enumerate(TEXTS) if t}
+    assert {i: s for i, s in got.items() if s} == want
+
+
+@pytest.mark.parametrize("size", [30, 100])
+def test_recursive_spans_match_the_plain_version(spark, size):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (999, None)], "id int, content string")
+    chosen = docs.select("id", H.recursive_spans(F.col("content"), size).alias("s"))
+    assert "Python" not in chosen._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: [tuple(x) for x in r.s] for r in chosen.collect()}
+    assert {i: s for i, s in got.items() if s} == {i: plain_recursive(t, size, 0, len(t)) for i, t in enumerate(TEXTS) if t}
+
+
 def test_overlap_windows(spark):
     docs = spark.createDataFrame([(1, "0123456789")], "id int, content string")
     got = [r.content for r in H.chunk_rows(docs, H.fixed_spans(F.col("content"), 4, 2), "token").orderBy("chunk_index").collect()]
