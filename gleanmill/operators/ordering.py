@@ -187,3 +187,21 @@ def joined_text(
         *[F.min_by(n, present[n]).alias(n) for n in firsts],
         *[F.max_by(n, present[n]).alias(n) for n in lasts],
     )
+
+
+def joined_parts(
+    df: DataFrame, group: list[str], seq: str, text: Column, sep: str, part_chars: int, out: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The joined text of each group in parts of ``part_chars`` characters, the last shorter: group, ``part``, ``out``.
+
+    The parts one after the other are the whole text, so no value holds more than a part, however many or large the rows
+    are. Where a row's text begins is a running sum; a row gives each part it reaches into its share.
+    """
+    texts = df.select(*group, seq, text.alias("_text")).where("_text is not null")
+    placed = running_sum(texts, group, seq, F.length("_text").cast("bigint") + len(sep), "_begin", inclusive=False, block_rows=block_rows)
+    begin, led = F.col("_begin"), F.when(F.col("_begin") == 0, F.col("_text")).otherwise(F.concat(F.lit(sep), F.col("_text")))
+    placed = placed.withColumns({"_text": led, "_begin": F.when(begin == 0, begin).otherwise(begin - len(sep))})
+    last = F.greatest(F.col("_begin"), F.col("_begin") + F.length("_text") - 1)
+    parts = placed.withColumn("part", F.explode(F.sequence(F.floor(F.col("_begin") / part_chars), F.floor(last / part_chars))))
+    cut = F.expr(f"substring(_text, cast(greatest(part * {part_chars} - _begin, 0L) + 1 as int), cast(least((part + 1) * {part_chars} - _begin, {part_chars}L) as int))")
+    return joined_text(parts.withColumn("_cut", cut), [*group, "part"], seq, {out: F.col("_cut")})

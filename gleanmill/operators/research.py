@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanmill.functions import constants as K
-from gleanmill.operators.ordering import joined_text, last_known, numbered, running_sum
+from gleanmill.operators.ordering import joined_parts, last_known, numbered, running_sum
+from gleanmill.operators.search import PART_CHARS
 
 THREAD = ["thread_id"]
 PLAN = ["plan_id"]
@@ -119,8 +120,8 @@ def repair_plans(
     return fixed.unionByName(empty, allowMissingColumns=True)
 
 
-def findings_digest(steps: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Findings of the steps done before each plan's current one, as markdown in parts of many steps.
+def findings_digest(steps: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Findings of the steps done before each plan's current one, as markdown in parts of so many characters.
 
     Plans without an open step have no current one and give nothing. Parts in order are the whole text.
     """
@@ -131,7 +132,5 @@ def findings_digest(steps: DataFrame, part_rows: int = 10_000) -> DataFrame:
         F.lit("## Completed Step "), F.col("_i"), F.lit(": "), F.col("title"), F.lit("\n\n<finding>\n"),
         F.col("execution_res"), F.lit("\n</finding>\n\n"),
     )
-    parted = listed.withColumn("part", F.floor((F.col("_i") - 1) / F.lit(part_rows)))
-    texts = joined_text(parted, [*PLAN, "part"], "_i", {"digest": block})
-    head = F.when(F.col("part") == 0, F.lit("# Completed Research Steps\n\n")).otherwise(F.lit(""))
-    return texts.withColumn("digest", F.concat(head, "digest"))
+    head = F.when(F.col("_i") == 1, F.lit("# Completed Research Steps\n\n")).otherwise(F.lit(""))
+    return joined_parts(listed, PLAN, "_i", F.concat(head, block), "", part_chars, "digest")

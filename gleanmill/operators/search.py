@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmill.functions import text as tx
-from gleanmill.operators.ordering import joined_text, ranked_by_score
+from gleanmill.operators.ordering import joined_parts, ranked_by_score
 
 QUERY = ["query_id"]
+# Characters of one value of a text that is put together from many rows.
+PART_CHARS = 1 << 20
 
 
 def result_key(url: Column, image_url: Column) -> Column:
@@ -127,18 +129,17 @@ def restrict_results(
     return df
 
 
-def digest(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
+def digest(df: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Text of the results per query, as ``## title`` and content in seq order.
 
-    A query's text comes in parts of consecutive seq ranges, so that no single value holds a whole hot
-    query; the text is the parts in order, joined by a blank line.
+    A query's text comes in parts of so many characters, so that no value holds a whole hot query or result; the text is
+    the parts one after the other.
     """
     entry = F.concat(
         F.lit("## "), F.coalesce("title", F.lit("Untitled")), F.lit("\n\n"),
         F.coalesce("content", F.lit("No content")),
     )
-    parted = df.filter("url is not null").withColumn("part", F.floor(F.col("seq") / F.lit(part_rows)))
-    return joined_text(parted, [*QUERY, "part"], "seq", {"digest": entry}, "\n\n")
+    return joined_parts(df.filter("url is not null"), QUERY, "seq", entry, "\n\n", part_chars, "digest")
 
 
 def title_lookup(results: DataFrame, crawled: DataFrame) -> DataFrame:

@@ -95,11 +95,11 @@ where (h in ('example.com', 'example.org') or ends_with(h, '.example.com') or en
 qualify row_number() over (partition by query_id order by seq) <= 5""",
     ),
     "digest": Query(
-        lambda spark, sf: S.digest(_results(spark, sf), 20).select("query_id", "part", "digest"),
-        BASE + """ select query_id, cast(floor(seq / 20) as bigint) as part,
-  string_agg('## ' || coalesce(title, 'Untitled') || chr(10) || chr(10) || coalesce(content, 'No content'),
-             chr(10) || chr(10) order by seq) as digest
-from v_search_results where url is not null group by 1, 2""",
+        lambda spark, sf: S.digest(_results(spark, sf), 5000).select("query_id", "part", "digest"),
+        BASE + """, whole as (select query_id, string_agg('## ' || coalesce(title, 'Untitled') || chr(10) || chr(10) || coalesce(content, 'No content'),
+             chr(10) || chr(10) order by seq) as t from v_search_results where url is not null group by 1)
+select query_id, part, substring(t, part * 5000 + 1, 5000) as digest
+from (select *, unnest(range(cast(ceil(length(t) / 5000.0) as bigint))) as part from whole)""",
     ),
     "title_lookup": Query(
         _title_lookup,

@@ -347,13 +347,13 @@ select plan_id, step_no, need_search or (not has and step_no = pick) as need_sea
 union all select distinct user_id + 1000000, 0, true, 'research', 'Initial Research' from events""",
     ),
     "findings_digest": Query(
-        lambda spark, sf: R.findings_digest(_steps(spark, sf), 3).select("plan_id", *_long("part"), "digest"),
+        lambda spark, sf: R.findings_digest(_steps(spark, sf), 300).select("plan_id", *_long("part"), "digest"),
         STEPS + """, cur as (select plan_id, min(step_no) filter (where coalesce(execution_res, '') = '') as c from v_plan_steps group by 1),
 done as (select s.*, row_number() over (partition by plan_id order by step_no) as i from v_plan_steps s join cur using (plan_id)
          where step_no < c),
-parts as (select plan_id, cast(floor((i - 1) / 3) as bigint) as part, string_agg('## Completed Step ' || i || ': ' || title || chr(10) || chr(10)
-    || '<finding>' || chr(10) || execution_res || chr(10) || '</finding>' || chr(10) || chr(10), '' order by i) as t from done group by 1, 2)
-select plan_id, part, case when part = 0 then '# Completed Research Steps' || chr(10) || chr(10) else '' end || t as digest from parts""",
+whole as (select plan_id, '# Completed Research Steps' || chr(10) || chr(10) || string_agg('## Completed Step ' || i || ': ' || title || chr(10) || chr(10)
+    || '<finding>' || chr(10) || execution_res || chr(10) || '</finding>' || chr(10) || chr(10), '' order by i) as t from done group by 1)
+select plan_id, part, substring(t, part * 300 + 1, 300) as digest from (select *, unnest(range(cast(ceil(length(t) / 300.0) as bigint))) as part from whole)""",
     ),
     "compress_context": Query(
         _context("reference"),

@@ -140,3 +140,16 @@ def test_null_groups_and_empty_tables(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, seq bigint")
     assert {(r.g, r.seq): r.n for r in O.numbered(df, ["g"], "seq", "n", 1).collect()} == {(None, 1): 1, (None, 3): 2, ("a", 2): 1}
     assert O.numbered(df.limit(0), ["g"], "seq", "n").collect() == []
+
+
+def test_joined_parts_are_bounded_and_whole(spark):
+    rng = random.Random(8)
+    rows = [(g, i * 3, "é" * rng.choice([0, 1, 5, 40, 500])) for g in ("a", "b", None) for i in range(30)] + [("e", 1, ""), ("n", 1, None)]
+    df = spark.createDataFrame(rows, "g string, seq bigint, t string").repartition(4)
+    for size in (1, 7, 64, 10_000):
+        parts = {}
+        for r in O.joined_parts(df, ["g"], "seq", F.col("t"), ", ", size, "x", BLOCK).collect():
+            parts.setdefault(r.g, []).append((r.part, r.x))
+        want = {g: ", ".join(t for k, _, t in rows if k == g) for g in ("a", "b", None, "e")}
+        assert {g: "".join(x for _, x in sorted(p)) for g, p in parts.items()} == want
+        assert all(len(x) == size for p in parts.values() for _, x in sorted(p)[:-1]) and all(len(x) <= size for p in parts.values() for _, x in p)

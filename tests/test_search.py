@@ -57,10 +57,11 @@ def test_restrictions(spark, table):
 
 
 def test_digest_parts_make_the_whole(spark):
-    df = frame(spark, [{"url": f"u{i}", "title": f"t{i}", "content": f"c{i}"} for i in range(25)])
-    parts = [r.digest for r in S.digest(df, 10).orderBy("part").collect()]
-    assert len(parts) == 3
-    assert "\n\n".join(parts) == "\n\n".join(f"## t{i}\n\nc{i}" for i in range(25))
+    df = frame(spark, [{"url": f"u{i}", "title": f"t{i}", "content": "c" * (i * 7 % 50)} for i in range(25)])
+    parts = [r.digest for r in S.digest(df, 40).orderBy("part").collect()]
+    assert "".join(parts) == "\n\n".join(f"## t{i}\n\n" + "c" * (i * 7 % 50) for i in range(25))
+    assert all(len(p) == 40 for p in parts[:-1])
+
 
 
 def test_copies_are_combined_before_the_shuffle(spark):
