@@ -6,6 +6,8 @@ with ``seq`` unique inside its thread, and reports ``(report_id, body)``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,10 +198,13 @@ def extract_urls(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", F.posexplode(url_list(F.col("body"))).alias("pos", "url"))
 
 
-def reference_sections(body: Column) -> Column:
-    """Texts of the reference sections; a section ends at an empty line followed by ``##``."""
-    pattern = "(?is)" + K.REFERENCE_HEADERS + r"\s*\n(.*?)(?=\n\n##|\z)"
-    return F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+def reference_sections(body: Column, headers: Sequence[str] = (K.REFERENCE_HEADERS,)) -> Column:
+    """Texts of the reference sections; a section ends at an empty line followed by ``##``.
+
+    ``headers`` are patterns without groups; the sections of the first one come first.
+    """
+    found = [F.regexp_extract_all(body, F.lit(f"(?is)(?:{h})" + r"\s*\n(.*?)(?=\n\n##|\z)"), F.lit(1)) for h in headers]
+    return F.concat(*found)
 
 
 def _pairs(section: Column, pattern: str, title: int, url: int, form: str) -> Column:
@@ -225,9 +230,11 @@ def _first_per_url(found: Column) -> Column:
     )
 
 
-def parse_references(reports: DataFrame) -> DataFrame:
+def parse_references(reports: DataFrame, headers: Sequence[str] = (K.REFERENCE_HEADERS,)) -> DataFrame:
     """References of each report, first per URL in the order of the formats, numbered from 1.
 
+    They stand in sections under one of the ``headers`` (patterns without groups).
+
     All of a report's references come from its one text, so they are deduplicated and numbered inside the
     row; nothing is shuffled.
     """
@@ -243,7 +250,7 @@ def parse_references(reports: DataFrame) -> DataFrame:
             on_web(_pairs(text, "(?i)" + K.HTML_REFERENCE, 3, 2, "html")),
         )
 
-    sections = reports.select("report_id", reference_sections(F.col("body")).alias("_sections")).filter(F.size("_sections") > 0)
+    sections = reports.select("report_id", reference_sections(F.col("body"), headers).alias("_sections")).filter(F.size("_sections") > 0)
     found = sections.select("report_id", F.flatten(F.transform("_sections", listed)).alias("_found"))
     firsts = found.select("report_id", F.posexplode(_first_per_url(F.col("_found"))).alias("pos", "r"))
     return firsts.select("report_id", (F.col("pos") + 1).alias("number"), "r.title", "r.url", "r.form")
@@ -360,6 +367,23 @@ def citations_json(citations: DataFrame) -> DataFrame:
     return objects.join(counts, "thread_id")
 
 
+STORED = "struct<id: string, url: string, title: string, description: string, content_snippet: string, domain: string, relevance_score: double>"
+
+
+def store_collection(citations: DataFrame, used: DataFrame) -> DataFrame:
+    """Numbered citations as rows to keep: ``thread_id, number, citation, used``; the citation is a JSON object."""
+    marks = used.select(*KEY).distinct().withColumn("used", F.lit(True))
+    objects = citations_json(citations).withColumn("url", F.get_json_object("citation", "$.url"))
+    return objects.join(marks, KEY, "left").select("thread_id", "number", "citation", F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def load_collection(rows: DataFrame) -> DataFrame:
+    """Sources out of kept rows, in their order: ``first_seen`` is the number they had. Rows without a URL are dropped."""
+    read = rows.select("thread_id", F.col("number").alias("first_seen"), F.from_json("citation", STORED).alias("c"), "used")
+    return read.select("thread_id", "first_seen", "c.url", "c.title", "c.description", "c.content_snippet", "c.domain", "c.relevance_score", "used").filter(
+        F.coalesce("url", F.lit("")) != "")
+
+
 def is_inline_marker(text: Column) -> Column:
     return text.rlike(K.INLINE_MARKER)
 

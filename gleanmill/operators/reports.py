@@ -216,6 +216,10 @@ def summary_text(score: Column, letter: Column, row: dict[str, Column], verdict:
                 for c in K.CRITERIA
             ]
         )
+        # A judge may score more than the known criteria; those follow in its order.
+        more = F.filter(F.map_entries(verdict["scores"]), lambda e: ~e["key"].isin(*K.CRITERIA) & e["value"].isNotNull())
+        named = F.transform(more, lambda e: F.concat(F.lit("- "), F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), _score_text(e["value"]), F.lit("/10")))
+        scores = F.concat(scores, F.coalesce(named, F.array().cast("array<string>")))
 
         def bullets(title: str, items: Column) -> Column:
             shown = F.transform(F.slice(items, 1, 3), lambda s: F.concat(F.lit("- "), s))

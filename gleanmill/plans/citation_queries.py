@@ -8,6 +8,7 @@ from gleanmill.functions import constants as K
 from gleanmill.operators import citations as C
 from gleanmill.plans.registry import Query
 from gleanmill.plans.views import SQL_PAGE_COUNT, ctes, page_count, view
+from gleanmill.session import scratch_folder
 
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
@@ -232,6 +233,28 @@ def _json(spark, sf):
     )
 
 
+def _collection(spark, sf):
+    """Kept, read again, and numbered anew without the unused ones."""
+    citations = _citations(spark, sf)
+    kept = C.store_collection(citations, citations.where("number % 3 <> 1"))
+    path = scratch_folder(spark, "collection")
+    kept.write.parquet(path)
+    loaded = C.load_collection(spark.read.parquet(path))
+    return C.number_citations(loaded.where("used")).select(
+        "thread_id", F.col("number").cast("bigint").alias("number"), F.col("first_seen").cast("bigint").alias("first_seen"), "url", "title", "domain", "relevance_score")
+
+
+HEADERS = [r"##\s*Notes", r"##\s*Key Citations"]
+
+
+def _custom_references(spark, sf):
+    return C.parse_references(view(spark, sf, "v_reports"), HEADERS).select("report_id", F.col("number").cast("bigint").alias("number"), "title", "url", "form")
+
+
+NOTES_SQL = REFERENCES_SQL.replace("refs as (", f"""notes as (select report_id, split_part(split_part(body, '## Notes' || chr(10), 2), chr(10) || chr(10) || '##', 1) as s from v_reports),
+refs as (select report_id, 0 as f, generate_subscripts(a, 1) as i, unnest(a) as title, unnest(b) as url, 'markdown' as form from
+    (select report_id, regexp_extract_all(s, '{LINK}', 1) as a, regexp_extract_all(s, '{LINK}', 2) as b from notes) union all""", 1)
+
 LOOSE = """case number % 3 when 1 then replace(url, 'example', 'ex%61mple') when 2 then url || ' ' else url end"""
 
 
@@ -336,6 +359,12 @@ from linked l left join referenced r on r.report_id = l.report_id and r.url = l.
         _json,
         BASE + CITED + """select thread_id, number, count(*) over (partition by thread_id) as count,
   substring(sha256(url), 1, 12) as id, url, title, content_snippet, domain from cited""",
+    ),
+    "parse_custom_references": Query(_custom_references, ctes("v_reports") + NOTES_SQL + "select report_id, number, title, url, form from referenced"),
+    "stored_collection": Query(
+        _collection,
+        BASE + CITED + """select thread_id, row_number() over (partition by thread_id order by number) as number, number as first_seen, url, title, domain,
+  relevance_score from cited where number % 3 <> 1""",
     ),
     "resolve_links": Query(
         _resolved,

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanmill.operators import citations as C
 
@@ -143,6 +144,22 @@ def test_render_references(spark):
     assert (citation["count"], json.loads(citation.citation)["title"]) == (3, "T0")
 
 
+def test_collections_are_kept_and_read(spark, table):
+    known = C.collect_sources(sources(spark, ("http://a", "a", 0.1), ("http://b", "é\n\"b", None), ("http://c", "c", 0.3)))
+    numbers = C.number_citations(known).withColumn("domain", F.lit("d"))
+    used = spark.createDataFrame([(1, "http://c"), (1, "http://a"), (1, "http://a"), (1, "http://x")], "thread_id bigint, url string")
+    loaded = C.load_collection(C.store_collection(numbers, used))
+    assert table(loaded, "first_seen", "url", "title", "used") == [(1, "http://a", "a", True), (2, "http://b", 'é\n"b', False), (3, "http://c", "c", True)]
+    assert table(C.number_citations(loaded.where("used")), "number", "url") == [(1, "http://a"), (2, "http://c")]
+
+
+def test_references_under_custom_headers(spark, table):
+    body = "# R\n\n## Quellen\n\n- [A](http://a)\n\n## References\n\n- [B](http://b)\n- [A](http://a)\n\n## See also\n[1] C - http://c\n"
+    df = spark.createDataFrame([(1, body)], "report_id int, body string")
+    assert table(C.parse_references(df), "number", "url") == [(1, "http://b"), (2, "http://a")]
+    assert table(C.parse_references(df, [r"##\s*See also", r"##\s*Quellen"]), "number", "url") == [(1, "http://c"), (2, "http://a")]
+
+
 def test_resolve_and_credibility(spark, table):
     links = spark.createDataFrame([(1, 0, "[1]", "http://a/%20x"), (1, 1, "Title", "http://b"), (1, 2, " ^3^ ", "http://none")],
                                   "report_id int, pos int, text string, url string")
