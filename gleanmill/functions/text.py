@@ -228,10 +228,17 @@ def unescape_math(markdown: Column) -> Column:
 def drop_markdown_fences(markdown: Column) -> Column:
     """Unwrap fenced blocks of markdown or plain text, nested ones too; an opening fence that nothing closes goes."""
     opened = F.regexp_replace(markdown, rf"(?s)\A{K.OPEN_FENCE}(?!.*{K.CLOSE_FENCE}\z)", "")
-    # Every pass that changes something takes away two fences, so half their number of passes is enough.
+    # Every pass that changes something takes away two fences, so half their number of passes is enough; after a pass that
+    # changes nothing the text is not looked at any more.
     passes = F.greatest(F.lit(1), F.regexp_count(opened, F.lit("```")) / 2).cast("int")
-    unwrapped = F.aggregate(
-        F.sequence(F.lit(1), passes), opened, lambda text, _: F.regexp_replace(text, rf"(?s){K.OPEN_FENCE}(.*?){K.CLOSE_FENCE}", "$1"))
+
+    def unwrap(state: Column, _: Column) -> Column:
+        once = F.array(F.regexp_replace(state["text"], rf"(?s){K.OPEN_FENCE}(.*?){K.CLOSE_FENCE}", "$1"))
+        looked = F.transform(once, lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
+        return F.when(state["done"], state).otherwise(F.get(looked, F.lit(0)))
+
+    start = F.struct(opened.alias("text"), F.lit(False).alias("done"))
+    unwrapped = F.aggregate(F.sequence(F.lit(1), passes), start, unwrap, lambda state: state["text"])
     return F.when(markdown.contains("```"), unwrapped).otherwise(markdown)
 
 

@@ -62,7 +62,7 @@ def test_criteria_of_a_judge_beyond_the_known_ones(spark):
     scores = "map('my_own', 3.5D, 'coherence', 7D, 'x', 2D)"
     row = spark.sql(f"select named_struct('scores', {scores}, 'strengths', array('s'), 'weaknesses', array()) as v, 1 as n")
     row = row.select(R.summary_text(F.lit(7.0), F.lit("B"), {
-        **{c: F.col("n") for c in ("word_count", "citation_count", "unique_sources", "image_count", "coverage")}, "missing": F.array()}, F.col("v")).alias("s"))
+        **{c: F.col("n") for c in ("word_count", "citation_count", "unique_sources", "image_count")}, "coverage": F.lit(0.5), "missing": F.array()}, F.col("v")).alias("s"))
     assert "- Coherence: 7/10\n- My Own: 3.5/10\n- X: 2/10\n" in row.first().s
 
 

@@ -95,3 +95,13 @@ def test_markdown_helpers(outcomes):
     assert outcomes(tx.unescape_math, [r"\_a $x\_1 \* 2$"]) == [r"\_a $x_1 * 2$"]
     fenced = ["```markdown\nhead", "a\n```text\nb\n```\nc", "```python\nx\n```", "```\na\n```\n```\nb\n```"]
     assert outcomes(tx.drop_markdown_fences, fenced) == ["head", "a\nb\nc", "```python\nx\n```", "a\nb"]
+
+
+def test_many_fences_take_few_passes(outcomes):
+    """A text with thousands of code fences, which stay, is looked through once or twice, not once per fence."""
+    import time
+
+    text = "".join(f"```python\nx = {i}\n```\n" for i in range(4000))
+    start = time.perf_counter()
+    assert outcomes(tx.drop_markdown_fences, [text])[0] is not None
+    assert time.perf_counter() - start < 30
