@@ -8,6 +8,9 @@ counts, one shuffle adds up the tasks. The model is a matrix of log-probabilitie
 Null text and text without a letter give ``und`` with score 0. Equal scores go to the language first in code point order.
 Without any training document everything is ``und``. Rows are scored one by one, so repeated ids and extra columns do
 no harm; null languages and null ids are never learned from.
+
+A text of any length is read whole, in one task. Repeated rows are learned from and judged one by one. An empty table has an
+empty result. Only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ a cell and shifted by the number of documents in earlier cells, so no task sorts
 
 Null and blank texts have size 0. A null source is a source of its own, last in the order. Documents with equal ids are
 told apart by their place in the sort only; each gets copies of its own. An empty table gives an empty result.
+
+A text of any length is one document and is counted whole. Other columns travel inside a struct, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -16,6 +16,9 @@ centroids wanted, and takes its best k of the block in one matrix product; the b
 
 Null and zero vectors, other lengths than the most common one, and vectors with null or non-finite components take no
 part. Ties go to the smaller id. With fewer candidates than k, all are returned.
+
+Rows with one vec_id divisible by 20 answer as one query, and each is a candidate of its own. An empty table has an empty
+result. Only vec_id and embedding are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

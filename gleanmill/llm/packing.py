@@ -8,6 +8,8 @@ descending order of length within the group; its last sequence is cut at powers
 
 Null and empty texts are one end token. Rows with equal ids are packed one by one (``copy`` tells them apart by their
 order in a task's input, and pieces are then dealt by their own place). An empty table has no pieces.
+
+A text of any length is encoded whole, in one task. Only doc_id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

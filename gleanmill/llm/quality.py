@@ -11,6 +11,9 @@ A line fails if it is
 
 Null text counts as empty. A document without words fails the base rules. Nothing is joined or shuffled, so rows with
 equal ids, copies and ties are judged one by one.
+
+A text of any length is judged whole, in one task. An empty table has an empty result. :func:`clean` keeps all columns under any
+names; :func:`judged` adds columns and is meant for tables without columns of those names.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ a spanning forest of its links; classes are its connected components.
 
 Null and blank texts have fingerprint zero, linked like any other. Rows with equal ids each get their own fingerprint. A
 group's component_id is its smallest non-null id. An empty table gives an empty result.
+
+A text of any length is hashed whole, in blocks, in one task. Null, blank and empty texts have fingerprint zero and are linked
+like others. Other columns than doc_id and text travel inside a struct, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -19,6 +19,9 @@ once by each group, so hot passages and copies make no large bucket.
 
 Null and blank texts have no words. Null ids rank after all others; rows with equal ids never remove each other's words.
 Equal windows inside one document stay. An empty table gives an empty result.
+
+A text of any length is cut whole, in one task. :func:`without_repeats` carries other columns inside a struct, so their names
+cannot clash.
 """
 
 from __future__ import annotations

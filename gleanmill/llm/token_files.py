@@ -13,6 +13,9 @@ earlier documents of its frame; payloads are not read for that.
 
 Null and empty texts are one end token. Equal ids stay next to each other in some order that the file fixes; null ids come
 first. An empty table gives no frames.
+
+A text of any length is encoded whole, in one task, and never split over frames. Only doc_id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -14,6 +14,9 @@ to tasks is bounded. Every document is scored from its whole text.
 
 A row with several labels counts as toxic if one of them says so. Null and empty texts are scored by the classifier's
 intercept. Without any labelled row the score is 0 for all. Ties and repeated rows are scored one by one.
+
+A text of any length is read whole, in one task. Repeated rows are scored one by one. An empty table has an empty result. Only
+the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
