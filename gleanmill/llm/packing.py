@@ -6,8 +6,8 @@ powers of two that its rest is made of, and every bin is full. Workers fill bins
 groups by a hash, and in a group the n-th piece of a class goes to bin n div k. What does not fill a bin is packed in
 descending order of length within the group; its last sequence is cut at powers of two, which need no padding either.
 
-Null and empty texts are one end token. Rows with equal ids are packed one by one (``copy`` tells them apart by their
-order in a task's input, and pieces are then dealt by their own place). An empty table has no pieces.
+Null and empty texts are one end token. Rows with equal ids are packed one by one; where also place and
+checksum are equal, the pieces are interchangeable. An empty table has no pieces.
 
 A text of any length is encoded whole, in one task. Only doc_id and text are read, so other columns cannot clash.
 """

@@ -29,14 +29,24 @@ MAX_REPEATED_PERCENT = 50
 MIN_KEPT = 0.5
 
 SYMBOLS = r"[#*$%&|<>]"
+# Menu words and notices of the languages the corpus is in: English, German, French, Spanish. Any case.
 MENU_LINE = (
-    r"(?i)^[^\p{L}]*(?:(?:home|about|about us|contact|contact us|menu|login|log in|sign in|sign up|register|search|share|"
-    r"tweet|next|previous|back|top|subscribe|sitemap|faq|help|print|comments?|read more|more)[^\p{L}]*)+$"
+    r"^[^\p{L}]*(?:(?:home|about|about us|contact|contact us|menu|login|log in|sign in|sign up|register|search|share|"
+    r"tweet|next|previous|back|top|subscribe|sitemap|faq|help|print|comments?|read more|more|"
+    r"startseite|über uns|kontakt|impressum|menü|anmelden|registrieren|suche|suchen|teilen|weiter|zurück|nach oben|"
+    r"hilfe|drucken|kommentare?|weiterlesen|mehr lesen|mehr|"
+    r"accueil|à propos|connexion|s'inscrire|recherche|rechercher|partager|suivant|précédent|retour|haut de page|"
+    r"aide|imprimer|commentaires?|lire la suite|plan du site|"
+    r"inicio|acerca de|sobre nosotros|contacto|menú|iniciar sesión|registrarse|buscar|compartir|siguiente|anterior|"
+    r"volver|arriba|ayuda|imprimir|comentarios?|leer más|más|mapa del sitio)[^\p{L}]*)+$"
 )
 SEPARATED = r"(?:[^|»›·>]{1,25}[|»›·>]){3,}"
 NOTICES = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies",
     "enable javascript", "lorem ipsum", "click here to", "subscribe to our",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "javascript aktivieren", "hier klicken",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "activer javascript", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "habilitar javascript", "haga clic aquí",
 )
 CLOSED = r"[.!?…:;,\"'”’)\]。！？]\s*$"
 
@@ -49,10 +59,14 @@ def _filled(line: Column) -> Column:
     return line.rlike(NOT_SPACE)
 
 
-def line_fails(line: Column, alone: Column, symbols: Column) -> Column:
+def has_separators(body: Column) -> Column:
+    return F.contains(body, F.lit("|")) | F.contains(body, F.lit(">")) | F.contains(body, F.lit("»")) | F.contains(body, F.lit("›")) | F.contains(body, F.lit("·"))
+
+
+def line_fails(line: Column, alone: Column, symbols: Column, separators: Column) -> Column:
     """Judge one line with words, given as (text, lower, words).
 
-    ``alone`` is true if the document has no other line, ``symbols`` if it has any symbol.
+    ``alone`` is true if the document has no other line, ``symbols`` if it has any symbol, ``separators`` if any of those.
     """
     text, count = line["text"], F.size(line["words"])
     notice = F.lit(False)
@@ -63,9 +77,9 @@ def line_fails(line: Column, alone: Column, symbols: Column) -> Column:
         ((count < 3) & ~alone & ~text.rlike(CLOSED))
         | ((count >= 10) & (3 * F.size(F.array_distinct(line["words"])) < count))
         | (symbols & (10 * _count(text, SYMBOLS) >= length))
-        | (symbols & F.contains(text, F.lit("|")) & text.rlike(SEPARATED))
+        | (separators & has_separators(text) & text.rlike(SEPARATED))
         | notice
-        | ((length <= 200) & text.rlike(MENU_LINE))
+        | ((length <= 200) & text.rlike("(?iu)" + MENU_LINE))
     )
 
 
@@ -110,7 +124,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_words", "_repeats")
 
 
-def _without_failing(body: Column, alone: Column, symbols: Column) -> Column:
+def _without_failing(body: Column, alone: Column, symbols: Column, separators: Column) -> Column:
     """``body`` without failing and repeated lines. Blank lines stay where they are.
 
     No line has a line break, so a number with one marks a blank line and keeps it apart from all others.
@@ -119,7 +133,7 @@ def _without_failing(body: Column, alone: Column, symbols: Column) -> Column:
 
     def stays(x: Column) -> Column:
         line = F.struct(x.alias("text"), F.lower(x).alias("lower"), words(x).alias("words"))
-        return F.contains(x, F.lit("\n")) | ~line_fails(line, alone, symbols)
+        return F.contains(x, F.lit("\n")) | ~line_fails(line, alone, symbols, separators)
 
     left = F.filter(F.array_distinct(marked), stays)
     return F.array_join(F.transform(left, lambda x: F.regexp_replace(x, r"^\d+\n", "")), "\n")
@@ -130,20 +144,22 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_
     df = measured(docs, text)
     unique = F.transform(F.array_distinct("_lines"), lambda x: F.struct(x.alias("text"), F.lower(x).alias("lower"), words(x).alias("words")))
     df = df.withColumn("_unique", unique)
-    df = df.withColumn("_kept", F.filter("_unique", lambda line: ~line_fails(line, F.size("_lines") == 1, F.col("n_symbols") > 0)))
+    body = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("_separators", has_separators(body))
+    facts = (F.size("_lines") == 1, F.col("n_symbols") > 0, F.col("_separators"))
+    df = df.withColumn("_kept", F.filter("_unique", lambda line: ~line_fails(line, *facts)))
     df = df.withColumn(
         "n_kept_words", F.aggregate("_kept", F.lit(0).cast("long"), lambda total, line: total + F.size(line["words"])))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     # Always true, but not deterministic for the optimizer: a filter on ``kept`` is then not pushed below the arrays, where
     # it would split the text again for every window.
     barrier = F.spark_partition_id() >= 0
-    body = F.coalesce(F.col(text), F.lit(""))
     whole = F.size("_kept") == F.size("_lines")
     return df.withColumns({
         "base_failed": failed,
-        "clean_text": F.when(whole, body).otherwise(_without_failing(body, F.size("_lines") == 1, F.col("n_symbols") > 0)),
+        "clean_text": F.when(whole, body).otherwise(_without_failing(body, *facts)),
         "kept": ~failed & (F.col("n_kept_words") >= min_kept * F.col("n_words")) & barrier,
-    }).drop("_lines", "_unique", "_kept")
+    }).drop("_lines", "_unique", "_kept", "_separators")
 
 
 def clean(docs: DataFrame) -> DataFrame:

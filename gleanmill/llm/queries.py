@@ -113,13 +113,14 @@ w as (select *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lam
 
 def _failing_line() -> str:
     """The line rules over t (text), low, w (words), n (words), alone, symbols."""
-    notices = " or ".join(f"contains(low, '{phrase}')" for phrase in quality.NOTICES)
+    quoted = lambda text: text.replace("'", "''")
+    notices = " or ".join(f"contains(low, '{quoted(phrase)}')" for phrase in quality.NOTICES)
     closed = "regexp_matches(t, '" + quality.CLOSED.replace("'", "''") + "')"
     count = f"(length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')))"
     return f"""(n < 3 and not alone and not {closed}) or (n >= 10 and 3 * len(list_distinct(w)) < n)
     or (symbols and 10 * {count} >= length(t))
-    or (symbols and contains(t, '|') and regexp_matches(t, '{quality.SEPARATED}'))
-    or {notices} or (length(t) <= 200 and regexp_matches(t, '{quality.MENU_LINE}'))"""
+    or regexp_matches(t, '{quality.SEPARATED}')
+    or {notices} or (length(t) <= 200 and regexp_matches(t, '(?i){quoted(quality.MENU_LINE)}'))"""
 
 
 QUALITY_SQL = f"""with {_WORDS},

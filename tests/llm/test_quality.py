@@ -34,22 +34,30 @@ def fails(line, alone):
     w = split(line)
     symbols = sum(c in "#*$%&|<>" for c in line)
     closed = re.search(Q.CLOSED.replace(r"\s", "[ \t\n\x0b\x0c\r]"), line)
-    menu = re.search(Q.MENU_LINE.replace(r"[^\p{L}]", r"[\W\d_]"), line)
+    menu = re.search("(?i)" + Q.MENU_LINE.replace(r"[^\p{L}]", r"[\W\d_]"), line)
     return bool(
         (len(w) < 3 and not alone and not closed)
         or (len(w) >= 10 and 3 * len(set(w)) < len(w))
         or (symbols and 10 * symbols >= len(line))
-        or ("|" in line and re.search(Q.SEPARATED, line))
+        or re.search(Q.SEPARATED, line)
         or any(p in line.lower() for p in Q.NOTICES)
         or (len(line) <= 200 and menu))
 
 
 BODY = " ".join(f"word{i} and" for i in range(40)) + "."
+# Each with more words than a fragment has.
+FAILING = [
+    "Alpha › Beta › Gamma › Delta epsilon", "Alpha » Beta » Gamma » Delta epsilon", "eins · zwei · drei · vier fünf", "a > b > c > d e",
+    "Startseite | KONTAKT - Über uns", "STARTSEITE ÜBER UNS KONTAKT", "Accueil, À PROPOS, s'inscrire", "Inicio MÁS Menú buscar",
+    "© 2020 Alle Rechte vorbehalten, Verlag", "Tous droits réservés par nous", "Todos los derechos reservados aquí", "Lisez les conditions d'utilisation avant",
+]
+CLEAN = ["Er sagte: »Mehr kann ich nicht tun.« Dann ging er.", "El inicio fue más difícil que el final.", "Elle a dit « non » et puis « oui » enfin.", "If a > b then we go on."]
 CASES = [
     None, "", " \n\t ", "one", "a b c", "a b c a b c a b c", "\n".join([BODY] * 3), BODY + "\nHome | About | Contact\n" + BODY.upper(),
     "x\n" + BODY, "Privacy Policy of all\n" + BODY, "### $$$ %%% |||\n" + BODY, " ".join(["same"] * 60), "alone\n", "Home",
     "\n".join(f"line {i}" for i in range(60)), " ".join(f"r{i % 7}" for i in range(200)), "é ü x " * 30, "tab\tsep\x0bvt\x0cff\rcr " * 20,
     " ".join(f"t{i}" for i in range(30_000)), " ".join(f"t{i % 5000}" for i in range(30_000)), "Share\nTweet\n" + BODY,
+    *(line + "\n" + BODY for line in FAILING + CLEAN),
 ]
 
 
@@ -60,6 +68,13 @@ def test_all_cases_match_a_plain_version(spark):
     assert got == want
 
 
+def test_lines_of_four_languages(spark):
+    assert all(fails(x, False) for x in FAILING) and not any(fails(x, False) for x in CLEAN)
+    docs = spark.createDataFrame([(i, BODY + "\n" + x) for i, x in enumerate(FAILING + CLEAN)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in Q.clean(docs).collect()}
+    assert got == {i: BODY if x in FAILING else BODY + "\n" + x for i, x in enumerate(FAILING + CLEAN)}
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     for r in Q.judged(docs).collect():
