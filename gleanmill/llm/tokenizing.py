@@ -17,8 +17,8 @@ from itertools import repeat
 
 from gleanmill.llm.token_counts import byte_alphabet
 
-# Distinct pieces a worker remembers, some 200 MB. The half in use longest ago is let go.
-CACHE_PIECES = 1_000_000
+# Distinct pieces a worker remembers, some 400 MB. The half in use longest ago is let go.
+CACHE_PIECES = 2_000_000
 _BLANK_RUN = re.compile(r"\s \s")
 _BLANK_AND_SPACE = re.compile(r" \s")  # a cheaper search that most texts end
 # Marks a piece without a blank before it, where the blank belongs to the word; no text holds a lone surrogate.
