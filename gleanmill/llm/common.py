@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.session import shared_folder
+from gleanmill.session import scratch_folder, shared_folder
 
 # ASCII white space ends a word; every other character belongs to one.
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -63,21 +62,14 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if not spark.sparkContext.getCheckpointDir():  # every setting makes a folder
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back; the files go when the session's JVM ends."""
     spark = df.sparkSession
-    place = scratch(spark, label)
+    place = scratch_folder(spark, label)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder, with its scheme; what is written there goes when the session's JVM ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.deleteOnExit(path)
-    return system.makeQualified(path).toString()

@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import scratch, slices, stored
+from gleanmill.llm.common import slices, stored
+from gleanmill.session import scratch_folder
 
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -369,7 +370,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, set[str]
 def archived(pages: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
     """Write archives and index of ``pages`` (to ``folder``, else to a scratch place) and look every page up in them."""
     spark = pages.sparkSession
-    folder = folder or scratch(spark, "warc")
+    folder = folder or scratch_folder(spark, "warc")
     write_archives(pages, f"{folder}/archives")
     write_index(spark, f"{folder}/archives", f"{folder}/index")
     keys = pages.select(reversed_host_key(F.col("url").cast("string")).alias("key"))
