@@ -44,7 +44,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder; what is written there goes when the session's JVM ends."""
-    place = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return place
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)  # only what exists can be marked
+    system.deleteOnExit(path)
+    return f"{system.makeQualified(path).toString()}/data"
