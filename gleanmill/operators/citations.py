@@ -23,6 +23,11 @@ ITEM = "array<struct<type: string, url: string, title: string, content: string,
 WIDTH = 1 << 31
 
 
+def _place(seq: Column, position: Column) -> Column:
+    """A message's seq and a position inside it as one number; decimal, as seq may be as large as a time in microseconds."""
+    return (seq.cast("decimal(20,0)") * F.lit(WIDTH) + position).cast("decimal(38,0)")
+
+
 def _http(url: Column) -> Column:
     return url.startswith("http://") | url.startswith("https://")
 
@@ -56,7 +61,7 @@ def harvest_citations(messages: DataFrame) -> DataFrame:
     )
     found = items.filter(F.coalesce(F.col("x.type"), F.lit("")) != "image_url").select(
         "thread_id",
-        (F.col("seq") * WIDTH + F.col("pos")).alias("seq"),
+        _place(F.col("seq"), F.col("pos")).alias("seq"),
         F.col("x.url").alias("url"),
         F.coalesce("x.title", F.lit("Untitled")).alias("title"),
         F.coalesce("x.content", F.lit("")).alias("description"),
@@ -67,7 +72,7 @@ def harvest_citations(messages: DataFrame) -> DataFrame:
     )
     pages = shaped.filter(as_page).select(
         "thread_id",
-        (F.col("seq") * WIDTH).alias("seq"),
+        _place(F.col("seq"), F.lit(0)).alias("seq"),
         F.try_variant_get(value, "$.url", "string").alias("url"),
         F.coalesce(F.try_variant_get(value, "$.crawled_content", "string"), F.lit("")).alias("text"),
     )

@@ -160,6 +160,14 @@ def test_references_under_custom_headers(spark, table):
     assert table(C.parse_references(df, [r"##\s*See also", r"##\s*Quellen"]), "number", "url") == [(1, "http://c"), (2, "http://a")]
 
 
+def test_harvest_of_very_large_seq(spark):
+    """Times in microseconds as seq; results keep their order inside a message and across messages."""
+    answer = '[{"url": "http://b", "title": "B"}, {"url": "http://a", "title": "A"}]'
+    df = spark.createDataFrame([(1, (1 << 62) + 1, "web_search", answer.replace("a", "c")), (1, 1 << 62, "web_search", answer)], "thread_id bigint, seq bigint, name string, content string")
+    got = C.number_citations(C.harvest_citations(df)).orderBy("number").collect()
+    assert [r.url for r in got][:2] == ["http://b", "http://a"] and [r.number for r in got] == list(range(1, len(got) + 1))
+
+
 def test_resolve_and_credibility(spark, table):
     links = spark.createDataFrame([(1, 0, "[1]", "http://a/%20x"), (1, 1, "Title", "http://b"), (1, 2, " ^3^ ", "http://none")],
                                   "report_id int, pos int, text string, url string")
