@@ -7,11 +7,13 @@ rows that triage lets through; it is narrow, each page on its own.
 from __future__ import annotations
 
 import textwrap
+from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,15 +241,28 @@ def article_of(html: str) -> tuple[str, str, str]:
 ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "content", "markdown", "error")])
 
 
-@F.pandas_udf(ARTICLE)
-def _read_articles(pages: pd.Series) -> pd.DataFrame:
+# Pages read before their articles go back to Spark; an Arrow batch may hold thousands.
+PAGES_AT_ONCE = 32
+ARTICLE_ROWS = pa.struct([(n, pa.string()) for n in ARTICLE.names])
+
+
+@F.arrow_udf(ARTICLE)
+def _read_articles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Articles in the order of the pages. Python holds the pages, trees and articles of one slice, not of a batch."""
+    for batch in batches:
+        for start in range(0, len(batch), PAGES_AT_ONCE):
+            yield _articles(batch.slice(start, PAGES_AT_ONCE))
+
+
+def _articles(pages: pa.Array) -> pa.Array:
     rows = []
-    for html in pages:
+    for html in pages.to_pylist():
         try:
-            rows.append((None,) * 4 if html is None else (*article_of(html), None))
+            row = (None,) * 4 if html is None else (*article_of(html), None)
         except Exception as error:  # a page that cannot be read is a result, not a failed job
-            rows.append((None, None, None, repr(error)))
-    return pd.DataFrame(rows, columns=ARTICLE.names)
+            row = (None, None, None, repr(error))
+        rows.append(dict(zip(ARTICLE.names, row, strict=True)))
+    return pa.array(rows, ARTICLE_ROWS)
 
 
 def extract_articles(pages: DataFrame, size: int | None = None) -> DataFrame:

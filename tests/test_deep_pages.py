@@ -28,3 +28,23 @@ def test_failed_and_other_pages_keep_their_whole_text(spark, monkeypatch):
     whole = {r.page_id: r for r in P.extract_articles(df).collect()}
     assert [whole[i].status for i in (1, 2)] == ["not_html", "failed"] and all(words in r.content for r in whole.values())
     assert all(len(r.content) < 700 for r in P.extract_articles(df, size=500).collect())
+
+
+def test_articles_leave_python_in_small_slices(spark):
+    """A batch of any number of pages is read and given back a few pages at a time, in order, nulls included."""
+    html = [None if i % 7 == 3 else f"<title>t{i}</title><p>text {i}" for i in range(3 * P.PAGES_AT_ONCE + 5)]
+    taken = []
+
+    def batches():
+        for begin in (0, 60):
+            taken.append(begin)
+            yield P.pa.array(html[begin : begin + 60], P.pa.string())
+
+    slices = P._read_articles.func(batches())
+    first = next(slices)
+    assert len(first) == P.PAGES_AT_ONCE and taken == [0]
+    rows = first.to_pylist() + [r for s in slices for r in s.to_pylist()]
+    assert [r["title"] for r in rows] == [None if h is None else f"t{i}" for i, h in enumerate(html)]
+    df = spark.createDataFrame([(i, "http://a", h) for i, h in enumerate(html)], "page_id int, url string, html string").coalesce(1)
+    got = {r.page_id: r.markdown for r in P.extract_articles(df).collect()}
+    assert all(got[i] == f"text {i}" for i, h in enumerate(html) if h is not None) and len(got) == len(html)
