@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(K.WHITESPACE))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used; ``use`` holds no Python function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def filled(text: Column) -> Column:
     """The text, or null if it is empty."""
     return F.nullif(text, F.lit(""))

@@ -195,7 +195,7 @@ def url_list(text: Column) -> Column:
     """http(s) targets of markdown links, with repeats, then bare URLs not seen before."""
     links = F.filter(F.regexp_extract_all(text, F.lit(K.MARKDOWN_LINK), F.lit(2)), _http)
     bare = F.regexp_extract_all(text, F.lit(K.BARE_URL), F.lit(1))
-    return F.concat(links, F.array_except(bare, links))
+    return tx.once(links, lambda found: F.concat(found, F.array_except(bare, found)))
 
 
 def extract_urls(reports: DataFrame) -> DataFrame:
@@ -456,17 +456,19 @@ def link_credibility(links: DataFrame, results: DataFrame) -> DataFrame:
 def citation_usage(sources: DataFrame, reports: DataFrame) -> DataFrame:
     """Per thread and URL: ``used`` in the report, ``unused``, or in the report but ``uncollected``.
 
-    Used sources keep their number among the used ones as ``used_number``.
+    Used sources keep their number among the used ones as ``used_number``. The reports are read once: whether a thread is
+    hot is asked of the sources, and rows that get no number are ranked each on its own.
     """
     cited = (
         reports.select("thread_id", F.explode(url_list(F.col("body"))).alias("url")).distinct().withColumn("_cited", F.lit(1))
     )
     joined = sources.select(*KEY, "first_seen").join(cited, KEY, "full_outer")
     status = F.when(F.col("_cited").isNull(), "unused").when(F.col("first_seen").isNull(), "uncollected").otherwise("used")
-    labelled = joined.select(*KEY, "first_seen", status.alias("status"))
-    used = numbered(labelled.filter("status = 'used'"), ["thread_id"], "first_seen", "used_number")
-    others = labelled.filter("status <> 'used'").withColumn("used_number", F.lit(None).cast("bigint"))
-    return used.unionByName(others)
+    used = F.col("status") == "used"
+    labelled = joined.select(*KEY, "first_seen", status.alias("status")).withColumn("_apart", F.when(used, "").otherwise(F.concat(F.lit(":"), "url")))
+    collected = sources.select("thread_id", "first_seen", F.lit("").alias("_apart"))
+    ranked = numbered(labelled, ["thread_id", "_apart"], "first_seen", "used_number", among=collected)
+    return ranked.withColumn("used_number", F.when(used, F.col("used_number").cast("bigint"))).drop("_apart")
 
 
 def collection_stats(sources: DataFrame) -> DataFrame:

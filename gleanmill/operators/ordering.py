@@ -67,9 +67,15 @@ def _added(local: DataFrame, carry: DataFrame, keys: list[str], out: str) -> Dat
     return joined.select(*kept, (F.col(out) + F.coalesce("_carry", F.lit(0))).alias(out))
 
 
-def numbered(df: DataFrame, group: list[str], seq: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``out``: the 1-based rank of each row by ``seq`` inside its group."""
-    cuts = find_cuts(df, group, seq, block_rows)
+def numbered(
+    df: DataFrame, group: list[str], seq: str, out: str, block_rows: int = BLOCK_ROWS, among: DataFrame | None = None
+) -> DataFrame:
+    """Add ``out``: the 1-based rank of each row by ``seq`` inside its group.
+
+    ``among`` holds group and ``seq`` of all rows that can be in a large group, and maybe of more; where ``df`` is costly and
+    these are not, hot groups are asked for there.
+    """
+    cuts = find_cuts(df if among is None else among, group, seq, block_rows)
     if cuts is None:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(seq)))
     keys = [*group, BLOCK]

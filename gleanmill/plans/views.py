@@ -117,6 +117,14 @@ NEEDS = {
     "v_plan_steps": ["events"],
 }
 
+# In Spark the four pages of each report are looked up by its id alone, once per id, and the text joins them last: so it is
+# shuffled once and not once per page. The rows are those of the text above, for repeated and null keys too.
+REPORT_HEAD, REPORT_JOINS = VIEWS["v_reports"].split("from {documents} d")
+REPORT_PAGES = """select d.doc_id, struct(p1.title, p1.url) as p1, struct(p2.title, p2.url) as p2, struct(p3.url) as p3, struct(p4.url) as p4
+from (select distinct doc_id from {documents}) d""" + REPORT_JOINS
+SPARK_VIEWS = VIEWS | {"v_report_pages": REPORT_PAGES, "v_reports": REPORT_HEAD + "from {documents} d join {v_report_pages} p on p.doc_id = d.doc_id"}
+SPARK_NEEDS = NEEDS | {"v_report_pages": ["documents", "v_pages"], "v_reports": ["documents", "v_report_pages"]}
+
 # The spellings that differ between the engines. In Spark the number of pages is read beforehand, from the
 # file footers, and put in as a number.
 SQL_PAGE_COUNT = "(select count(*) from pages)"
@@ -139,10 +147,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table in Spark. Inputs are passed as frames; the catalog stays untouched."""
     if name in TABLES:
         return read(spark, sf_dir, name)
-    text = VIEWS[name].replace(", 'g')", ")").replace("{pieces}", SPARK_PIECES)
+    text = SPARK_VIEWS[name].replace(", 'g')", ")").replace("{pieces}", SPARK_PIECES)
     if "{page_count}" in text:
         text = text.replace("{page_count}", page_count(spark, sf_dir))
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in NEEDS[name]})
+    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in SPARK_NEEDS[name]})
 
 
 def ctes(*names: str) -> str:

@@ -9,7 +9,8 @@ from gleanmill.operators import messages as M
 from gleanmill.operators import reports as R
 from gleanmill.operators import retrieval as V
 from gleanmill.operators import search as S
-from gleanmill.operators.ordering import ranked_by_score
+from gleanmill.operators.ordering import numbered, ranked_by_score
+from gleanmill.plans import views
 
 
 def plan(df):
@@ -67,3 +68,50 @@ def test_ranks_are_computed_per_block(stored):
     text = plan(ranked_by_score(results, ["query_id"], F.col("score"), "seq", "position", 10))
     assert "Exchange hashpartitioning(query_id" in text and "_block" in text.split("Exchange hashpartitioning(query_id", 1)[1][:200]
     assert "_block" not in plan(S.rank_results(results))  # no hot group: one plain window
+
+
+def exchanges(df, column):
+    """Exchanges that move a column."""
+    todo, found = [df._jdf.queryExecution().executedPlan().initialPlan()], 0
+    while todo:
+        node = todo.pop()
+        found += "Exchange" in node.nodeName() and f"{column}#" in node.output().mkString(",")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.fixture
+def inputs(spark, tmp_path):
+    """Documents and pages with repeated and null keys."""
+    spark.sql("select * from values (1L, 'a'), (1L, 'a'), (4L, 'b'), (28L, 'c'), (28L, null), (null, 'd'), (3L, 'e'), (-1L, 'f') as t(doc_id, text)").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = "select p as page_id, concat('http://e.org/', r) as url, concat('<title>T', r, '</title>') as html from values "
+    spark.sql(pages + "(null, 20), (2L, 21), (5L, 22), " + ", ".join(f"({i}L, {i})" for i in range(11)) + " as t(p, r)").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_report_texts_are_shuffled_once(spark, inputs, monkeypatch):
+    text = views.VIEWS["v_reports"].replace("{page_count}", views.page_count(spark, inputs))
+    plain = spark.sql(text, documents=views.view(spark, inputs, "documents"), v_pages=views.view(spark, inputs, "v_pages"))
+    reports = views.view(spark, inputs, "v_reports")
+    rows = sorted(map(tuple, reports.collect()), key=str)
+    assert rows == sorted(map(tuple, plain.collect()), key=str) and len(rows) == 9
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(views.view(spark, inputs, "v_reports"), "text") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_usage_reads_no_report_beforehand(spark):
+    """Hot threads are asked for among the sources; a report that cannot be read fails the job, not the call."""
+    sources = spark.createDataFrame([(1, "http://a", 1)], "thread_id bigint, url string, first_seen bigint")
+    reports = spark.range(1).selectExpr("id as thread_id", "raise_error('read') as body").selectExpr("thread_id", "cast(body as string) as body")
+    assert C.citation_usage(sources, reports).columns == ["thread_id", "url", "first_seen", "status", "used_number"]
+
+
+def test_numbers_with_hot_groups_asked_elsewhere(spark):
+    rows = spark.createDataFrame([(g, i * i) for g in (1, 2) for i in range(40)], "g int, at int")
+    some = rows.where("at % 2 = 0 and not (g = 2 and at > 100)")
+    for among in (rows, None):
+        got = {(r.g, r["at"]): r.n for r in numbered(some, ["g"], "at", "n", block_rows=5, among=among).collect()}
+        assert got == {(g, a): i + 1 for g, top in ((1, 40 * 40), (2, 101)) for i, a in enumerate(x * x for x in range(0, 40, 2) if x * x < top)}
