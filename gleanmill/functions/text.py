@@ -208,15 +208,17 @@ _single_backslashes = _inside_math(r"\\\\", r"\\")
 _plain_math = _inside_math(K.MATH_ESCAPED, r"\1")
 
 
-def _where(needed: Column, udf, text: Column) -> Column:
-    """Send only the rows that need it to Python."""
-    return F.when(needed, udf(F.when(needed, text))).otherwise(text)
+def _where(needed: Callable[[Column], Column], udf, text: Column) -> Column:
+    """Send only the texts that need it to Python."""
+    return F.coalesce(udf(once(text, lambda t: F.when(needed(t), t))), text)
 
 
 def _math(markdown: Column, inline: str) -> Column:
-    block = F.regexp_replace(markdown, K.MATH_BLOCK, r"\$\$$2\$\$")
-    text = F.regexp_replace(block, K.MATH_INLINE, inline)
-    return _where(text.contains("$") & text.contains("\\\\"), _single_backslashes, text)
+    def delimited(text: Column) -> Column:
+        block = F.regexp_replace(text, K.MATH_BLOCK, r"\$\$$2\$\$")
+        return F.when(text.contains("\\"), F.regexp_replace(block, K.MATH_INLINE, inline)).otherwise(text)
+
+    return _where(lambda t: t.contains("$") & t.contains("\\\\"), _single_backslashes, once(markdown, delimited))
 
 
 def math_for_display(markdown: Column) -> Column:
@@ -228,24 +230,29 @@ def math_for_editor(markdown: Column) -> Column:
 
 
 def unescape_math(markdown: Column) -> Column:
-    return _where(markdown.contains("$") & markdown.contains("\\"), _plain_math, markdown)
+    return _where(lambda t: t.contains("$") & t.contains("\\"), _plain_math, markdown)
 
 
 def drop_markdown_fences(markdown: Column) -> Column:
     """Unwrap fenced blocks of markdown or plain text, nested ones too; an opening fence that nothing closes goes."""
-    opened = F.regexp_replace(markdown, rf"(?s)\A{K.OPEN_FENCE}(?!.*{K.CLOSE_FENCE}\z)", "")
-    # Every pass that changes something takes away two fences, so half their number of passes is enough; after a pass that
-    # changes nothing the text is not looked at any more.
-    passes = F.greatest(F.lit(1), F.regexp_count(opened, F.lit("```")) / 2).cast("int")
 
     def unwrap(state: Column, _: Column) -> Column:
-        once = F.array(F.regexp_replace(state["text"], rf"(?s){K.OPEN_FENCE}(.*?){K.CLOSE_FENCE}", "$1"))
-        looked = F.transform(once, lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
-        return F.when(state["done"], state).otherwise(F.get(looked, F.lit(0)))
-
-    start = F.struct(opened.alias("text"), F.lit(False).alias("done"))
-    unwrapped = F.aggregate(F.sequence(F.lit(1), passes), start, unwrap, lambda state: state["text"])
-    return F.when(markdown.contains("```"), unwrapped).otherwise(markdown)
+        unwrapped = F.regexp_replace(state["text"], rf"(?s){K.OPEN_FENCE}(.*?){K.CLOSE_FENCE}", "$1")
+        looked = once(unwrapped, lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
+        return F.when(state["done"], state).otherwise(looked)
+
+    def all_unwrapped(opened: Column) -> Column:
+        # Every pass that changes something takes away two fences, so half their number of passes is enough; after a pass that
+        # changes nothing the text is not looked at any more.
+        passes = F.greatest(F.lit(1), F.regexp_count(opened, F.lit("```")) / 2).cast("int")
+        start = F.struct(opened.alias("text"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), passes), start, unwrap, lambda state: state["text"])
+
+    def without(text: Column) -> Column:
+        opened = F.regexp_replace(text, rf"(?s)\A{K.OPEN_FENCE}(?!.*{K.CLOSE_FENCE}\z)", "")
+        return F.when(text.contains("```"), once(opened, all_unwrapped)).otherwise(text)
+
+    return once(markdown, without)
 
 
 def markdown_clean(markdown: Column) -> Column:

@@ -105,3 +105,16 @@ def test_many_fences_take_few_passes(outcomes):
     start = time.perf_counter()
     assert outcomes(tx.drop_markdown_fences, [text])[0] is not None
     assert time.perf_counter() - start < 30
+
+
+def test_a_text_is_cleaned_once_per_row(spark):
+    """No pass over a text is planned once for every use of its result."""
+    df = spark.createDataFrame([("a",)], "body string")
+    for clean, most in ((tx.markdown_clean, 2), (tx.math_for_display, 2), (tx.math_for_editor, 2)):
+        plan = df.select(clean(F.col("body")))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[([^") > 0 and plan.count(r"\\)\[([^") <= most
+
+
+def test_cleaning_of_odd_texts(outcomes):
+    texts = [None, "", "$", "\\", r"$a\\b$ \\(c\\)", "```\n", "x\n```text\n$a\\\\b$\n```", "```markdown\n```text\na\n```\n```", r"\[a\] $\\$"]
+    assert outcomes(tx.markdown_clean, texts) == [None, "", "$", "\\", r"$a\b$ $$c$$", "", "x\n$a\\b$", "a", r"$$a$$ $\$"]
