@@ -214,11 +214,13 @@ def reference_sections(body: Column, headers: Sequence[str] = (K.REFERENCE_HEADE
 
 def _pairs(section: Column, pattern: str, title: int, url: int, form: str) -> Column:
     """Array of (title, url, form) for all matches of one reference format."""
-    titles = F.regexp_extract_all(section, F.lit(pattern), F.lit(title))
-    urls = F.regexp_extract_all(section, F.lit(pattern), F.lit(url))
-    return F.zip_with(
-        titles, urls, lambda t, u: F.struct(tx.strip(t).alias("title"), u.alias("url"), F.lit(form).alias("form"))
-    )
+
+    def parts(found: Column) -> Column:
+        text = tx.strip(F.regexp_extract(found, pattern, title))
+        return F.struct(text.alias("title"), F.regexp_extract(found, pattern, url).alias("url"), F.lit(form).alias("form"))
+
+    # The text is searched once; the parts are taken out of the matches, which match on their own as they did in the text.
+    return F.transform(F.regexp_extract_all(section, F.lit(pattern), F.lit(0)), parts)
 
 
 def _first_per_url(found: Column) -> Column:
@@ -255,7 +257,8 @@ def parse_references(reports: DataFrame, headers: Sequence[str] = (K.REFERENCE_H
             on_web(_pairs(text, "(?i)" + K.HTML_REFERENCE, 3, 2, "html")),
         )
 
-    sections = reports.select("report_id", reference_sections(F.col("body"), headers).alias("_sections")).filter(F.size("_sections") > 0)
+    # A filter on the number of sections would search the bodies a second time; a report without any gives no rows below.
+    sections = reports.select("report_id", reference_sections(F.col("body"), headers).alias("_sections"))
     found = sections.select("report_id", F.flatten(F.transform("_sections", listed)).alias("_found"))
     firsts = found.select("report_id", F.posexplode(_first_per_url(F.col("_found"))).alias("pos", "r"))
     return firsts.select("report_id", (F.col("pos") + 1).alias("number"), "r.title", "r.url", "r.form")
@@ -414,29 +417,32 @@ def resolve_links(links: DataFrame, citations: DataFrame) -> DataFrame:
     ``links(report_id, pos, text, url)``, ``citations(report_id, url, number)``. Adds ``number`` (null if the
     link is no citation) and ``inline`` (a marker such as ``[1]`` rather than a reference entry).
     """
-    exact = citations.groupBy("report_id", "url").agg(F.min("number").alias("_exact"))
+    # The lowest of the lowest: the citations, which may be costly to make, are read once. Both sides keep the same rows, as
+    # no key is null and the looser join asks for no more, so that they share the shuffle named here.
+    kept = citations.filter("report_id is not null and url is not null")
+    exact = kept.groupBy("report_id", "url").agg(F.min("number").alias("_exact")).repartition("report_id", "url")
     loose = (
-        citations.withColumn("_key", tx.url_match_key(F.col("url")))
-        .groupBy("report_id", "_key")
-        .agg(F.min("number").alias("_loose"))
+        exact.withColumn("_found", tx.url_match_key(F.col("url")))
+        .groupBy(F.col("report_id").alias("_report"), "_found")
+        .agg(F.min("_exact").alias("_loose"))
     )
+    keyed = links.withColumn("_key", tx.url_match_key(F.col("url"))).join(exact, ["report_id", "url"], "left")
     return (
-        links.withColumn("_key", tx.url_match_key(F.col("url")))
-        .join(exact, ["report_id", "url"], "left")
-        .join(loose, ["report_id", "_key"], "left")
+        keyed.join(loose, (F.col("report_id") == F.col("_report")) & F.col("_key").eqNullSafe(F.col("_found")), "left")
         .withColumn("number", F.coalesce("_exact", "_loose"))
         .withColumn("inline", is_inline_marker(F.col("text")))
-        .drop("_key", "_exact", "_loose")
+        .drop("_key", "_exact", "_loose", "_report", "_found")
     )
 
 
 def markdown_links(reports: DataFrame) -> DataFrame:
     """``report_id, pos, text, url`` of the markdown links of each report."""
-    body = F.col("body")
-    texts = F.regexp_extract_all(body, F.lit(K.MARKDOWN_LINK), F.lit(1))
-    urls = F.regexp_extract_all(body, F.lit(K.MARKDOWN_LINK), F.lit(2))
-    both = F.zip_with(texts, urls, lambda t, u: F.struct(t.alias("text"), u.alias("url")))
-    return reports.select("report_id", F.posexplode(both).alias("pos", "l")).select("report_id", "pos", "l.*")
+
+    def parts(link: Column) -> Column:
+        return F.struct(*[F.regexp_extract(link, K.MARKDOWN_LINK, i).alias(n) for i, n in ((1, "text"), (2, "url"))])
+
+    links = F.regexp_extract_all("body", F.lit(K.MARKDOWN_LINK), F.lit(0))
+    return reports.select("report_id", F.posexplode(F.transform(links, parts)).alias("pos", "l")).select("report_id", "pos", "l.*")
 
 
 def link_credibility(links: DataFrame, results: DataFrame) -> DataFrame:

@@ -115,3 +115,23 @@ def test_numbers_with_hot_groups_asked_elsewhere(spark):
     for among in (rows, None):
         got = {(r.g, r["at"]): r.n for r in numbered(some, ["g"], "at", "n", block_rows=5, among=among).collect()}
         assert got == {(g, a): i + 1 for g, top in ((1, 40 * 40), (2, 101)) for i, a in enumerate(x * x for x in range(0, 40, 2) if x * x < top)}
+
+
+def test_citations_are_read_once_to_resolve_links(stored, spark):
+    reports = stored("select id as report_id, concat('[a](http://', id, ') ## References\\n- [b](http://', id, ') [c](http://', id, '%20)') as body from range(20)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for source in (reports, reports.repartition("report_id")):
+            resolved = C.resolve_links(C.markdown_links(source), C.parse_references(source))
+            assert {r.number for r in resolved.collect()} == {1, 2}
+            final = plan(resolved).split("Initial Plan")[0]
+            assert final.count("Key Citations") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_loose_matches_of_null_and_repeated_keys(spark):
+    links = spark.createDataFrame([(1, 0, "a", "http://a%20"), (1, 1, "b", None), (None, 2, "c", "http://a"), (1, 0, "a", "http://a%20")], "report_id int, pos int, text string, url string")
+    cited = spark.createDataFrame([(1, "http://a ", 5), (1, "http://a ", 3), (1, "http://a", 4), (1, None, 1), (None, "http://a", 2)], "report_id int, url string, number int")
+    got = sorted((r.pos, r.number) for r in C.resolve_links(links, cited).collect())
+    assert got == [(0, 3), (0, 3), (1, None), (2, None)]
