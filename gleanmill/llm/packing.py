@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier jobs left in this worker, beside what the encoder will remember
         encoder = worker_encoder(tokenizer_path, blank_kept=False)
         for part in slices(batches):
             rows: list[tuple] = []

@@ -1,10 +1,11 @@
 """Token ids of whole texts through a tokenizer file, with the words of a task remembered.
 
 Byte-pair merges never cross the boundary before a single blank, so a text is split there and every piece is encoded by
-the tokenizers library once and looked up afterwards. Pieces that end in a punctuation mark after a letter or digit are
-two tokens' worth at least and are remembered in two halves. Words of plain Latin letters go to the library's merge model
-directly, as its pattern would pass them on whole. Texts with runs of white space that could span such a boundary are
-split by the pattern instead, or encoded whole. What a Python worker has learned serves all its tasks.
+the tokenizers library once and looked up afterwards. The same holds at the end of a line that no other white space touches.
+Pieces that end in punctuation marks after a letter or digit are two tokens' worth at least and are learned in two halves.
+Words of plain Latin letters go to the library's merge model directly, as its pattern would pass them on whole. Texts with
+runs of white space that could span such a boundary are split by the pattern instead, or encoded whole. What a Python worker
+has learned serves all its tasks.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from itertools import repeat
 
 from gleanmill.llm.token_counts import byte_alphabet
 
-# Distinct pieces a worker remembers, some 400 MB. The half in use longest ago is let go.
-CACHE_PIECES = 2_000_000
+# Distinct pieces a worker remembers, some 220 MB. The half in use longest ago is let go.
+CACHE_PIECES = 1_000_000
 _BLANK_RUN = re.compile(r"\s \s")
 _BLANK_AND_SPACE = re.compile(r" \s")  # a cheaper search that most texts end
 # Marks a piece without a blank before it, where the blank belongs to the word; no text holds a lone surrogate.
 _BARE = "\ud800"
+# White space beside the end of a line, which would make one run with it.
+_SPACE_AT_BREAK = re.compile(r"\n(?:\s|(?<=\s\n))")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?#$%&*"
 LAST_LATIN = "\u024f"
 DOTTED_I = "\u0130"  # its lower case ends in a combining dot, which would join a mark that follows
 
@@ -61,9 +64,11 @@ class Encoder:
         if any(s in text for s in self.special):
             return [bare + text]  # may hold blanks itself
         if not self.blank_kept:
-            return [p for p in text.split(" ") if p]
+            return [p for p in text.replace("\n", " ").split(" ") if p]
         if _BLANK_AND_SPACE.search(text) and _BLANK_RUN.search(text):
             return [p[1:] if p[0] == " " and p[1:] else bare + p for p in _BEFORE_WORD.split(text) if p]
+        if "\n" in text and not _SPACE_AT_BREAK.search(text):
+            text = text.replace("\n", f" {bare}\n {bare}")
         out = text.split(" ")
         if out[0]:
             out[0] = bare + out[0]
@@ -87,7 +92,11 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         bare = _BARE * self.blank_kept
-        halves = {p: (p[:-1], bare + p[-1]) for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and DOTTED_I not in p}
+        halves = {}
+        for p in new:
+            body = p.rstrip(_MARKS)
+            if len(body) < len(p) and body[-1:].isalnum() and DOTTED_I not in p:
+                halves[p] = body, bare + p[len(body) :]
         whole = {p for p in new if p not in halves}
         whole.update(h for pair in halves.values() for h in pair)
         words = {p: self._word(p) for p in whole if p not in self.known}

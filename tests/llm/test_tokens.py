@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from gleanmill.llm import packing as P
 from gleanmill.llm import token_counts as C
 from gleanmill.llm import token_files as F
 from gleanmill.llm.queries import BYTE_TOKENIZER, WORD_TOKENIZER
-from gleanmill.llm.tokenizing import Encoder
+from gleanmill.llm.tokenizing import CACHE_PIECES, Encoder
 
 TEXTS = [
     None, "", " ", "word", "It's John's, don't! we'LL 'S", "two  blanks   three    four", "tab\tand\n\nlines \n mixed \n\n x", " lead and trail ",
@@ -44,6 +45,33 @@ def test_random_texts_encode_like_the_library(path, blank_kept):
         assert encoder.encode(part) == want
 
 
+@pytest.mark.parametrize(("path", "blank_kept"), [(BYTE_TOKENIZER, True), (WORD_TOKENIZER, False)])
+def test_line_ends_and_runs_of_marks_encode_like_the_library(path, blank_kept):
+    rng, encoder, whole = random.Random(2), Encoder(path, blank_kept), Tokenizer.from_file(path)
+    texts = ["\n", "a\nb", "\na\n", "a.\nB!!\nc$$$", "a\n\nb", "a \nb\nc", "a\n b", "a\r\nb", "a\x1c\nb", "a\n's", "a'll!!\n9%.", "İ!!\nİ.", "\n\ud7ff\n"]
+    parts = ["\n", "\n", " ", "word", "Word", "é", "9", "!!", "$$$", "%.", "'s", "'", "\u0301", "\t", "İ", "<|endoftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+
+
+def test_words_on_both_sides_of_a_line_end_are_remembered_alone():
+    encoder = Encoder(WORD_TOKENIZER, False)
+    encoder.encode(["one two.\nthree\none"])
+    assert set(encoder.known) == {"one", "two", ".", "two.", "three"}
+
+
+def test_what_a_worker_remembers_stays_below_a_quarter_of_a_gigabyte():
+    rng, encoder = random.Random(3), Encoder(WORD_TOKENIZER, False)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=10)) for _ in range(500)) for _ in range(40)]
+    encoder.encode(["some words first"])
+    tracemalloc.start()
+    encoder.encode(texts)
+    taken, known = tracemalloc.get_traced_memory()[0], len(encoder.known)
+    tracemalloc.stop()
+    assert taken / known * CACHE_PIECES < 256e6
+
+
 def ids_of(path, text, end):
     return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
 
