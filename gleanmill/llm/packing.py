@@ -45,9 +45,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier jobs left in this worker, beside what the encoder will remember
         encoder = worker_encoder(tokenizer_path, blank_kept=False)
-        for part in slices(batches):
+        for part in slices(batches, 512):
             rows: list[tuple] = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True):
                 ids += end
                 n, start = len(ids) // 4, 0
                 view = memoryview(ids)

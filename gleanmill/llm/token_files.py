@@ -165,8 +165,8 @@ def frames(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, parts: in
                                 ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for piece in slices(batches):
-            for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
+        for piece in slices(batches, 512):
+            for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text")), strict=True):
                 docs_.append(doc)
                 sizes.append(len(ids) // 4 + 1)
                 texts += ids, end

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -61,6 +62,46 @@ def test_words_on_both_sides_of_a_line_end_are_remembered_alone():
     assert set(encoder.known) == {"one", "two", ".", "two.", "three"}
 
 
+class Counting:
+    """A tokenizer that counts the texts it gets; its merge model is not to be asked word by word."""
+
+    def __init__(self, tokenizer):
+        self.inner, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_many_at_a_time_and_without_their_marks():
+    rng, encoder, whole = random.Random(4), Encoder(BYTE_TOKENIZER, True), Tokenizer.from_file(BYTE_TOKENIZER)
+    words = ["".join(rng.choices("aeinorst\u00e9", k=12)) for _ in range(2000)]
+    texts = [" ".join(w + rng.choice([".", ",", "?!", ""]) for w in rng.choices(words, k=200)) for _ in range(100)]
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    encoder.model = None
+    assert encoder.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert counting.texts < 60
+    assert len(encoder.known) < 2000 + len(texts) + 10  # some words also begin a text
+    counting.texts = 0
+    encoder.encode(texts)
+    assert counting.texts == 0
+
+
+@pytest.mark.parametrize(("path", "blank_kept"), [(BYTE_TOKENIZER, True), (WORD_TOKENIZER, False)])
+def test_texts_in_small_portions_encode_like_the_library(path, blank_kept, monkeypatch):
+    """Marks inside of words, white space of all kinds, noncharacters; columns of either width, with nulls."""
+    for name, size in (("PORTION", 40), ("BLOCK_PIECES", 3), ("RUN", 4)):
+        monkeypatch.setattr(f"gleanmill.llm.tokenizing.{name}", size, raising=False)
+    rng, encoder, whole = random.Random(5), Encoder(path, blank_kept), Tokenizer.from_file(path)
+    parts = [" ", " ", " ", "\n", "\n", "  ", "\t", "\r", "\x1c", "\x85", "\u2028", "\u3000", "\uffff", "\u0120", "a.b,c", "Word.", "3.5%", "\u0130.", "\u0130", "\u00e9!", "\u03c3,", "\u4e2d.", "'s", "(x),", "\u0301", "\u00d7.", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", "\uffff", "\uffff a", *("".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    assert encoder.encode(pa.array(texts, pa.string()).slice(1)) == want[1:]
+    assert encoder.encode(pa.array(texts, pa.large_string())) == want
+    assert encoder.encode([]) == encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_what_a_worker_remembers_stays_below_a_quarter_of_a_gigabyte():
     rng, encoder = random.Random(3), Encoder(WORD_TOKENIZER, False)
     texts = [" ".join("".join(rng.choices("aeinorst", k=10)) for _ in range(500)) for _ in range(40)]
