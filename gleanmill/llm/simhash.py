@@ -241,7 +241,9 @@ def verified(keyed: DataFrame, distance: int, partitions: int) -> DataFrame:
             for a, b in _links(rows[0], rows[1], np.ascontiguousarray(rows[2]).view(np.uint64), distance):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    dealt = keyed.select("mask", "key", "fp").repartition(partitions, "mask", "key").sortWithinPartitions("mask", "key", "fp")
+    # Dealt by a hash of the key: Spark leaves out a repartition by columns that a join before it has already dealt by, and once it
+    # makes that join a broadcast at run time, it reads the join's shuffle where it lies and spreads a key over many tasks.
+    dealt = keyed.select("mask", "key", "fp").repartition(partitions, F.xxhash64("mask", "key")).sortWithinPartitions("mask", "key", "fp")
     return dealt.mapInArrow(link, "a long, b long")
 
 

@@ -77,6 +77,26 @@ def test_random_close_fingerprints(spark):
         assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_keys_stay_whole_when_the_join_before_turns_into_a_broadcast(spark):
+    # As at size: a join planned as a sort-merge join, whose small side is known only at run time, in more than one partition.
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    pairs = [(255, key, key + 256 * x) for x in (0, 1) for key in range(100)]
+    rows = spark.createDataFrame(pairs, "mask long, key long, fp long").repartition(4).localCheckpoint()
+    heavy = spark.createDataFrame([(255, key) for key in range(80, 160)], "mask long, key long")
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        keyed = rows.join(heavy, ["mask", "key"], "left_anti")
+        found = S.verified(keyed, 3, int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert sorted(tuple(sorted(r)) for r in found) == [(key, key + 256) for key in range(80)]
+
+
 def test_radii_obey_the_pigeonhole_sum():
     rng = np.random.default_rng(0)
     for n in (10, 10**6, 10**10, 10**13):
